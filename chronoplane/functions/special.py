@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Coefficients of the Lanczos approximation (g = 7, 9 terms).
 _LANCZOS = (
@@ -155,25 +156,25 @@ def _nullable(values: np.ndarray) -> pd.Series:
     return pd.Series(values).astype("object").where(~np.isnan(values), None).astype("Float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gamma_cdf(alpha: pd.Series, beta: pd.Series, x: pd.Series) -> pd.Series:
     """P(X <= x) of a Gamma with shape alpha and rate beta."""
     return _nullable(gamma_cdf_array(alpha.to_numpy(float), beta.to_numpy(float) * x.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gamma_tail(alpha: pd.Series, beta: pd.Series, line: pd.Series) -> pd.Series:
     """P(X > line)."""
     return _nullable(1.0 - gamma_cdf_array(alpha.to_numpy(float), beta.to_numpy(float) * line.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gamma_quantile(alpha: pd.Series, beta: pd.Series, p: pd.Series) -> pd.Series:
     """x with P(X <= x) = p."""
     return _nullable(gamma_quantile_array(alpha.to_numpy(float), p.to_numpy(float)) / beta.to_numpy(float))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_tail(wins: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """P(W >= wins) for W binomial(n, p)."""
     k, m, q = wins.to_numpy(float), n.to_numpy(float), p.to_numpy(float)
@@ -181,14 +182,14 @@ def binomial_tail(wins: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return _nullable(np.where(k <= 0, 1.0, np.where(k > m, 0.0, inner)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided p-value of a t statistic."""
     s, v = t.to_numpy(float), dof.to_numpy(float)
     return _nullable(beta_cdf_array(v / 2, np.full(v.shape, 0.5), v / (v + s * s)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_quantile(p: pd.Series, dof: pd.Series) -> pd.Series:
     """t with P(T <= t) = p, by bisection; used on single summary rows."""
     q, v = p.to_numpy(float), dof.to_numpy(float)
