@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplane.keys import Keys, as_tuple
+from chronoplane.session import checkpointed
 from chronoplane.operators.timeline import Running, Timeline, join_same, on_timeline
 
 # Score weights and thresholds of the category rule, thresholds of the elite flag.
@@ -73,17 +74,18 @@ def expanding_percentile(df: DataFrame, keys: Keys, category: str, value: str,
     rank agrees above that bit and has a 0 there are exactly a part of the smaller ones. So a row adds one
     count per bit (n log d rows in all, no pairs), each a running count over (category, bit, upper bits).
     A category with NULL as its name has no percentile of its own: its rows get `empty`.
+
+    Keys, category and value are read several times, so they are computed once and kept in the shared folder.
     """
     by_category = keys.with_(entity=(category,), event=(*keys.entity, *keys.event))
-    distinct = df.filter(F.col(value).isNotNull()).select(category, value).distinct()
+    slim = checkpointed(df.filter(F.col(value).isNotNull()).select(*keys.grain, category, value))
+    distinct = slim.select(category, value).distinct()
     rank_keys = Keys((category,), value, (), hot_rows=keys.hot_rows)
     ranked = on_timeline(distinct, rank_keys, lambda t: t.position("__rank", "__ranks"))
     # Bit number `top` is 0 in every rank, so its running count is the number of all earlier values.
     top = F.length(F.bin(F.col("__ranks")))
     long = (
-        df.filter(F.col(value).isNotNull())
-        .select(*keys.grain, category, value)
-        .join(ranked, [category, value])
+        slim.join(ranked, [category, value])
         .withColumn("__top", top)
         .withColumn("__bit", F.explode(F.sequence(F.lit(0), F.col("__top"))))
         .withColumn("__path", F.expr("shiftright(__rank, __bit + 1)"))

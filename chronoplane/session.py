@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, memory: str = "12g", app: str = "chronoplane") -> SparkSession:
@@ -47,3 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return os.path.join(shared_dir(spark), "work", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table with its lineage cut at a copy in the shared folder. Runs the plan once."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
