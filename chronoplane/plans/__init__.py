@@ -12,6 +12,6 @@ def load() -> dict:
     return REGISTRY
 
 
-MODULES = ("history_queries",)
+MODULES = ("history_queries", "column_queries", "relational_queries")
 
 __all__ = ["REGISTRY", "Tables", "load", "presented"]
