@@ -42,8 +42,12 @@ def ledger_entries(bets: DataFrame, bet_date: Column | None = None, written: Col
 
 
 def ledger_append(bets: DataFrame, path: str, bet_date: Column | None = None, written: Column | None = None, keep=()) -> None:
-    """Append pending bets to the stored ledger, one folder per bet date."""
-    ledger_entries(bets, bet_date, written, keep).write.mode("append").partitionBy("bet_date").parquet(path)
+    """Append pending bets to the stored ledger.
+
+    An append holds one or a few bet dates, so the files' own statistics already prune by date; folders per
+    date would only make many small files.
+    """
+    ledger_entries(bets, bet_date, written, keep).write.mode("append").parquet(path)
 
 
 def ledger_settle(ledger: DataFrame, results: DataFrame, key=("player_name", "bet_date"), actual: str = "actual") -> DataFrame:

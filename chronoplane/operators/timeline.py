@@ -86,18 +86,18 @@ def number_rows(df: DataFrame, keys: Keys, index: str = INDEX, total: str | None
     per_entity = Window.partitionBy(*keys.entity) if keys.entity else Window.partitionBy(F.lit(0))
     counts = (
         rows.groupBy(*part)
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.count(F.lit(1)).alias("__cnt"))
         .withColumn(
             OFFSET,
             F.coalesce(
-                F.sum("__n").over(per_entity.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)),
+                F.sum("__cnt").over(per_entity.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)),
                 F.lit(0),
             ),
         )
     )
     if total:
-        counts = counts.withColumn(total, F.sum("__n").over(per_entity))
-    rows = join_same(rows, counts.drop("__n"), part)
+        counts = counts.withColumn(total, F.sum("__cnt").over(per_entity))
+    rows = join_same(rows, counts.drop("__cnt"), part)
     in_slice = Window.partitionBy(*part).orderBy(*keys.order)
     return rows.withColumn(index, (F.col(OFFSET) + F.row_number().over(in_slice) - 1).cast("long")).drop(
         SLICE, OFFSET
@@ -222,7 +222,7 @@ def on_timeline(
         # The whole table is one history, so its size is what decides: number and cut it always.
         return _blocked(df, keys, steps, size)
     long_ones = F.broadcast(
-        df.groupBy(*entity).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).drop("__n")
+        df.groupBy(*entity).agg(F.count(F.lit(1)).alias("__cnt")).filter(F.col("__cnt") > limit).drop("__cnt")
     )
     flagged = long_ones.select(*[F.col(c).alias(f"__h_{c}") for c in entity])
     is_long = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__h_{c}")) for c in entity])

@@ -12,6 +12,14 @@ def load() -> dict:
     return REGISTRY
 
 
-MODULES = ("history_queries", "column_queries", "relational_queries")
+MODULES = (
+    "history_queries",
+    "column_queries",
+    "relational_queries",
+    "dataset_queries",
+    "evaluation_queries",
+    "source_queries",
+    "model_queries",
+)
 
 __all__ = ["REGISTRY", "Tables", "load", "presented"]
