@@ -185,7 +185,8 @@ def write_folds(t):
     )
 
 
-@query("scan_folds", f"WITH cv AS ({_cv_sql()}) SELECT fold, split, o_orderkey FROM cv WHERE fold = 1")
+# MATERIALIZED: DuckDB 2.0 moves `fold = 1` below the row_number() that makes the fold and then counts wrongly.
+@query("scan_folds", f"WITH cv AS MATERIALIZED ({_cv_sql()}) SELECT fold, split, o_orderkey FROM cv WHERE fold = 1")
 def scan_folds(t):
     path = work_path(t.spark, "folds")
     W.write_folds(season_cv_frame(t), path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,29 +85,25 @@ def scan_csv_multi(spark: SparkSession, pattern: str, seasons=None, defaults: di
     spark.conf.set("spark.sql.caseSensitive", "true")
     try:
         for f in files:
-            header = tuple(spark.read.option("header", True).csv(f).columns)
-            by_header.setdefault(header, []).append(f)
-        tables = []
-        for header, group in by_header.items():
-            schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-            raw = spark.read.option("header", True).schema(schema).csv(group)
-            names = reconcile_columns(list(header))
-            from_name = _season_of(F.col("_metadata.file_path"))
-            cols = [F.col(f"`{r}`").alias(u) for r, u in names]
-            if "SEASON" not in dict((u, r) for r, u in names):
-                cols.append(from_name.alias("SEASON"))
-            tables.append(raw.select(*cols))
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.unionByName(t, allowMissingColumns=True)
-        for name, value in (defaults or {}).items():
-            out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in out.columns else F.lit(value))
-        for name, kind in (types or {}).items():
-            out = out.withColumn(name, F.col(name).try_cast(kind))
-        # Resolve while names are case sensitive; the result has only upper-case names.
-        out.schema
+            by_header.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
     finally:
         spark.conf.set("spark.sql.caseSensitive", previous)
+    tables = []
+    for header, group in by_header.items():
+        # Columns are read by place under names that differ in more than their case.
+        places = {c: f"c{i}" for i, c in enumerate(header)}
+        schema = T.StructType([T.StructField(places[c], T.StringType()) for c in header])
+        raw = spark.read.option("header", True).schema(schema).csv(group)
+        names = reconcile_columns(list(header))
+        cols = [F.col(places[source]).alias(name) for source, name in names]
+        if "SEASON" not in [name for _, name in names]:
+            cols.append(_season_of(F.col("_metadata.file_path")).alias("SEASON"))
+        tables.append(raw.select(*cols))
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    for name, value in (defaults or {}).items():
+        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in out.columns else F.lit(value))
+    for name, kind in (types or {}).items():
+        out = out.withColumn(name, F.col(name).try_cast(kind))
     return out.filter(F.col("SEASON").isin(list(seasons))) if seasons else out
 
 
