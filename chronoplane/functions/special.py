@@ -105,18 +105,25 @@ def gamma_quantile_array(a: np.ndarray, p: np.ndarray) -> np.ndarray:
     start = np.exp((np.log(safe_p) + log_gamma(safe_a + 1)) / safe_a)
     x = np.where(cube > 0.1, x, start)
     low, high = np.zeros_like(x), np.full_like(x, np.inf)
+    live = np.flatnonzero(ok.ravel())
+    x, low, high = x.ravel(), low.ravel(), high.ravel()
+    flat_a, flat_p = safe_a.ravel(), safe_p.ravel()
     for _ in range(100):
-        f = gamma_cdf_array(safe_a, x) - safe_p
-        high, low = np.where(f > 0, np.minimum(high, x), high), np.where(f <= 0, np.maximum(low, x), low)
-        with np.errstate(all="ignore"):
-            pdf = np.exp(-x + (safe_a - 1) * np.log(x) - log_gamma(safe_a))
-            new = x - f / pdf
-        middle = np.where(np.isinf(high), x * 2, (low + high) / 2)
-        new = np.where((new > low) & (new < high) & np.isfinite(new), new, middle)
-        if np.all(np.abs(new - x) <= 1e-14 * np.maximum(x, 1e-300)):
-            x = new
+        if not live.size:
             break
-        x = new
+        y, s = x[live], flat_a[live]
+        f = gamma_cdf_array(s, y) - flat_p[live]
+        high[live] = np.where(f > 0, np.minimum(high[live], y), high[live])
+        low[live] = np.where(f <= 0, np.maximum(low[live], y), low[live])
+        with np.errstate(all="ignore"):
+            pdf = np.exp(-y + (s - 1) * np.log(y) - log_gamma(s))
+            new = y - f / pdf
+        lo, hi = low[live], high[live]
+        middle = np.where(np.isinf(hi), y * 2, (lo + hi) / 2)
+        new = np.where((new >= lo) & (new <= hi) & (new > 0) & np.isfinite(new), new, middle)
+        x[live] = new
+        live = live[np.abs(new - y) > 1e-12 * np.maximum(y, 1e-300)]
+    x = x.reshape(safe_a.shape)
     return np.where(ok, x, np.where((a > 0) & (p == 0), 0.0, np.nan))
 
 

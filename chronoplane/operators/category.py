@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplane.keys import Keys, as_tuple
-from chronoplane.session import checkpointed
+from chronoplane.session import stored
 from chronoplane.operators.timeline import Running, Timeline, join_same, on_timeline
 
 # Score weights and thresholds of the category rule, thresholds of the elite flag.
@@ -78,7 +78,7 @@ def expanding_percentile(df: DataFrame, keys: Keys, category: str, value: str,
     Keys, category and value are read several times, so they are computed once and kept in the shared folder.
     """
     by_category = keys.with_(entity=(category,), event=(*keys.entity, *keys.event))
-    slim = checkpointed(df.filter(F.col(value).isNotNull()).select(*keys.grain, category, value))
+    slim = stored(df.filter(F.col(value).isNotNull()).select(*keys.grain, category, value))
     distinct = slim.select(category, value).distinct()
     rank_keys = Keys((category,), value, (), hot_rows=keys.hot_rows)
     ranked = on_timeline(distinct, rank_keys, lambda t: t.position("__rank", "__ranks"))

@@ -64,36 +64,42 @@ def lag_ewma(df: DataFrame, keys: Keys, values, half_lives=HALF_LIVES) -> DataFr
     and cannot change a double.
     """
     values = as_tuple(values)
-    most = int(900 * min(half_lives))
-    block = min(most, max(keys.hot_rows or most, int(64 * max(half_lives))))
-    back = math.ceil(64 * max(half_lives) / block)
+    block = _ewma_block(keys, half_lives)
+    return on_timeline(
+        df, keys, lambda t: _ewma_steps(t, values, half_lives), reach=1, block_rows=block
+    )
 
-    def steps(t: Timeline) -> Timeline:
-        t = t.position("__pos")
-        base = F.col(BLOCK) * t.block_rows if t.blocked else F.lit(0)
-        t = t.columns(__j=(F.col("__pos") - base).cast("double"))
-        for h in half_lives:
-            tag = str(h).replace(".", "_")
-            weight = F.pow(F.lit(2.0), F.col("__j") / h)
-            sums = {}
-            for v in values:
-                x = F.col(v).cast("double")
-                sums[f"__n_{v}_{tag}"] = F.sum(x * weight)
-                sums[f"__d_{v}_{tag}"] = F.sum(F.when(x.isNotNull(), weight))
-            t = _block_sums(t, sums, h, back) if t.blocked else _plain_sums(t, sums)
-            t = t.columns(
-                **{
-                    f"{v}_ewma_{tag}": F.coalesce(
-                        F.col(f"__n_{v}_{tag}") / F.nullif(F.col(f"__d_{v}_{tag}"), F.lit(0.0)),
-                        F.col(f"__last_{v}_{tag}") if t.blocked else F.lit(None).cast("double"),
-                    )
-                    for v in values
-                }
-            )
-            t = t.drop(*sums, *([f"__last_{v}_{tag}" for v in values] if t.blocked else []))
-        return t.drop("__pos", "__j")
 
-    return on_timeline(df, keys, steps, reach=1, block_rows=block)
+def _ewma_block(keys: Keys, half_lives) -> int:
+    most = int(900 * min(half_lives))
+    return min(most, max(keys.hot_rows or most, int(64 * max(half_lives))))
+
+
+def _ewma_steps(t: Timeline, values, half_lives) -> Timeline:
+    t = t.position("__pos")
+    base = F.col(BLOCK) * t.block_rows if t.blocked else F.lit(0)
+    t = t.columns(__j=(F.col("__pos") - base).cast("double"))
+    back = math.ceil(64 * max(half_lives) / t.block_rows) if t.blocked else 0
+    for h in half_lives:
+        tag = str(h).replace(".", "_")
+        weight = F.pow(F.lit(2.0), F.col("__j") / h)
+        sums = {}
+        for v in values:
+            x = F.col(v).cast("double")
+            sums[f"__n_{v}_{tag}"] = F.sum(x * weight)
+            sums[f"__d_{v}_{tag}"] = F.sum(F.when(x.isNotNull(), weight))
+        t = _block_sums(t, sums, h, back) if t.blocked else _plain_sums(t, sums)
+        t = t.columns(
+            **{
+                f"{v}_ewma_{tag}": F.coalesce(
+                    F.col(f"__n_{v}_{tag}") / F.nullif(F.col(f"__d_{v}_{tag}"), F.lit(0.0)),
+                    F.col(f"__last_{v}_{tag}") if t.blocked else F.lit(None).cast("double"),
+                )
+                for v in values
+            }
+        )
+        t = t.drop(*sums, *([f"__last_{v}_{tag}" for v in values] if t.blocked else []))
+    return t.drop("__pos", "__j")
 
 
 def _plain_sums(t: Timeline, sums: dict[str, Column]) -> Timeline:
@@ -342,5 +348,12 @@ def rolling_table(df: DataFrame, keys: Keys, values, flag: Column | None = None,
                 cols[f"{v}_away_avg"] = lambda w, v=v: F.avg(F.when(~flag, F.col(v))).over(rows_before(w, 10))
         return t.look_back(reach, cols).drop("__pos")
 
-    out = on_timeline(df, keys, steps, reach=reach)
-    return lag_ewma(out, keys, values, half_lives) if half_lives else out
+    if not half_lives:
+        return on_timeline(df, keys, steps, reach=reach)
+    return on_timeline(
+        df,
+        keys,
+        lambda t: _ewma_steps(steps(t), values, half_lives),
+        reach=reach,
+        block_rows=max(reach, _ewma_block(keys, half_lives)),
+    )

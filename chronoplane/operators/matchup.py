@@ -1,4 +1,8 @@
-"""Features of the other side of an event: opponent form and pace, own team form, past meetings."""
+"""Features of the other side of an event: opponent form and pace, own team form, past meetings.
+
+Opponents and teams are few, so their histories are long. Their per-event totals are far smaller than the
+facts; they are written once and the windows read that table.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,8 @@ from pyspark.sql import functions as F
 
 from chronoplane.keys import Keys, as_tuple
 from chronoplane.operators.history import rows_before
-from chronoplane.operators.timeline import Running, Timeline, join_same, on_timeline
+from chronoplane.operators.timeline import Running, Timeline, on_timeline
+from chronoplane.session import stored
 
 
 def team_event_totals(df: DataFrame, by, values) -> DataFrame:
@@ -18,7 +23,7 @@ def team_event_totals(df: DataFrame, by, values) -> DataFrame:
 def opp_form(df: DataFrame, opponent: str, event: str, time: str, values, window: int = 10,
              hot_rows: int | None = 1_000_000) -> DataFrame:
     """Per (opponent, event): mean totals that the opponent allowed in its previous events."""
-    totals = team_event_totals(df, [opponent, event, time], values)
+    totals = stored(team_event_totals(df, [opponent, event, time], values), "opponent-events")
     keys = Keys(opponent, time, event, hot_rows=hot_rows)
     cols = {
         f"opp_{v}_allowed_avg": (lambda w, v=v: F.avg(v).over(rows_before(w, window))) for v in as_tuple(values)
@@ -30,7 +35,7 @@ def opp_form(df: DataFrame, opponent: str, event: str, time: str, values, window
 def opp_pace(df: DataFrame, opponent: str, time: str, value: str, window: int = 10,
              hot_rows: int | None = 1_000_000) -> DataFrame:
     """Per (opponent, date): mean of the per-date totals over the opponent's previous dates."""
-    totals = team_event_totals(df, [opponent, time], [value])
+    totals = stored(team_event_totals(df, [opponent, time], [value]), "opponent-dates")
     keys = Keys(opponent, time, (), hot_rows=hot_rows)
     out = on_timeline(
         totals,
@@ -44,7 +49,7 @@ def opp_pace(df: DataFrame, opponent: str, time: str, value: str, window: int =
 def team_form(df: DataFrame, team: str, time: str, win: Column, first_by: str, window: int = 10,
               hot_rows: int | None = 1_000_000) -> DataFrame:
     """Per (team, date): share of wins over the team's previous dates; the date counts its first event."""
-    per_date = df.groupBy(team, time).agg(F.min_by(win.cast("int"), F.col(first_by)).alias("__win"))
+    per_date = stored(df.groupBy(team, time).agg(F.min_by(win.cast("int"), F.col(first_by)).alias("__win")), "team-dates")
     keys = Keys(team, time, (), hot_rows=hot_rows)
     out = on_timeline(
         per_date,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoplane.keys import Keys, as_tuple
-from chronoplane.operators.timeline import Running, join_same, on_timeline
+from chronoplane.operators.timeline import Running, on_timeline
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(), hot_rows: int | None = 1_000_000) -> DataFrame:
@@ -27,11 +27,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(), h
         by_cols = by
     counts = held.groupBy(*by_cols, "__x").agg(F.count(F.lit(1)).alias("__m"))
     keys = Keys(tuple(by_cols), "__x", (), hot_rows=hot_rows)
-    placed = on_timeline(
-        counts, keys, lambda t: t.running({"__end": Running("sum", F.col("__m"), prior=False)})
+    ranked = on_timeline(
+        counts,
+        keys,
+        lambda t: t.running({"__end": Running("sum", F.col("__m"), prior=False)}).whole({"n": Running("sum", F.col("__m"))}),
     )
-    totals = counts.groupBy(*by_cols).agg(F.sum("__m").alias("n"))
-    ranked = join_same(placed, totals, by_cols)
     start = F.col("__end") - F.col("__m")
     aggs = []
     for name, p in probs.items():

@@ -192,6 +192,20 @@ class Timeline:
             ),
         )
 
+    def whole(self, cols: dict[str, Running]) -> "Timeline":
+        """Aggregates over the whole history on every row of it."""
+        part = list(self.keys.entity)
+        if not self.blocked:
+            w = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
+            return self.columns(**{n: _FOLDS[r.fold](r.value).over(w) for n, r in cols.items()})
+        sums = self.df.groupBy(*(part or [F.lit(0).alias("__one")])).agg(
+            *[_FOLDS[r.fold](r.value).alias(n) for n, r in cols.items()]
+        )
+        if part:
+            return replace(self, df=join_same(self.df, sums, part))
+        one = sums.select(F.struct(*cols).alias("s")).scalar()
+        return self.columns(**{n: one.getField(n) for n in cols})
+
 
 def _merge(fold: str, own: Column, before: Column) -> Column:
     if fold in ("max", "min"):

@@ -16,6 +16,7 @@ from chronoplane.operators.history import rows_before
 from chronoplane.operators.probability import gamma_fit, prob_over
 from chronoplane.operators.timeline import on_timeline
 from chronoplane.plans.registry import Tables
+from chronoplane.session import stored
 
 
 def event_keys(t: Tables) -> Keys:
@@ -62,7 +63,10 @@ def meetings(t: Tables) -> DataFrame:
 
 
 def predictions(t: Tables) -> DataFrame:
-    """Per order: actual value, point prediction, predictive mean and variance, and a quoted line."""
+    """Per order: actual value, point prediction, predictive mean and variance, and a quoted line.
+
+    Stored, as predictions are in practice: the evaluations that follow read them several times.
+    """
     v = F.col("v")
     cols = {
         "prediction": lambda w: F.avg(v).over(rows_before(w, 5)),
@@ -73,10 +77,11 @@ def predictions(t: Tables) -> DataFrame:
     base = on_timeline(orders(t), order_keys(t), lambda tl: tl.look_back(20, cols), reach=20)
     floor = F.col("mean_pred") * 0.1
     var = F.when(F.col("__var").isNotNull(), F.greatest(F.col("__var"), floor * floor))
-    return base.select(
+    rows = base.select(
         "o_orderkey", "o_custkey", "o_orderdate", "season", F.col("v").alias("actual"), "prediction", "mean_pred",
         var.alias("var_pred"), F.sqrt(var).alias("std_pred"), "line", "o_orderpriority",
     )
+    return stored(rows, "predictions")
 
 
 def scored(t: Tables) -> DataFrame:
@@ -93,7 +98,7 @@ def bets(t: Tables) -> DataFrame:
 def prob_bets(t: Tables) -> DataFrame:
     """Probability decisions beside the point decisions, on rows with a line and a distribution."""
     held = scored(t).filter(F.col("alpha").isNotNull() & F.col("line").isNotNull())
-    p = bet_decision_prob(prob_over(held, "line"), "prob_over", "std_pred", "mean_pred", max_cv=0.8)
+    p = bet_decision_prob(stored(prob_over(held, "line"), "tails"), "prob_over", "std_pred", "mean_pred", max_cv=0.8)
     return bet_outcome(bet_decision_point(p, "prediction", "line"), "actual", "line")
 
 

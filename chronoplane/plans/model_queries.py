@@ -12,7 +12,7 @@ from chronoplane.operators.decisions import bet_decision_prob
 from chronoplane.operators.joins import asof_latest, join_multi_line, pick_preferred
 from chronoplane.plans.bindings import order_keys, orders
 from chronoplane.plans.registry import query
-from chronoplane.session import checkpointed
+from chronoplane.session import stored
 
 FEATURES = ("v_mean_5", "v_mean_10", "v_std_5", "games_this_season", "month")
 SMALL = {"trees": 8, "depth": 3}
@@ -24,7 +24,7 @@ def matrix(t):
     rolled = H.season_seq(H.lag_roll(orders(t), k, "v", (5, 10)), k)
     rows = rolled.withColumn("month", F.month("o_orderdate")).filter(F.col("v_mean_5").isNotNull())
     filled = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES})
-    return checkpointed(filled.select("o_orderkey", "o_custkey", "o_orderdate", "season", "v", *FEATURES))
+    return stored(filled.select("o_orderkey", "o_custkey", "o_orderdate", "season", "v", *FEATURES))
 
 
 def before(df, day):

@@ -16,6 +16,8 @@ def local_session(cpus: int | str = 8, memory: str = "12g", app: str = "chronopl
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Small test tables: keep a task per core although each holds little.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -49,7 +51,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "work", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The table with its lineage cut at a copy in the shared folder. Runs the plan once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """The table written to the shared folder and read back.
+
+    Cuts the lineage where several passes follow: the plan runs once, later passes read only the columns they
+    need with known sizes, and nothing is lost with an executor.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
