@@ -6,12 +6,12 @@ running maximum of row positions: one window, no second grouping by run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplane.keys import Keys, day_number
-from chronoplane.operators.history import at_least, gap_days, rows_before
-from chronoplane.operators.timeline import Running, Timeline, on_timeline
+from chronoplane.operators.history import at_least, gap_steps, rows_before
+from chronoplane.operators.timeline import Running, Timeline, join_same, on_timeline
 
 # Gap above which rows were missed, longest gap inside a season, gap that restarts the
 # counter (days); playing time below which a row counts as not played; rate that means planned rest.
@@ -24,38 +24,42 @@ REST_RATE = 0.15
 
 def missed_events(df: DataFrame, keys: Keys, gap: int = MISSED_GAP_DAYS, longest: int = MISSED_MAX_DAYS) -> DataFrame:
     """Flag a gap in (gap, longest] days and estimate the events missed as half a day each beyond three."""
-    out = gap_days(df, keys, "days_since_last")
-    days = F.col("days_since_last")
+    return on_timeline(df, keys, missed_steps(keys, gap, longest))
+
+
+def missed_steps(keys: Keys, gap: int = MISSED_GAP_DAYS, longest: int = MISSED_MAX_DAYS):
+    days = F.col("__missed_gap")
     flagged = F.coalesce((days > gap) & (days <= longest), F.lit(False))
-    return out.withColumns(
-        {
-            "likely_missed": flagged.cast("int"),
-            "estimated_missed": F.when(flagged, F.greatest((days - 3) * 0.5, F.lit(0.0))).otherwise(F.lit(0.0)),
-        }
-    )
+    cols = {
+        "days_since_last": days,
+        "likely_missed": flagged.cast("int"),
+        "estimated_missed": F.when(flagged, F.greatest((days - 3) * 0.5, F.lit(0.0))).otherwise(F.lit(0.0)),
+    }
+    # A gap column with a value for first rows, from the rest features, stays as it is.
+    return lambda t: (
+        lambda u: u.columns(**{n: c for n, c in cols.items() if n not in u.df.columns}).drop("__missed_gap")
+    )(gap_steps(keys, "__missed_gap")(t))
 
 
 def events_since_reset(df: DataFrame, keys: Keys, gap: int = RESET_GAP_DAYS) -> DataFrame:
     """Rows since the last gap of more than `gap` days (0 on the row after it), and the early-return flags."""
+    return on_timeline(df, keys, reset_steps(keys, gap))
+
+
+def reset_steps(keys: Keys, gap: int = RESET_GAP_DAYS):
     day = day_number(F.col(keys.time))
 
     def steps(t: Timeline) -> Timeline:
         t = t.position("__pos").look_back(1, {"__gap": lambda w: day - F.lag(day).over(w)})
         restart = F.when(F.coalesce(F.col("__gap") > gap, F.lit(False)), F.col("__pos"))
-        return t.running({"__at": Running("max", restart, prior=False)})
+        t = t.running({"__at": Running("max", restart, prior=False)})
+        t = t.columns(games_since_reset=F.col("__pos") - F.coalesce(F.col("__at"), F.lit(0)))
+        n = F.col("games_since_reset")
+        return t.columns(
+            is_returning=((n > 0) & (n <= 5)).cast("int"), is_early_return=((n > 0) & (n <= 2)).cast("int")
+        ).drop("__pos", "__gap", "__at")
 
-    out = on_timeline(df, keys, steps)
-    n = F.col("games_since_reset")
-    return (
-        out.withColumn("games_since_reset", F.col("__pos") - F.coalesce(F.col("__at"), F.lit(0)))
-        .withColumns(
-            {
-                "is_returning": ((n > 0) & (n <= 5)).cast("int"),
-                "is_early_return": ((n > 0) & (n <= 2)).cast("int"),
-            }
-        )
-        .drop("__pos", "__gap", "__at")
-    )
+    return steps
 
 
 def _run_length(holds: Column, last_break: str) -> Column:
@@ -78,6 +82,15 @@ def dnp_patterns(
     The flag, the rest flag and the run read the current row, as a report on the past wants them;
     `lag=True` shifts these three one row back so that they can be used as features.
     """
+    out = on_timeline(df, keys, dnp_steps(minutes, rows, days, threshold, rate, lag), reach=rows or 1)
+    if days is None:
+        return out
+    m = F.col(minutes)
+    return _day_rate(out, df, keys, F.coalesce(m < threshold, F.lit(False)), days, rate, m)
+
+
+def dnp_steps(minutes: str, rows: int | None = 30, days: int | None = None, threshold: float = NOT_PLAYED_BELOW,
+              rate: float = REST_RATE, lag: bool = False):
     m = F.col(minutes)
     not_played = F.coalesce(m < threshold, F.lit(False))
 
@@ -98,17 +111,10 @@ def dnp_patterns(
             t = t.look_back(1, {f"{c}_prev": (lambda w, c=c: F.lag(c).over(w)) for c in same_row}).drop(*same_row)
         return t.drop("__np", "__pos", "__brk")
 
-    out = on_timeline(df, keys, steps, reach=rows or 1)
-    if days is None:
-        return out
-    return _day_rate(out, df, keys, not_played, days, rate, m)
+    return steps
 
 
 def _day_rate(out, df, keys, not_played, days, rate, minutes):
-    from pyspark.sql import Window
-
-    from chronoplane.operators.timeline import join_same
-
     part = [*keys.entity, "__day"]
     per_day = (
         df.withColumn("__day", day_number(F.col(keys.time)))
@@ -129,6 +135,10 @@ def recovery(df: DataFrame, keys: Keys, minutes: str, share: float = 0.8, ramp:
     Expected is the mean of the previous ten rows once three are there. The ramp is the change over the
     previous three rows per row. Deficit and run read the current row; `lag=True` shifts them one back.
     """
+    return on_timeline(df, keys, recovery_steps(minutes, share, ramp, lag), reach=10)
+
+
+def recovery_steps(minutes: str, share: float = 0.8, ramp: float = 2.0, lag: bool = False):
     m = F.col(minutes)
 
     def steps(t: Timeline) -> Timeline:
@@ -157,4 +167,4 @@ def recovery(df: DataFrame, keys: Keys, minutes: str, share: float = 0.8, ramp:
             t = t.look_back(1, {f"{c}_prev": (lambda w, c=c: F.lag(c).over(w)) for c in same_row}).drop(*same_row)
         return t.drop("__pos", "__low", "__brk")
 
-    return on_timeline(df, keys, steps, reach=10)
+    return steps

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplane.keys import Keys, as_tuple, day_number
-from chronoplane.operators.timeline import BLOCK, Running, Timeline, join_same, on_timeline
+from chronoplane.operators.timeline import Running, Timeline, compose, join_same, on_timeline
 
 # Window sizes in rows, half-lives in rows.
 WINDOWS = (5, 10, 20)
@@ -42,6 +42,11 @@ def lag_roll(df: DataFrame, keys: Keys, values, windows=WINDOWS, min_periods: in
 
 
 def _rolling(df, keys, values, windows, aggs, min_periods):
+    return on_timeline(df, keys, roll_steps(values, windows, aggs, min_periods), reach=max(windows))
+
+
+def roll_steps(values, windows=WINDOWS, aggs=None, min_periods: int = 1):
+    aggs = aggs or {"mean": F.avg, "std": F.stddev_samp}
     cols = {
         f"{v}_{name}_{n}": (
             lambda w, v=v, n=n, f=f: at_least(F.col(v), f(F.col(v)), rows_before(w, n), min_periods)
@@ -50,114 +55,73 @@ def _rolling(df, keys, values, windows, aggs, min_periods):
         for n in windows
         for name, f in aggs.items()
     }
-    reach = max(windows)
-    return on_timeline(df, keys, lambda t: t.look_back(reach, cols), reach=reach)
+    return lambda t: t.look_back(max(windows), cols)
 
 
 def lag_ewma(df: DataFrame, keys: Keys, values, half_lives=HALF_LIVES) -> DataFrame:
-    """Exponentially weighted mean of all earlier values: `<value>_ewma_<h>`.
-
-    Row i of the past weighs 2^(i/h); missing values keep their place. The weights are running sums, so a
-    row costs O(1). They leave the range of a double after about 1000 h rows, so histories are cut into
-    blocks of at most 900 h rows, and a block starts from the sums of the blocks before, scaled down by
-    their distance. Only the blocks inside the last 64 h rows are read: older rows weigh less than 2^-64
-    and cannot change a double.
-    """
-    values = as_tuple(values)
-    block = _ewma_block(keys, half_lives)
-    return on_timeline(
-        df, keys, lambda t: _ewma_steps(t, values, half_lives), reach=1, block_rows=block
-    )
-
+    """Exponentially weighted mean of all earlier values: `<value>_ewma_<h>`."""
+    return on_timeline(df, keys, ewma_steps(values, half_lives), reach=ewma_reach(half_lives))
 
-def _ewma_block(keys: Keys, half_lives) -> int:
-    most = int(900 * min(half_lives))
-    return min(most, max(keys.hot_rows or most, int(64 * max(half_lives))))
-
-
-def _ewma_steps(t: Timeline, values, half_lives) -> Timeline:
-    t = t.position("__pos")
-    base = F.col(BLOCK) * t.block_rows if t.blocked else F.lit(0)
-    t = t.columns(__j=(F.col("__pos") - base).cast("double"))
-    back = math.ceil(64 * max(half_lives) / t.block_rows) if t.blocked else 0
-    for h in half_lives:
-        tag = str(h).replace(".", "_")
-        weight = F.pow(F.lit(2.0), F.col("__j") / h)
-        sums = {}
-        for v in values:
-            x = F.col(v).cast("double")
-            sums[f"__n_{v}_{tag}"] = F.sum(x * weight)
-            sums[f"__d_{v}_{tag}"] = F.sum(F.when(x.isNotNull(), weight))
-        t = _block_sums(t, sums, h, back) if t.blocked else _plain_sums(t, sums)
-        t = t.columns(
-            **{
-                f"{v}_ewma_{tag}": F.coalesce(
-                    F.col(f"__n_{v}_{tag}") / F.nullif(F.col(f"__d_{v}_{tag}"), F.lit(0.0)),
-                    F.col(f"__last_{v}_{tag}") if t.blocked else F.lit(None).cast("double"),
-                )
-                for v in values
-            }
-        )
-        t = t.drop(*sums, *([f"__last_{v}_{tag}" for v in values] if t.blocked else []))
-    return t.drop("__pos", "__j")
 
+def ewma_reach(half_lives) -> int:
+    """Rows after which a weight is below 2^-64 and cannot change a double."""
+    return math.ceil(64 * max(half_lives))
 
-def _plain_sums(t: Timeline, sums: dict[str, Column]) -> Timeline:
-    w = t._window().rowsBetween(Window.unboundedPreceding, -1)
-    return t.columns(**{n: s.over(w) for n, s in sums.items()})
 
+def ewma_steps(values, half_lives=HALF_LIVES):
+    """Row i of the past weighs 2^(i/h); missing values keep their place; a row costs O(1).
 
-def _block_sums(t: Timeline, sums: dict[str, Column], h: float, back: int) -> Timeline:
-    """Running sums inside the block plus the scaled sums of the `back` blocks before.
-
-    `__last_*` is the final mean of the latest earlier block with values; it answers for rows that follow
-    more than a block of missing values.
+    The weights are running sums inside runs of 900 h rows, because 2^(i/h) leaves the range of a double
+    soon after. The sums of the runs just before are added, scaled down by their distance. They come from a
+    range frame over the run number, which changes only when the run does.
     """
-    part = list(t.keys.entity)
-    blocks = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-    in_order = blocks.orderBy(BLOCK)
-    totals = t.df.groupBy(*part, BLOCK).agg(*[s.alias(f"__t{n}") for n, s in sums.items()])
-    carry = totals.withColumns(
-        {
-            f"__c{n}": reduce(
-                add,
-                [
-                    F.coalesce(F.lag(f"__t{n}", i).over(in_order) * 2.0 ** (-i * t.block_rows / h), F.lit(0.0))
-                    for i in range(1, back + 1)
-                ],
-            )
-            for n in sums
-        }
-    )
-    nums = [n for n in sums if n.startswith("__n_")]
-    ends = {
-        n: (F.coalesce(F.col(f"__t{n}"), F.lit(0.0)) + F.col(f"__c{n}"))
-        / F.nullif(
-            F.coalesce(F.col(f"__t{_den(n)}"), F.lit(0.0)) + F.col(f"__c{_den(n)}"),
-            F.lit(0.0),
-        )
-        for n in nums
-    }
-    carry = carry.withColumns({f"__e{n}": e for n, e in ends.items()})
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    carry = carry.select(
-        *part,
-        BLOCK,
-        *[F.col(f"__c{n}") for n in sums],
-        *[F.last(f"__e{n}", ignorenulls=True).over(earlier).alias(f"__last_{n[4:]}") for n in nums],
-    )
-    local = _plain_sums(t, sums)
-    joined = join_same(local.df, carry, [*part, BLOCK], "left")
-    both = {n: F.coalesce(F.col(n), F.lit(0.0)) + F.coalesce(F.col(f"__c{n}"), F.lit(0.0)) for n in sums}
-    return Timeline(joined.withColumns(both).drop(*[f"__c{n}" for n in sums]), t.keys, t.block_rows)
+    values = as_tuple(values)
+    run = int(900 * min(half_lives))
+    back = math.ceil(64 * max(half_lives) / run)
+    tags = {h: str(h).replace(".", "_") for h in half_lives}
+
+    def add_means(df: DataFrame, part: list[str]) -> DataFrame:
+        spec = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
+        inside = Window.partitionBy(*part, "__run").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("__run", F.floor(F.col("__pos") / run).cast("long"))
+        df = df.withColumn("__j", (F.col("__pos") - F.col("__run") * run).cast("double"))
+        local, means = {}, {}
+        for h, tag in tags.items():
+            weight = F.pow(F.lit(2.0), F.col("__j") / h)
+            for v in values:
+                x = F.col(v).cast("double")
+                for kind, term in (("n", x * weight), ("d", F.when(x.isNotNull(), weight))):
+                    local[f"__{kind}0_{v}_{tag}"] = F.sum(term).over(inside)
+                    for i in range(1, back + 1):
+                        earlier = spec.orderBy("__run").rangeBetween(-i, -i)
+                        local[f"__{kind}{i}_{v}_{tag}"] = F.sum(term).over(earlier) * 2.0 ** (-i * run / h)
+                n, d = (
+                    reduce(add, [F.coalesce(F.col(f"__{k}{i}_{v}_{tag}"), F.lit(0.0)) for i in range(back + 1)])
+                    for k in "nd"
+                )
+                means[f"{v}_ewma_{tag}"] = n / F.nullif(d, F.lit(0.0))
+        return df.withColumns(local).withColumns(means).drop(*local, "__run", "__j")
 
+    def steps(t: Timeline) -> Timeline:
+        t = t.position("__pos").look_back_with(ewma_reach(half_lives), add_means)
+        names = [f"{v}_ewma_{tag}" for v in values for tag in tags.values()]
+        # After a stretch of missing values longer than the reach the last mean still stands.
+        last = {
+            f"__l_{c}": Running("max", F.when(F.col(c).isNotNull(), F.struct(F.col("__pos"), F.col(c).alias("m"))))
+            for c in names
+        }
+        t = t.running(last)
+        return t.columns(**{c: F.coalesce(F.col(c), F.col(f"__l_{c}.m")) for c in names}).drop("__pos", *last)
 
-def _den(numerator: str) -> str:
-    return "__d_" + numerator[len("__n_"):]
+    return steps
 
 
 def lag_trend(df: DataFrame, keys: Keys, values, window: int = 10, min_points: int = 3) -> DataFrame:
     """Least-squares slope per row over the previous `window` rows: `<value>_trend`."""
+    return on_timeline(df, keys, trend_steps(values, window, min_points), reach=window)
+
+
+def trend_steps(values, window: int = 10, min_points: int = 3):
     values = as_tuple(values)
 
     def steps(t: Timeline) -> Timeline:
@@ -170,48 +134,62 @@ def lag_trend(df: DataFrame, keys: Keys, values, window: int = 10, min_points: i
         }
         return t.look_back(window, cols).drop("__pos")
 
-    return on_timeline(df, keys, steps, reach=window)
+    return steps
 
 
 def lag_split_mean(df: DataFrame, keys: Keys, values, flag: Column, window: int = 10,
                    names=("home", "away")) -> DataFrame:
     """Mean over the previous `window` rows of only the rows where flag holds, and of the others."""
+    return on_timeline(df, keys, split_steps(values, flag, window, names), reach=window)
+
+
+def split_steps(values, flag: Column, window: int = 10, names=("home", "away")):
     values = as_tuple(values)
     cols = {}
     for v in values:
         cols[f"{v}_{names[0]}_avg"] = lambda w, v=v: F.avg(F.when(flag, F.col(v))).over(rows_before(w, window))
         cols[f"{v}_{names[1]}_avg"] = lambda w, v=v: F.avg(F.when(~flag, F.col(v))).over(rows_before(w, window))
-    return on_timeline(df, keys, lambda t: t.look_back(window, cols), reach=window)
+    return lambda t: t.look_back(window, cols)
 
 
 def season_seq(df: DataFrame, keys: Keys, name: str = "games_this_season") -> DataFrame:
     """Number of earlier rows of the entity in the same season."""
+    return on_timeline(df, keys, season_steps(keys, name))
+
+
+def season_steps(keys: Keys, name: str = "games_this_season"):
     by = [keys.season] if keys.season else []
-    return on_timeline(df, keys, lambda t: t.running({name: Running("count", F.lit(1))}, by=by))
+    return lambda t: t.running({name: Running("count", F.lit(1))}, by=by)
 
 
 def gap_days(df: DataFrame, keys: Keys, name: str = "days_since_last", first: int | None = None) -> DataFrame:
     """Days since the entity's previous row; `first` where there is none (NULL when not given)."""
+    return on_timeline(df, keys, gap_steps(keys, name, first))
+
+
+def gap_steps(keys: Keys, name: str = "days_since_last", first: int | None = None):
     day = day_number(F.col(keys.time))
 
     def gap(w):
         days = day - F.lag(day).over(w)
         return days if first is None else F.coalesce(days, F.lit(first))
 
-    return on_timeline(df, keys, lambda t: t.look_back(1, {name: gap}))
+    return lambda t: t.look_back(1, {name: gap})
 
 
 def gap_flags(df: DataFrame, keys: Keys, first: int = 3) -> DataFrame:
     """Gap in days and its classes: next day, one day between, three days or more."""
-    out = gap_days(df, keys, "days_since_last", first)
+    return on_timeline(df, keys, gap_flag_steps(keys, first))
+
+
+def gap_flag_steps(keys: Keys, first: int = 3):
     gap = F.col("days_since_last")
-    return out.withColumns(
-        {
-            "is_back_to_back": (gap == 1).cast("int"),
-            "is_one_day_rest": (gap == 2).cast("int"),
-            "is_well_rested": (gap >= 3).cast("int"),
-        }
-    )
+    flags = {
+        "is_back_to_back": (gap == 1).cast("int"),
+        "is_one_day_rest": (gap == 2).cast("int"),
+        "is_well_rested": (gap >= 3).cast("int"),
+    }
+    return lambda t: gap_steps(keys, "days_since_last", first)(t).columns(**flags)
 
 
 def count_last_days(df: DataFrame, keys: Keys, days=(7, 14, 30), prefix: str = "games_last") -> DataFrame:
@@ -247,7 +225,13 @@ def form_flags(df: DataFrame, keys: Keys, value: str, band: float = 0.1) -> Data
 
     The lag and the three-row mean run across seasons; only the season mean restarts.
     """
+    return on_timeline(df, keys, form_steps(keys, value, band), reach=3)
+
+
+def form_steps(keys: Keys, value: str, band: float = 0.1):
     x = F.col(value)
+    mean = F.col("__s") / F.nullif(F.col("__c"), F.lit(0))
+    no = F.lit(False)
 
     def steps(t: Timeline) -> Timeline:
         t = t.look_back(
@@ -257,46 +241,36 @@ def form_flags(df: DataFrame, keys: Keys, value: str, band: float = 0.1) -> Data
                 "__last3": lambda w: F.avg(x).over(rows_before(w, 3)),
             },
         )
-        return t.running(
+        t = t.running(
             {"__s": Running("sum", x.cast("double")), "__c": Running("count", x)},
             by=[keys.season] if keys.season else [],
         )
+        return t.columns(
+            last_game_above_avg=F.coalesce(F.col("__last") > mean, no).cast("int"),
+            hot_last_3_games=F.coalesce(F.col("__last3") > mean * (1 + band), no).cast("int"),
+            cold_last_3_games=F.coalesce(F.col("__last3") < mean * (1 - band), no).cast("int"),
+        ).drop("__last", "__last3", "__s", "__c")
 
-    out = on_timeline(df, keys, steps, reach=3)
-    mean = F.col("__s") / F.nullif(F.col("__c"), F.lit(0))
-    no = F.lit(False)
-    return out.withColumns(
-        {
-            "last_game_above_avg": F.coalesce(F.col("__last") > mean, no).cast("int"),
-            "hot_last_3_games": F.coalesce(F.col("__last3") > mean * (1 + band), no).cast("int"),
-            "cold_last_3_games": F.coalesce(F.col("__last3") < mean * (1 - band), no).cast("int"),
-        }
-    ).drop("__last", "__last3", "__s", "__c")
+    return steps
 
 
 def minutes_context(df: DataFrame, keys: Keys, minutes: str, high: float = 28, low: float = 20) -> DataFrame:
     """Previous playing time, its five-row mean and deviation, and high / low flags."""
-    m = F.col(minutes)
-    out = on_timeline(
-        df,
-        keys,
-        lambda t: t.look_back(
-            5,
-            {
-                "minutes_last_game": lambda w: F.lag(m).over(w),
-                "minutes_avg_last5": lambda w: F.avg(m).over(rows_before(w, 5)),
-                "minutes_std_last5": lambda w: F.stddev_samp(m).over(rows_before(w, 5)),
-            },
-        ),
-        reach=5,
-    )
-    avg, no = F.col("minutes_avg_last5"), F.lit(False)
-    return out.withColumns(
-        {
-            "is_high_minutes": F.coalesce(avg >= high, no).cast("int"),
-            "is_low_minutes": F.coalesce(avg < low, no).cast("int"),
-        }
-    )
+    return on_timeline(df, keys, minutes_steps(minutes, high, low), reach=5)
+
+
+def minutes_steps(minutes: str, high: float = 28, low: float = 20):
+    m, avg, no = F.col(minutes), F.col("minutes_avg_last5"), F.lit(False)
+    frames = {
+        "minutes_last_game": lambda w: F.lag(m).over(w),
+        "minutes_avg_last5": lambda w: F.avg(m).over(rows_before(w, 5)),
+        "minutes_std_last5": lambda w: F.stddev_samp(m).over(rows_before(w, 5)),
+    }
+    flags = {
+        "is_high_minutes": F.coalesce(avg >= high, no).cast("int"),
+        "is_low_minutes": F.coalesce(avg < low, no).cast("int"),
+    }
+    return lambda t: t.look_back(5, frames).columns(**flags)
 
 
 def seasons_available(df: DataFrame, keys: Keys, value: str, name: str = "seasons_available",
@@ -330,30 +304,11 @@ def mid_series_row(df: DataFrame, keys: Keys, features, position: int = 15) -> D
 def rolling_table(df: DataFrame, keys: Keys, values, flag: Column | None = None, windows=WINDOWS,
                   half_lives=HALF_LIVES, trend_window: int = 10) -> DataFrame:
     """All rolling features of the values in one pass over the sorted history."""
-    values = as_tuple(values)
-    reach = max(*windows, trend_window)
-
-    def steps(t: Timeline) -> Timeline:
-        t = t.position("__pos")
-        cols = {}
-        for v in values:
-            for n in windows:
-                cols[f"{v}_mean_{n}"] = lambda w, v=v, n=n: F.avg(v).over(rows_before(w, n))
-                cols[f"{v}_std_{n}"] = lambda w, v=v, n=n: F.stddev_samp(v).over(rows_before(w, n))
-            cols[f"{v}_trend"] = lambda w, v=v: at_least(
-                F.col(v), F.regr_slope(F.col(v), F.col("__pos")), rows_before(w, trend_window), 3
-            )
-            if flag is not None:
-                cols[f"{v}_home_avg"] = lambda w, v=v: F.avg(F.when(flag, F.col(v))).over(rows_before(w, 10))
-                cols[f"{v}_away_avg"] = lambda w, v=v: F.avg(F.when(~flag, F.col(v))).over(rows_before(w, 10))
-        return t.look_back(reach, cols).drop("__pos")
-
-    if not half_lives:
-        return on_timeline(df, keys, steps, reach=reach)
-    return on_timeline(
-        df,
-        keys,
-        lambda t: _ewma_steps(steps(t), values, half_lives),
-        reach=reach,
-        block_rows=max(reach, _ewma_block(keys, half_lives)),
-    )
+    parts = [roll_steps(values, windows), trend_steps(values, trend_window)]
+    if flag is not None:
+        parts.append(split_steps(values, flag))
+    reach = max(*windows, trend_window, 10)
+    if half_lives:
+        parts.append(ewma_steps(values, half_lives))
+        reach = max(reach, ewma_reach(half_lives))
+    return on_timeline(df, keys, compose(*parts), reach=reach)

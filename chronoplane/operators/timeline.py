@@ -60,7 +60,14 @@ def slice_number(df: DataFrame, keys: Keys) -> Column:
     their minimum nor their maximum.
     """
     col, kind = F.col(keys.time), df.schema[keys.time].dataType
-    if isinstance(kind, T.DateType):
+    while isinstance(kind, T.StructType):
+        # Structs are ordered by their first field.
+        col, kind = col[kind[0].name], kind[0].dataType
+    if isinstance(kind, T.StringType):
+        # The first seven bytes as a number follow the byte order of the text.
+        code = F.rpad(F.substring(F.hex(F.encode(col, "UTF-8")), 1, 14), 14, "0")
+        number = F.conv(code, 16, 10).cast("long")
+    elif isinstance(kind, T.DateType):
         number = F.unix_date(col).cast("long")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         seconds = F.hour(col) * 3600 + F.minute(col) * 60 + F.floor(F.second(col))
@@ -72,7 +79,7 @@ def slice_number(df: DataFrame, keys: Keys) -> Column:
         number = F.signum(col.cast("double")) * F.floor(F.log2(F.abs(col.cast("double")) + 1) * 64)
         number = number.cast("long")
     else:
-        return F.lit(0).cast("long")
+        raise TypeError(f"cannot order a history by {kind.simpleString()}")
     return F.coalesce(number, F.lit(MIN_SLICE)).cast("long")
 
 
@@ -143,17 +150,28 @@ class Timeline:
 
     def look_back(self, rows: int, cols: dict[str, Callable[[WindowSpec], Column]]) -> "Timeline":
         """Columns over frames that reach at most `rows` rows back and never ahead."""
+        order = [F.col(INDEX)] if self.blocked else self.keys.order
+
+        def add(df: DataFrame, part: list[str]) -> DataFrame:
+            spec = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
+            return df.withColumns({n: f(spec.orderBy(*order)) for n, f in cols.items()})
+
+        return self.look_back_with(rows, add)
+
+    def look_back_with(self, rows: int, add: Callable[[DataFrame, list[str]], DataFrame]) -> "Timeline":
+        """`add(df, part)` for columns that need more than one window; `part` are the partition columns.
+
+        In a cut history the rows of a block are preceded by copies of the last `rows` rows before it.
+        """
         if not self.blocked:
-            return self.columns(**{n: f(self._window()) for n, f in cols.items()})
+            return replace(self, df=add(self.df, self._part))
         size = self.block_rows
         if rows > size:
             raise ValueError(f"look-back of {rows} rows exceeds the block of {size}")
         tail = (F.col(INDEX) % size) >= (size - rows)
         copies = F.when(tail, F.array(F.col(BLOCK), F.col(BLOCK) + 1)).otherwise(F.array(F.col(BLOCK)))
         spread = self.df.withColumn(TO, F.explode(copies))
-        part = [*self.keys.entity, TO]
-        w = Window.partitionBy(*part).orderBy(INDEX)
-        wide = spread.withColumns({n: f(w) for n, f in cols.items()})
+        wide = add(spread, [*self.keys.entity, TO])
         own = wide.filter(F.col(TO) == F.col(BLOCK)).drop(BLOCK).withColumnRenamed(TO, BLOCK)
         return replace(self, df=own)
 
@@ -219,16 +237,11 @@ def on_timeline(
     keys: Keys,
     steps: Callable[[Timeline], Timeline],
     reach: int = 1,
-    block_rows: int | None = None,
 ) -> DataFrame:
-    """Run `steps` over every history of `df`.
-
-    reach       the longest look-back, in rows, that the steps use
-    block_rows  cut histories longer than this (default `keys.hot_rows`)
-    """
+    """Run `steps` over every history of `df`; `reach` is the longest look-back, in rows, that they use."""
     require_columns(df, [*keys.entity, keys.time, *keys.event])
-    limit = block_rows or keys.hot_rows
-    if keys.hot_rows is None and block_rows is None:
+    limit = keys.hot_rows
+    if limit is None:
         return steps(Timeline(df, keys)).df
     entity = list(keys.entity)
     size = max(limit, reach)
@@ -245,6 +258,11 @@ def on_timeline(
     return short.unionByName(cut.select(*short.columns))
 
 
+def compose(*steps: Callable[[Timeline], Timeline]) -> Callable[[Timeline], Timeline]:
+    """Steps one after the other, so that several feature families share one exchange and one sort."""
+    return lambda t: reduce(lambda acc, step: step(acc), steps, t)
+
+
 def _blocked(df: DataFrame, keys: Keys, steps, size: int) -> DataFrame:
     numbered = number_rows(df, keys, total=TOTAL).withColumn(BLOCK, F.floor(F.col(INDEX) / size).cast("long"))
     return steps(Timeline(numbered, keys, size)).df.drop(INDEX, BLOCK, TOTAL)
