@@ -35,10 +35,13 @@ def missed_steps(keys: Keys, gap: int = MISSED_GAP_DAYS, longest: int = MISSED_M
         "likely_missed": flagged.cast("int"),
         "estimated_missed": F.when(flagged, F.greatest((days - 3) * 0.5, F.lit(0.0))).otherwise(F.lit(0.0)),
     }
-    # A gap column with a value for first rows, from the rest features, stays as it is.
-    return lambda t: (
-        lambda u: u.columns(**{n: c for n, c in cols.items() if n not in u.df.columns}).drop("__missed_gap")
-    )(gap_steps(keys, "__missed_gap")(t))
+
+    def steps(t: Timeline) -> Timeline:
+        t = gap_steps(keys, "__missed_gap")(t)
+        # A gap column that the rest features filled for first rows stays as it is.
+        return t.columns(**{n: c for n, c in cols.items() if n not in t.df.columns}).drop("__missed_gap")
+
+    return steps
 
 
 def events_since_reset(df: DataFrame, keys: Keys, gap: int = RESET_GAP_DAYS) -> DataFrame:

@@ -365,7 +365,20 @@ def significance(t):
     return PF.significance(bets(t), "season", t_test=False)
 
 
-@query("significance_t_test")
+# The t distribution by Simpson's rule on its density; the quantile by bisection on that.
+_PDF = "exp(lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5e0 * ln(nu * pi()) - (nu + 1) / 2 * ln(1 + {x} * {x} / nu))"
+
+
+def _area(x):
+    node = _PDF.format(x=f"({x} * i / 2000e0)")
+    return f"({x} / 6000e0 * list_sum(list_transform(range(0, 2001), lambda i: {node} * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)))"
+
+
+@query("significance_t_test", f"""WITH RECURSIVE {B_SQL}, a AS (SELECT CAST(count(*) AS BIGINT) AS c, CAST(count(*) FILTER (bet_correct) AS BIGINT) AS w, avg(profit) AS mp, stddev_samp(profit) AS sp,
+  CAST(count(*) - 1 AS DOUBLE) AS nu FROM b WHERE has_line), tq AS (SELECT 0e0 AS lo, 20e0 AS hi, 0 AS k, nu FROM a UNION ALL
+  SELECT CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END, k + 1, nu FROM (SELECT *, 0.5e0 + {_area('mid')} < 0.975e0 AS below FROM (SELECT *, (lo + hi) / 2 AS mid FROM tq)) WHERE k < 60),
+z AS (SELECT a.*, mp / (sp / sqrt(c)) AS ts, (SELECT (lo + hi) / 2 FROM tq WHERE k = 60) AS q FROM a)
+SELECT {_SIG}, {r('ts', 't_stat')}, {r('1 - 2 * ' + _area('abs(ts)'), 'p_t')}, {r('mp - q * sp / sqrt(c)', 'profit_ci_low')}, {r('mp + q * sp / sqrt(c)', 'profit_ci_high')} FROM z""")
 def significance_t_test(t):
     return PF.significance(bets(t))
 

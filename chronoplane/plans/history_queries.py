@@ -9,6 +9,7 @@ from chronoplane.operators import absence as A
 from chronoplane.operators import category as C
 from chronoplane.operators import history as H
 from chronoplane.operators import imputation as I
+from chronoplane.operators import master as MA
 from chronoplane.operators import matchup as M
 from chronoplane.plans.bindings import (
     CUST_W,
@@ -362,3 +363,31 @@ SELECT e, l_orderkey, {_RULE} AS position FROM a""")
 def entity_profile_as_of(t):
     k = Keys("e", "o_orderdate", "l_orderkey", hot_rows=t.hot_rows)
     return C.entity_profile(profiles(t), k, "reb", "ast", "fg3", "fga").select("e", "l_orderkey", "position")
+
+
+_UR = f"{CUST_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+@query("entity_features", f"""WITH {O_SQL}, e AS (SELECT *, row_number() OVER ({CUST_W}) AS k, {_GAP} AS d, CASE WHEN v < 3 THEN 1 ELSE 0 END AS np,
+  CASE WHEN count(v) OVER w10 >= 3 THEN avg(v) OVER w10 END AS ex, avg(v) OVER ({CUST_W} {rows(3)}) AS l3, lag(v) OVER ({CUST_W}) AS l1,
+  avg(v) OVER (PARTITION BY o_custkey, season ORDER BY o_orderdate, o_orderkey {_PRIOR}) AS sm FROM o WINDOW w10 AS ({CUST_W} {rows(10)})),
+f AS (SELECT *, CASE WHEN v < ex * 0.8e0 THEN 1 ELSE 0 END AS low, sum(CASE WHEN d > 10 THEN 1 ELSE 0 END) OVER ({_UR}) AS s1, sum(np) OVER ({_UR}) AS s2 FROM e),
+g AS (SELECT *, sum(1 - low) OVER ({_UR}) AS s3, row_number() OVER (PARTITION BY o_custkey, s1 ORDER BY o_orderdate, o_orderkey) - 1 AS c1,
+  sum(1 - np) OVER (PARTITION BY o_custkey, s2 ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM f),
+h AS (SELECT *, sum(low) OVER (PARTITION BY o_custkey, s3 ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lowrun,
+  CASE WHEN ex IS NOT NULL THEN greatest(ex - v, 0) END AS deficit FROM g)
+SELECT {OR}, {r('avg(v) OVER w5', 'v_mean_5')}, {r(f'stddev_samp(v) OVER ({CUST_W} {rows(20)})', 'v_std_20')},
+{r('CASE WHEN count(v) OVER w10 >= 3 THEN regr_slope(v, k) OVER w10 END', 'v_trend')}, {r("avg(CASE WHEN o_orderstatus = 'F' THEN v END) OVER w10", 'v_home_avg')},
+{n('coalesce(d, 3)', 'days_since_last')}, {n('coalesce(d, 3) >= 3', 'is_well_rested')}, {n('coalesce(d > 7 AND d <= 30, false)', 'likely_missed')},
+{n('c1', 'games_since_reset')}, {n(f'lag(np) OVER ({CUST_W})', 'is_dnp_prev')}, {n(f'lag(run) OVER ({CUST_W})', 'consecutive_played_prev')},
+{r(f'lag(deficit) OVER ({CUST_W})', 'minutes_deficit_prev')}, {n(f'lag(lowrun) OVER ({CUST_W})', 'restriction_run_prev')}, {r('avg(v) OVER w5', 'minutes_avg_last5')},
+{r(f'sum(v * pow(2e0, k / 7e0)) OVER ({CUST_W} {_PRIOR}) / sum(pow(2e0, k / 7e0)) OVER ({CUST_W} {_PRIOR})', 'v_ewma_7')},
+{n('row_number() OVER (PARTITION BY o_custkey, season ORDER BY o_orderdate, o_orderkey) - 1', 'games_this_season')}, {n('coalesce(l1 > sm, false)', 'last_game_above_avg')}
+FROM h WINDOW w5 AS ({CUST_W} {rows(5)}), w10 AS ({CUST_W} {rows(10)})""")
+def entity_features(t):
+    out = MA.entity_features(orders(t), order_keys(t), "v", "v", "v", F.col("o_orderstatus") == "F")
+    return _or(
+        out, "v_mean_5", "v_std_20", "v_trend", "v_home_avg", "days_since_last", "is_well_rested", "likely_missed",
+        "games_since_reset", "is_dnp_prev", "consecutive_played_prev", "minutes_deficit_prev", "restriction_run_prev",
+        "minutes_avg_last5", "v_ewma_7", "games_this_season", "last_game_above_avg",
+    )

@@ -14,6 +14,7 @@ from chronoplane.sources import nested as N
 from chronoplane.sources import readers as RD
 from chronoplane.sources import writers as W
 from chronoplane.streaming.ingest import event_stream, stream_ingest as run_ingest
+from chronoplane.streaming.settle import settled_bets
 from chronoplane.streaming.settle import stream_ledger as run_settle
 
 
@@ -104,6 +105,7 @@ _QUOTES = "SELECT l_orderkey, l_returnflag, l_linestatus, CASE WHEN l_linenumber
 
 
 def payloads(t):
+    """Lines nested by order; an order has a handful of lines, so its arrays are small."""
     lines = t.lineitem.select(
         "l_orderkey", "l_returnflag", "l_linestatus",
         F.struct(
@@ -237,6 +239,6 @@ def stream_ledger(t):
     done.repartition(4).write.parquet(arrivals)
     stream = event_stream(spark, arrivals, done.schema, files_per_trigger=2)
     run_settle(stream, ledger, settled, work_path(spark, "ckpt")).awaitTermination()
-    return spark.read.parquet(settled).select("o_orderkey", "status")
+    return settled_bets(spark, settled).select("o_orderkey", "status")
 
 

@@ -149,11 +149,17 @@ def fold_ids(df: DataFrame) -> DataFrame:
 
 
 def incremental_ingest(stored: DataFrame, new: DataFrame, grain, time: str, tie) -> DataFrame:
-    """Stored rows plus the new rows after the last stored time; a repeated key keeps its latest row."""
+    """Stored rows plus the new rows after the last stored time; a repeated key keeps its latest row.
+
+    The stored table has each key once, because every ingest leaves it so. Only the new rows are grouped, and
+    the stored rows only lose the keys that come again: a join with the small side, not a regrouping of all.
+    """
+    grain, tie = list(grain), list(tie)
     last = stored.agg(F.max(time)).scalar()
     fresh = new.filter(last.isNull() | (F.col(time) > last))
-    both = stored.withColumn("__new", F.lit(0)).unionByName(fresh.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    grain, tie = list(grain), list(tie)
-    rest = [c for c in both.columns if c not in (*grain, *tie, "__new")]
-    best = F.max(F.struct(F.col("__new"), *[F.col(c) for c in (*tie, *rest)])).alias("__b")
-    return both.groupBy(*grain).agg(best).select(*grain, "__b.*").drop("__new").select(*stored.columns)
+    rest = [c for c in fresh.columns if c not in (*grain, *tie)]
+    lead = [c for c in tie if c not in grain]
+    best = F.max(F.struct(*[F.col(c) for c in (*lead, *rest)])).alias("__b")
+    latest = fresh.groupBy(*grain).agg(best).select(*grain, "__b.*")
+    kept = stored.join(latest.select(*grain), grain, "left_anti")
+    return kept.unionByName(latest, allowMissingColumns=True).select(*stored.columns)

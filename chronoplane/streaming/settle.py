@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,22 +11,36 @@ from chronoplane.operators.ledger import ledger_settle
 
 
 def stream_ledger(results: DataFrame, ledger_path: str, settled_path: str, checkpoint: str,
-                  key=("player_name", "bet_date"), once: bool = True) -> StreamingQuery:
+                  key=("player_name", "bet_date"), date: str = "bet_date", once: bool = True) -> StreamingQuery:
     """Settle pending bets as results arrive; every batch writes its settled bets to its own folder.
 
-    A batch that runs again after a failure overwrites its own folder, so every bet is settled once.
+    A batch that runs again after a failure overwrites its own folder. The ledger is read only inside the
+    batch's dates, so old files are skipped by their statistics.
     """
     key = as_tuple(key)
 
     def settle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        latest = batch.groupBy(*key).agg(F.max("actual").alias("actual"))
-        ledger = spark.read.parquet(ledger_path)
-        due = ledger.filter(F.col("status") == "pending").join(latest.select(*key), list(key), "left_semi")
-        done = ledger_settle(due, latest, key)
-        done.write.mode("overwrite").parquet(f"{settled_path}/batch={batch_id}")
+        latest = batch.groupBy(*key).agg(F.max("actual").alias("actual")).persist()
+        try:
+            span = latest.agg(F.min(date).alias("a"), F.max(date).alias("b"))
+            ledger = spark.read.parquet(ledger_path).filter(
+                (F.col(date) >= span.select("a").scalar()) & (F.col(date) <= span.select("b").scalar())
+            )
+            due = ledger.filter(F.col("status") == "pending").join(latest.select(*key), list(key), "left_semi")
+            ledger_settle(due, latest, key).write.mode("overwrite").parquet(f"{settled_path}/batch={batch_id}")
+        finally:
+            latest.unpersist()
 
     writer = results.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def settled_bets(spark: SparkSession, settled_path: str, key=("player_name", "bet_date")) -> DataFrame:
+    """Settled bets; where a result came again in a later batch, that batch counts."""
+    rows = spark.read.parquet(settled_path)
+    key = list(as_tuple(key))
+    newest = rows.groupBy(*key).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [*key, "batch"], "left_semi").drop("batch")
