@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoplane.keys import Keys, day_number
 from chronoplane.operators.history import at_least, gap_steps, rows_before
-from chronoplane.operators.timeline import Running, Timeline, join_same, on_timeline
+from chronoplane.operators.timeline import POSITION, Cols, Look, Run, Running, compose, join_same, on_timeline
 
 # Gap above which rows were missed, longest gap inside a season, gap that restarts the
 # counter (days); playing time below which a row counts as not played; rate that means planned rest.
@@ -24,50 +24,51 @@ REST_RATE = 0.15
 
 def missed_events(df: DataFrame, keys: Keys, gap: int = MISSED_GAP_DAYS, longest: int = MISSED_MAX_DAYS) -> DataFrame:
     """Flag a gap in (gap, longest] days and estimate the events missed as half a day each beyond three."""
-    return on_timeline(df, keys, missed_steps(keys, gap, longest))
+    return on_timeline(df, keys, compose(missed_steps(keys, gap, longest)))
 
 
-def missed_steps(keys: Keys, gap: int = MISSED_GAP_DAYS, longest: int = MISSED_MAX_DAYS):
+def missed_steps(keys: Keys, gap: int = MISSED_GAP_DAYS, longest: int = MISSED_MAX_DAYS,
+                 gap_name: str | None = "days_since_last"):
     days = F.col("__missed_gap")
     flagged = F.coalesce((days > gap) & (days <= longest), F.lit(False))
     cols = {
-        "days_since_last": days,
         "likely_missed": flagged.cast("int"),
         "estimated_missed": F.when(flagged, F.greatest((days - 3) * 0.5, F.lit(0.0))).otherwise(F.lit(0.0)),
     }
+    if gap_name:
+        cols[gap_name] = days
 
-    def steps(t: Timeline) -> Timeline:
-        t = gap_steps(keys, "__missed_gap")(t)
-        # A gap column that the rest features filled for first rows stays as it is.
-        return t.columns(**{n: c for n, c in cols.items() if n not in t.df.columns}).drop("__missed_gap")
+    def family():
+        yield from gap_steps(keys, "__missed_gap")()
+        yield Cols(cols, ("__missed_gap",))
 
-    return steps
+    return family
 
 
 def events_since_reset(df: DataFrame, keys: Keys, gap: int = RESET_GAP_DAYS) -> DataFrame:
     """Rows since the last gap of more than `gap` days (0 on the row after it), and the early-return flags."""
-    return on_timeline(df, keys, reset_steps(keys, gap))
+    return on_timeline(df, keys, compose(reset_steps(keys, gap)))
 
 
 def reset_steps(keys: Keys, gap: int = RESET_GAP_DAYS):
     day = day_number(F.col(keys.time))
+    n = F.col("games_since_reset")
+
+    def family():
+        yield Look(1, {"__gap": lambda w: day - F.lag(day).over(w)})
+        restart = F.when(F.coalesce(F.col("__gap") > gap, F.lit(False)), F.col(POSITION))
+        yield Run({"__at": Running("max", restart, prior=False)})
+        yield Cols({"games_since_reset": F.col(POSITION) - F.coalesce(F.col("__at"), F.lit(0))}, ("__gap", "__at"))
+        yield Cols(
+            {"is_returning": ((n > 0) & (n <= 5)).cast("int"), "is_early_return": ((n > 0) & (n <= 2)).cast("int")}
+        )
 
-    def steps(t: Timeline) -> Timeline:
-        t = t.position("__pos").look_back(1, {"__gap": lambda w: day - F.lag(day).over(w)})
-        restart = F.when(F.coalesce(F.col("__gap") > gap, F.lit(False)), F.col("__pos"))
-        t = t.running({"__at": Running("max", restart, prior=False)})
-        t = t.columns(games_since_reset=F.col("__pos") - F.coalesce(F.col("__at"), F.lit(0)))
-        n = F.col("games_since_reset")
-        return t.columns(
-            is_returning=((n > 0) & (n <= 5)).cast("int"), is_early_return=((n > 0) & (n <= 2)).cast("int")
-        ).drop("__pos", "__gap", "__at")
-
-    return steps
+    return family
 
 
 def _run_length(holds: Column, last_break: str) -> Column:
     """Length of the current run of rows where `holds`, given the position of the last row where it fails."""
-    return F.when(holds, F.col("__pos") - F.coalesce(F.col(last_break), F.lit(-1))).otherwise(F.lit(0)).cast("long")
+    return F.when(holds, F.col(POSITION) - F.coalesce(F.col(last_break), F.lit(-1))).otherwise(F.lit(0)).cast("long")
 
 
 def dnp_patterns(
@@ -85,7 +86,7 @@ def dnp_patterns(
     The flag, the rest flag and the run read the current row, as a report on the past wants them;
     `lag=True` shifts these three one row back so that they can be used as features.
     """
-    out = on_timeline(df, keys, dnp_steps(minutes, rows, days, threshold, rate, lag), reach=rows or 1)
+    out = on_timeline(df, keys, compose(dnp_steps(minutes, rows, days, threshold, rate, lag)), reach=rows or 1)
     if days is None:
         return out
     m = F.col(minutes)
@@ -97,24 +98,30 @@ def dnp_steps(minutes: str, rows: int | None = 30, days: int | None = None, thre
     m = F.col(minutes)
     not_played = F.coalesce(m < threshold, F.lit(False))
 
-    def steps(t: Timeline) -> Timeline:
-        t = t.columns(__np=not_played.cast("int")).position("__pos")
+    def family():
+        yield Cols({"__np": not_played.cast("int")})
         if days is None:
-            t = t.look_back(rows, {"dnp_rate": lambda w: F.avg("__np").over(rows_before(w, rows))})
-        t = t.running({"__brk": Running("max", F.when(F.col("__np") == 1, F.col("__pos")), prior=False)})
-        rate_col = F.col("dnp_rate")
-        t = t.columns(
-            is_dnp=F.col("__np"),
-            consecutive_played=_run_length(F.col("__np") == 0, "__brk"),
-        )
+            yield Look(rows, {"dnp_rate": lambda w: F.avg("__np").over(rows_before(w, rows))})
+        broken = F.when(F.col("__np") == 1, F.col(POSITION))
+        yield Run({"__np_at": Running("max", broken, prior=False)})
+        same_row = {
+            "is_dnp": F.col("__np"),
+            "consecutive_played": _run_length(F.col("__np") == 0, "__np_at"),
+        }
         if days is None:
-            t = t.columns(likely_rested=F.coalesce((rate_col > rate) & (m > 0), F.lit(False)).cast("int"))
+            rested = (F.col("dnp_rate") > rate) & (m > 0)
+            same_row["likely_rested"] = F.coalesce(rested, F.lit(False)).cast("int")
+        yield Cols(same_row, ("__np", "__np_at"))
         if lag:
-            same_row = ["is_dnp", "consecutive_played"] + (["likely_rested"] if days is None else [])
-            t = t.look_back(1, {f"{c}_prev": (lambda w, c=c: F.lag(c).over(w)) for c in same_row}).drop(*same_row)
-        return t.drop("__np", "__pos", "__brk")
+            yield from _one_back(same_row)
+
+    return family
 
-    return steps
+
+def _one_back(names):
+    """Move columns one row back, as `<name>_prev`."""
+    yield Look(1, {f"{c}_prev": (lambda w, c=c: F.lag(c).over(w)) for c in names})
+    yield Cols({}, tuple(names))
 
 
 def _day_rate(out, df, keys, not_played, days, rate, minutes):
@@ -138,36 +145,35 @@ def recovery(df: DataFrame, keys: Keys, minutes: str, share: float = 0.8, ramp:
     Expected is the mean of the previous ten rows once three are there. The ramp is the change over the
     previous three rows per row. Deficit and run read the current row; `lag=True` shifts them one back.
     """
-    return on_timeline(df, keys, recovery_steps(minutes, share, ramp, lag), reach=10)
+    return on_timeline(df, keys, compose(recovery_steps(minutes, share, ramp, lag)), reach=10)
 
 
 def recovery_steps(minutes: str, share: float = 0.8, ramp: float = 2.0, lag: bool = False):
     m = F.col(minutes)
 
-    def steps(t: Timeline) -> Timeline:
-        t = t.position("__pos").look_back(
+    def family():
+        yield Look(
             10,
             {
                 "expected_minutes": lambda w: at_least(m, F.avg(m), rows_before(w, 10), 3),
                 "minutes_ramp": lambda w: (F.lag(m, 1).over(w) - F.lag(m, 3).over(w)) / 3,
             },
         )
-        below = F.coalesce(m < F.col("expected_minutes") * share, F.lit(False))
-        t = t.columns(__low=below).running(
-            {"__brk": Running("max", F.when(~F.col("__low"), F.col("__pos")), prior=False)}
-        )
-        t = t.columns(
-            minutes_deficit=F.when(
-                F.col("expected_minutes").isNotNull() & m.isNotNull(),
-                F.greatest(F.col("expected_minutes") - m, F.lit(0.0)),
-            ),
-            is_ramping_up=F.coalesce(F.col("minutes_ramp") > ramp, F.lit(False)).cast("int"),
-            restriction_run=_run_length(F.col("__low"), "__brk"),
+        expected = F.col("expected_minutes")
+        yield Cols({"__low": F.coalesce(m < expected * share, F.lit(False))})
+        yield Run({"__low_at": Running("max", F.when(~F.col("__low"), F.col(POSITION)), prior=False)})
+        deficit = F.when(expected.isNotNull() & m.isNotNull(), F.greatest(expected - m, F.lit(0.0)))
+        run = _run_length(F.col("__low"), "__low_at")
+        yield Cols(
+            {
+                "minutes_deficit": deficit,
+                "is_ramping_up": F.coalesce(F.col("minutes_ramp") > ramp, F.lit(False)).cast("int"),
+                "restriction_run": run,
+                "is_restricted": (run >= 2).cast("int"),
+            },
+            ("__low", "__low_at"),
         )
-        t = t.columns(is_restricted=(F.col("restriction_run") >= 2).cast("int"))
         if lag:
-            same_row = ["minutes_deficit", "restriction_run", "is_restricted"]
-            t = t.look_back(1, {f"{c}_prev": (lambda w, c=c: F.lag(c).over(w)) for c in same_row}).drop(*same_row)
-        return t.drop("__pos", "__low", "__brk")
+            yield from _one_back(["minutes_deficit", "restriction_run", "is_restricted"])
 
-    return steps
+    return family

@@ -10,7 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplane.keys import Keys, as_tuple, day_number
-from chronoplane.operators.timeline import Running, Timeline, compose, join_same, on_timeline
+from chronoplane.operators.timeline import (
+    POSITION,
+    Cols,
+    Look,
+    LookWith,
+    Run,
+    Running,
+    compose,
+    join_same,
+    on_timeline,
+)
 
 # Window sizes in rows, half-lives in rows.
 WINDOWS = (5, 10, 20)
@@ -42,7 +52,7 @@ def lag_roll(df: DataFrame, keys: Keys, values, windows=WINDOWS, min_periods: in
 
 
 def _rolling(df, keys, values, windows, aggs, min_periods):
-    return on_timeline(df, keys, roll_steps(values, windows, aggs, min_periods), reach=max(windows))
+    return on_timeline(df, keys, compose(roll_steps(values, windows, aggs, min_periods)), reach=max(windows))
 
 
 def roll_steps(values, windows=WINDOWS, aggs=None, min_periods: int = 1):
@@ -55,12 +65,12 @@ def roll_steps(values, windows=WINDOWS, aggs=None, min_periods: int = 1):
         for n in windows
         for name, f in aggs.items()
     }
-    return lambda t: t.look_back(max(windows), cols)
+    return lambda: iter([Look(max(windows), cols)])
 
 
 def lag_ewma(df: DataFrame, keys: Keys, values, half_lives=HALF_LIVES) -> DataFrame:
     """Exponentially weighted mean of all earlier values: `<value>_ewma_<h>`."""
-    return on_timeline(df, keys, ewma_steps(values, half_lives), reach=ewma_reach(half_lives))
+    return on_timeline(df, keys, compose(ewma_steps(values, half_lives)), reach=ewma_reach(half_lives))
 
 
 def ewma_reach(half_lives) -> int:
@@ -82,9 +92,9 @@ def ewma_steps(values, half_lives=HALF_LIVES):
 
     def add_means(df: DataFrame, part: list[str]) -> DataFrame:
         spec = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-        inside = Window.partitionBy(*part, "__run").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
-        df = df.withColumn("__run", F.floor(F.col("__pos") / run).cast("long"))
-        df = df.withColumn("__j", (F.col("__pos") - F.col("__run") * run).cast("double"))
+        inside = Window.partitionBy(*part, "__run").orderBy(POSITION).rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("__run", F.floor(F.col(POSITION) / run).cast("long"))
+        df = df.withColumn("__j", (F.col(POSITION) - F.col("__run") * run).cast("double"))
         local, means = {}, {}
         for h, tag in tags.items():
             weight = F.pow(F.lit(2.0), F.col("__j") / h)
@@ -102,45 +112,39 @@ def ewma_steps(values, half_lives=HALF_LIVES):
                 means[f"{v}_ewma_{tag}"] = n / F.nullif(d, F.lit(0.0))
         return df.withColumns(local).withColumns(means).drop(*local, "__run", "__j")
 
-    def steps(t: Timeline) -> Timeline:
-        t = t.position("__pos").look_back_with(ewma_reach(half_lives), add_means)
+    def family():
+        yield LookWith(ewma_reach(half_lives), add_means)
         names = [f"{v}_ewma_{tag}" for v in values for tag in tags.values()]
         # After a stretch of missing values longer than the reach the last mean still stands.
         last = {
-            f"__l_{c}": Running("max", F.when(F.col(c).isNotNull(), F.struct(F.col("__pos"), F.col(c).alias("m"))))
+            f"__l_{c}": Running("max", F.when(F.col(c).isNotNull(), F.struct(F.col(POSITION), F.col(c).alias("m"))))
             for c in names
         }
-        t = t.running(last)
-        return t.columns(**{c: F.coalesce(F.col(c), F.col(f"__l_{c}.m")) for c in names}).drop("__pos", *last)
+        yield Run(last)
+        yield Cols({c: F.coalesce(F.col(c), F.col(f"__l_{c}.m")) for c in names}, tuple(last))
 
-    return steps
+    return family
 
 
 def lag_trend(df: DataFrame, keys: Keys, values, window: int = 10, min_points: int = 3) -> DataFrame:
     """Least-squares slope per row over the previous `window` rows: `<value>_trend`."""
-    return on_timeline(df, keys, trend_steps(values, window, min_points), reach=window)
+    return on_timeline(df, keys, compose(trend_steps(values, window, min_points)), reach=window)
 
 
 def trend_steps(values, window: int = 10, min_points: int = 3):
-    values = as_tuple(values)
-
-    def steps(t: Timeline) -> Timeline:
-        t = t.position("__pos")
-        cols = {
-            f"{v}_trend": lambda w, v=v: at_least(
-                F.col(v), F.regr_slope(F.col(v), F.col("__pos")), rows_before(w, window), min_points
-            )
-            for v in values
-        }
-        return t.look_back(window, cols).drop("__pos")
-
-    return steps
+    cols = {
+        f"{v}_trend": lambda w, v=v: at_least(
+            F.col(v), F.regr_slope(F.col(v), F.col(POSITION)), rows_before(w, window), min_points
+        )
+        for v in as_tuple(values)
+    }
+    return lambda: iter([Look(window, cols)])
 
 
 def lag_split_mean(df: DataFrame, keys: Keys, values, flag: Column, window: int = 10,
                    names=("home", "away")) -> DataFrame:
     """Mean over the previous `window` rows of only the rows where flag holds, and of the others."""
-    return on_timeline(df, keys, split_steps(values, flag, window, names), reach=window)
+    return on_timeline(df, keys, compose(split_steps(values, flag, window, names)), reach=window)
 
 
 def split_steps(values, flag: Column, window: int = 10, names=("home", "away")):
@@ -149,22 +153,21 @@ def split_steps(values, flag: Column, window: int = 10, names=("home", "away")):
     for v in values:
         cols[f"{v}_{names[0]}_avg"] = lambda w, v=v: F.avg(F.when(flag, F.col(v))).over(rows_before(w, window))
         cols[f"{v}_{names[1]}_avg"] = lambda w, v=v: F.avg(F.when(~flag, F.col(v))).over(rows_before(w, window))
-    return lambda t: t.look_back(window, cols)
+    return lambda: iter([Look(window, cols)])
 
 
 def season_seq(df: DataFrame, keys: Keys, name: str = "games_this_season") -> DataFrame:
     """Number of earlier rows of the entity in the same season."""
-    return on_timeline(df, keys, season_steps(keys, name))
+    return on_timeline(df, keys, compose(season_steps(keys, name)))
 
 
 def season_steps(keys: Keys, name: str = "games_this_season"):
-    by = [keys.season] if keys.season else []
-    return lambda t: t.running({name: Running("count", F.lit(1))}, by=by)
+    return lambda: iter([Run({name: Running("count", F.lit(1))}, as_tuple(keys.season))])
 
 
 def gap_days(df: DataFrame, keys: Keys, name: str = "days_since_last", first: int | None = None) -> DataFrame:
     """Days since the entity's previous row; `first` where there is none (NULL when not given)."""
-    return on_timeline(df, keys, gap_steps(keys, name, first))
+    return on_timeline(df, keys, compose(gap_steps(keys, name, first)))
 
 
 def gap_steps(keys: Keys, name: str = "days_since_last", first: int | None = None):
@@ -174,12 +177,12 @@ def gap_steps(keys: Keys, name: str = "days_since_last", first: int | None = Non
         days = day - F.lag(day).over(w)
         return days if first is None else F.coalesce(days, F.lit(first))
 
-    return lambda t: t.look_back(1, {name: gap})
+    return lambda: iter([Look(1, {name: gap})])
 
 
 def gap_flags(df: DataFrame, keys: Keys, first: int = 3) -> DataFrame:
     """Gap in days and its classes: next day, one day between, three days or more."""
-    return on_timeline(df, keys, gap_flag_steps(keys, first))
+    return on_timeline(df, keys, compose(gap_flag_steps(keys, first)))
 
 
 def gap_flag_steps(keys: Keys, first: int = 3):
@@ -189,7 +192,12 @@ def gap_flag_steps(keys: Keys, first: int = 3):
         "is_one_day_rest": (gap == 2).cast("int"),
         "is_well_rested": (gap >= 3).cast("int"),
     }
-    return lambda t: gap_steps(keys, "days_since_last", first)(t).columns(**flags)
+
+    def family():
+        yield from gap_steps(keys, "days_since_last", first)()
+        yield Cols(flags)
+
+    return family
 
 
 def count_last_days(df: DataFrame, keys: Keys, days=(7, 14, 30), prefix: str = "games_last") -> DataFrame:
@@ -225,7 +233,7 @@ def form_flags(df: DataFrame, keys: Keys, value: str, band: float = 0.1) -> Data
 
     The lag and the three-row mean run across seasons; only the season mean restarts.
     """
-    return on_timeline(df, keys, form_steps(keys, value, band), reach=3)
+    return on_timeline(df, keys, compose(form_steps(keys, value, band)), reach=3)
 
 
 def form_steps(keys: Keys, value: str, band: float = 0.1):
@@ -233,30 +241,30 @@ def form_steps(keys: Keys, value: str, band: float = 0.1):
     mean = F.col("__s") / F.nullif(F.col("__c"), F.lit(0))
     no = F.lit(False)
 
-    def steps(t: Timeline) -> Timeline:
-        t = t.look_back(
+    def family():
+        yield Look(
             3,
             {
                 "__last": lambda w: F.lag(x).over(w),
                 "__last3": lambda w: F.avg(x).over(rows_before(w, 3)),
             },
         )
-        t = t.running(
-            {"__s": Running("sum", x.cast("double")), "__c": Running("count", x)},
-            by=[keys.season] if keys.season else [],
+        yield Run({"__s": Running("sum", x.cast("double")), "__c": Running("count", x)}, as_tuple(keys.season))
+        yield Cols(
+            {
+                "last_game_above_avg": F.coalesce(F.col("__last") > mean, no).cast("int"),
+                "hot_last_3_games": F.coalesce(F.col("__last3") > mean * (1 + band), no).cast("int"),
+                "cold_last_3_games": F.coalesce(F.col("__last3") < mean * (1 - band), no).cast("int"),
+            },
+            ("__last", "__last3", "__s", "__c"),
         )
-        return t.columns(
-            last_game_above_avg=F.coalesce(F.col("__last") > mean, no).cast("int"),
-            hot_last_3_games=F.coalesce(F.col("__last3") > mean * (1 + band), no).cast("int"),
-            cold_last_3_games=F.coalesce(F.col("__last3") < mean * (1 - band), no).cast("int"),
-        ).drop("__last", "__last3", "__s", "__c")
 
-    return steps
+    return family
 
 
 def minutes_context(df: DataFrame, keys: Keys, minutes: str, high: float = 28, low: float = 20) -> DataFrame:
     """Previous playing time, its five-row mean and deviation, and high / low flags."""
-    return on_timeline(df, keys, minutes_steps(minutes, high, low), reach=5)
+    return on_timeline(df, keys, compose(minutes_steps(minutes, high, low)), reach=5)
 
 
 def minutes_steps(minutes: str, high: float = 28, low: float = 20):
@@ -270,7 +278,7 @@ def minutes_steps(minutes: str, high: float = 28, low: float = 20):
         "is_high_minutes": F.coalesce(avg >= high, no).cast("int"),
         "is_low_minutes": F.coalesce(avg < low, no).cast("int"),
     }
-    return lambda t: t.look_back(5, frames).columns(**flags)
+    return lambda: iter([Look(5, frames), Cols(flags)])
 
 
 def seasons_available(df: DataFrame, keys: Keys, value: str, name: str = "seasons_available",
@@ -289,7 +297,7 @@ def seasons_available(df: DataFrame, keys: Keys, value: str, name: str = "season
 
 def mid_series_row(df: DataFrame, keys: Keys, features, position: int = 15) -> DataFrame:
     """Per feature: entities that reach row number `position` and those where it is still empty there."""
-    rows = on_timeline(df, keys, lambda t: t.position("__pos")).filter(F.col("__pos") == position)
+    rows = on_timeline(df, keys, lambda t: t.position("__at")).filter(F.col("__at") == position)
     features = as_tuple(features)
     one = rows.agg(
         F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in features]

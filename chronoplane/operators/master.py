@@ -26,7 +26,7 @@ def entity_features(df: DataFrame, keys: Keys, values, form: str, minutes: str,
         H.roll_steps(values, windows),
         H.trend_steps(values),
         H.gap_flag_steps(keys),
-        A.missed_steps(keys),
+        A.missed_steps(keys, gap_name=None),
         A.reset_steps(keys),
         A.dnp_steps(minutes, lag=True),
         A.recovery_steps(minutes, lag=True),

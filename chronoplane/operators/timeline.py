@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from functools import reduce
-from typing import Callable
+from typing import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -123,6 +123,10 @@ class Timeline:
     def blocked(self) -> bool:
         return self.block_rows is not None
 
+    @property
+    def order(self) -> list[Column]:
+        return [F.col(INDEX)] if self.blocked else self.keys.order
+
     @property
     def _part(self) -> list[str]:
         return [*self.keys.entity, BLOCK] if self.blocked else list(self.keys.entity)
@@ -130,7 +134,7 @@ class Timeline:
     def _window(self, extra=()) -> WindowSpec:
         part = [*self._part, *extra]
         spec = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-        return spec.orderBy(F.col(INDEX)) if self.blocked else spec.orderBy(*self.keys.order)
+        return spec.orderBy(*self.order)
 
     def columns(self, **cols: Column) -> "Timeline":
         return replace(self, df=self.df.withColumns(cols)) if cols else self
@@ -150,13 +154,7 @@ class Timeline:
 
     def look_back(self, rows: int, cols: dict[str, Callable[[WindowSpec], Column]]) -> "Timeline":
         """Columns over frames that reach at most `rows` rows back and never ahead."""
-        order = [F.col(INDEX)] if self.blocked else self.keys.order
-
-        def add(df: DataFrame, part: list[str]) -> DataFrame:
-            spec = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-            return df.withColumns({n: f(spec.orderBy(*order)) for n, f in cols.items()})
-
-        return self.look_back_with(rows, add)
+        return self.look_back_with(rows, _all_looks([Look(rows, cols)], self))
 
     def look_back_with(self, rows: int, add: Callable[[DataFrame, list[str]], DataFrame]) -> "Timeline":
         """`add(df, part)` for columns that need more than one window; `part` are the partition columns.
@@ -258,9 +256,93 @@ def on_timeline(
     return short.unionByName(cut.select(*short.columns))
 
 
-def compose(*steps: Callable[[Timeline], Timeline]) -> Callable[[Timeline], Timeline]:
-    """Steps one after the other, so that several feature families share one exchange and one sort."""
-    return lambda t: reduce(lambda acc, step: step(acc), steps, t)
+POSITION = "__pos"
+
+
+@dataclass(frozen=True)
+class Look:
+    """Ask for columns over frames that reach at most `rows` rows back."""
+
+    rows: int
+    cols: dict[str, Callable[[WindowSpec], Column]]
+
+
+@dataclass(frozen=True)
+class LookWith:
+    """Ask for columns that `add(df, part)` makes, with windows of its own."""
+
+    rows: int
+    add: Callable[[DataFrame, list[str]], DataFrame]
+
+
+@dataclass(frozen=True)
+class Run:
+    """Ask for running aggregates."""
+
+    cols: dict[str, Running]
+    by: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Cols:
+    """Ask for plain columns and drop helpers."""
+
+    cols: dict[str, Column]
+    drop: tuple[str, ...] = ()
+
+
+def compose(*families: Callable[[], Iterator]) -> Callable[[Timeline], Timeline]:
+    """Steps that run several feature families side by side.
+
+    A family is a generator of requests (`Look`, `LookWith`, `Run`, `Cols`). Requests of the same kind are
+    answered together, so all families share one exchange and sort, and a cut history is copied and carried
+    once per round instead of once per family. `POSITION` holds the row's place in its history meanwhile.
+    """
+
+    def steps(t: Timeline) -> Timeline:
+        t = t.position(POSITION)
+        live = [family() for family in families]
+        asked = [next(g, None) for g in live]
+
+        def advance(kinds) -> list:
+            taken = []
+            for i, request in enumerate(asked):
+                if isinstance(request, kinds):
+                    taken.append(request)
+                    asked[i] = next(live[i], None)
+            return taken
+
+        while any(request is not None for request in asked):
+            if plain := advance(Cols):
+                for request in plain:
+                    t = t.columns(**request.cols).drop(*request.drop)
+            elif looks := advance((Look, LookWith)):
+                t = t.look_back_with(max(q.rows for q in looks), _all_looks(looks, t))
+            else:
+                by_group: dict[tuple[str, ...], dict[str, Running]] = {}
+                for request in advance(Run):
+                    by_group.setdefault(tuple(request.by), {}).update(request.cols)
+                for by, cols in by_group.items():
+                    t = t.running(cols, by)
+        return t.drop(POSITION)
+
+    return steps
+
+
+def _all_looks(looks, t: Timeline) -> Callable[[DataFrame, list[str]], DataFrame]:
+    order = t.order
+
+    def add(df: DataFrame, part: list[str]) -> DataFrame:
+        spec = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
+        frames = {n: f for q in looks if isinstance(q, Look) for n, f in q.cols.items()}
+        if frames:
+            df = df.withColumns({n: f(spec.orderBy(*order)) for n, f in frames.items()})
+        for q in looks:
+            if isinstance(q, LookWith):
+                df = q.add(df, part)
+        return df
+
+    return add
 
 
 def _blocked(df: DataFrame, keys: Keys, steps, size: int) -> DataFrame:
