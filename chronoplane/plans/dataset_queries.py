@@ -59,12 +59,12 @@ def entity_gap(t):
 
 
 @query("season_cv", f"""WITH {O_SQL}, {_GAP_SQL}, c AS (SELECT si, count(*) AS c, count(*) FILTER (NOT in_gap) AS kept FROM gap GROUP BY 1),
-f AS (SELECT si AS test, row_number() OVER (ORDER BY si) - 1 AS fold FROM c WHERE si > 3 AND c >= 1000 AND kept >= 1000),
+f AS (SELECT si AS test, row_number() OVER (ORDER BY si) - 1 AS fold FROM c WHERE si > 3 AND c >= 100 AND kept >= 100),
 tr AS (SELECT fold, o_orderkey, row_number() OVER (PARTITION BY fold ORDER BY o_orderdate, o_orderkey) AS rk, count(*) OVER (PARTITION BY fold) AS c FROM gap JOIN f ON si BETWEEN test - 3 AND test - 1)
 SELECT {n('fold', 'fold')}, o_orderkey, CASE WHEN rk <= floor(c * (1 - 0.2e0)) THEN 'train' ELSE 'val' END AS split FROM tr
 UNION ALL SELECT CAST(fold AS BIGINT), o_orderkey, 'test' FROM gap JOIN f ON si = test WHERE NOT in_gap""")
 def season_cv(t):
-    return S.season_cv(orders(t), order_keys(t), 3, _GAP, 1000).select("fold", "o_orderkey", "split")
+    return S.season_cv(orders(t), order_keys(t), 3, _GAP, 100).select("fold", "o_orderkey", "split")
 
 
 # --- imputation ------------------------------------------------------------------------------------------
