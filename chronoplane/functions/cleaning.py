@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoplane.keys import as_tuple
+from chronoplane.keys import as_tuple, in_days
 
 # Date formats tried in turn; the home marker, opponent and team patterns of an event label.
 DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MMM dd, yyyy", "MM/dd/yyyy")
@@ -300,5 +301,6 @@ def feature_matrix(df: DataFrame, target: str, features, keys=(), fill: float |
 def upcoming_filter(df: DataFrame, ts: str, date=None, now: Column | None = None) -> DataFrame:
     """Events on a date, or starting after `now` (default: the current time)."""
     if date is not None:
-        return df.filter(F.to_date(ts) == F.lit(date).cast("date"))
+        day = dt.date.fromisoformat(str(date))
+        return in_days(df, ts, day, day + dt.timedelta(days=1))
     return df.filter(F.col(ts) > (F.current_timestamp() if now is None else now))

@@ -57,6 +57,16 @@ def day_number(col: Column) -> Column:
     return F.unix_date(F.to_date(col))
 
 
+def in_days(df: DataFrame, time: str, start=None, end=None) -> DataFrame:
+    """Rows with start <= day < end. Compares the column itself, so the filter reaches the scan."""
+    kind = df.schema[time].dataType
+    if start is not None:
+        df = df.filter(F.col(time) >= F.lit(str(start)).cast(kind))
+    if end is not None:
+        df = df.filter(F.col(time) < F.lit(str(end)).cast(kind))
+    return df
+
+
 def require_columns(df: DataFrame, cols) -> None:
     """Fail early, without a job, when a needed column is absent."""
     missing = [c for c in cols if c not in df.columns]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplane.functions.cleaning import season_lookup
-from chronoplane.keys import Keys, as_tuple, day_number
+from chronoplane.keys import Keys, as_tuple, day_number, in_days
 from chronoplane.operators.timeline import Running, join_same, on_timeline
 
 
@@ -173,9 +174,8 @@ def semi_in(df: DataFrame, wanted: DataFrame, key) -> DataFrame:
 
 def training_window(df: DataFrame, time: str, date, years: int = 3) -> DataFrame:
     """Rows in [date - 365 years, date) for one prediction date; the filter reaches the scan."""
-    end = F.lit(date).cast("date")
-    day = F.col(time).cast("date")
-    return df.filter((day >= F.date_sub(end, 365 * years)) & (day < end))
+    end = dt.date.fromisoformat(str(date))
+    return in_days(df, time, end - dt.timedelta(days=365 * years), end)
 
 
 def window_range_join(dates: DataFrame, date: str, facts: DataFrame, time: str, value: str, days: int = 365 * 3,

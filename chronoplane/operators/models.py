@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoplane.keys import as_tuple, require_columns
+from chronoplane.keys import as_tuple, in_days, require_columns
 from chronoplane.operators.joins import training_window
 from chronoplane.operators.probability import MIN_VARIANCE
 from chronoplane.operators.splits import contiguous_folds
@@ -104,9 +104,7 @@ def walk_forward(df: DataFrame, features, target: str, time: str, event, refit_d
     for start, end in zip(starts, [*starts[1:], until]):
         train = training_window(df, time, start, years)
         models = fit_ensemble(train, features, target, time, event, folds, **params)
-        day = F.col(time).cast("date")
-        period = df.filter((day >= F.lit(start).cast("date")) & (day < F.lit(end).cast("date")))
-        scored = score_ensemble(models, period)
+        scored = score_ensemble(models, in_days(df, time, start, end))
         scored.select(*as_tuple(keep), time, target, "prediction").withColumn("refit", F.lit(str(start))).write.mode(
             "append"
         ).partitionBy("refit").parquet(path)
