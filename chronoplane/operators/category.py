@@ -6,6 +6,9 @@ A category is one of a few, so its history is always long: everything here is a
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,10 +73,10 @@ def expanding_percentile(df: DataFrame, keys: Keys, category: str, value: str,
                          name: str = "percentile", empty: float = 50.0) -> DataFrame:
     """Share (0 to 100) of the category's earlier values strictly below the row's value.
 
-    The value's rank among the distinct values is read bit by bit: for every 1 bit, the earlier rows whose
-    rank agrees above that bit and has a 0 there are exactly a part of the smaller ones. So a row adds one
-    count per bit (n log d rows in all, no pairs), each a running count over (category, bit, upper bits).
-    A category with NULL as its name has no percentile of its own: its rows get `empty`.
+    The value's rank among the distinct values is read digit by digit (base 16): the earlier rows whose rank
+    agrees above a digit and is smaller in it are exactly one part of the smaller ones. So a row adds one
+    entry per digit (n log d entries, no pairs), and the counts are running counts over (category, digit
+    place, upper digits). A category with NULL as its name has no percentile: its rows get `empty`.
 
     Keys, category and value are read several times, so they are computed once and kept in the shared folder.
     """
@@ -82,23 +85,24 @@ def expanding_percentile(df: DataFrame, keys: Keys, category: str, value: str,
     distinct = slim.select(category, value).distinct()
     rank_keys = Keys((category,), value, (), hot_rows=keys.hot_rows)
     ranked = on_timeline(distinct, rank_keys, lambda t: t.position("__rank", "__ranks"))
-    # Bit number `top` is 0 in every rank, so its running count is the number of all earlier values.
-    top = F.length(F.bin(F.col("__ranks")))
+    places = F.length(F.hex(F.col("__ranks") - 1))
     long = (
         slim.join(ranked, [category, value])
-        .withColumn("__top", top)
-        .withColumn("__bit", F.explode(F.sequence(F.lit(0), F.col("__top"))))
-        .withColumn("__path", F.expr("shiftright(__rank, __bit + 1)"))
-        .withColumn("__one", F.expr("shiftright(__rank, __bit) & 1"))
-    )
-    path_keys = by_category.with_(entity=(category, "__bit", "__path"))
-    counted = on_timeline(
-        long, path_keys, lambda t: t.running({"__zeros": Running("count", F.when(F.col("__one") == 0, F.lit(1)))})
+        .withColumn("__top", places - 1)
+        .withColumn("__place", F.explode(F.sequence(F.lit(0), F.col("__top"))))
+        .withColumn("__path", F.expr("shiftright(__rank, 4 * __place + 4)"))
+        .withColumn("__digit", F.expr("shiftright(__rank, 4 * __place) & 15"))
+        .drop("__rank", "__ranks", value)
     )
-    zeros = F.col("__zeros")
+    path_keys = by_category.with_(entity=(category, "__place", "__path"))
+    seen = {f"__d{i}": Running("count", F.when(F.col("__digit") == i, F.lit(1))) for i in range(16)}
+    counted = on_timeline(long, path_keys, lambda t: t.running(seen))
+    smaller = reduce(add, [F.when(F.col("__digit") > i, F.col(f"__d{i}")).otherwise(F.lit(0)) for i in range(15)])
+    # Above the top digit all ranks agree, so its counts add up to all earlier values.
+    all_earlier = reduce(add, [F.col(f"__d{i}") for i in range(16)])
     below = counted.groupBy(*keys.grain).agg(
-        F.sum(F.when(F.col("__one") == 1, zeros).otherwise(F.lit(0))).alias("__below"),
-        F.max(F.when(F.col("__bit") == F.col("__top"), zeros)).alias("__seen"),
+        F.sum(smaller).alias("__below"),
+        F.max(F.when(F.col("__place") == F.col("__top"), all_earlier)).alias("__seen"),
     )
     out = join_same(df, below, keys.grain, "left")
     share = F.col("__below") / F.nullif(F.col("__seen"), F.lit(0)) * 100

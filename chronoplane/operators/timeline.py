@@ -175,14 +175,27 @@ class Timeline:
 
     def running(self, cols: dict[str, Running], by=()) -> "Timeline":
         """Aggregates from the start of the history (or of the current `by` group) up to the row."""
-        by = [by] if isinstance(by, str) else list(by)
-
-        def frame(r: Running) -> WindowSpec:
-            return self._window(by).rowsBetween(Window.unboundedPreceding, -1 if r.prior else 0)
+        return self.running_by({(by,) if isinstance(by, str) else tuple(by): cols})
+
+    def running_by(self, groups: dict[tuple[str, ...], dict[str, Running]]) -> "Timeline":
+        """Running aggregates for several `by` groups at once; a cut history is read once per group more."""
+        local = self.df
+        for by, cols in groups.items():
+            local = local.withColumns(
+                {
+                    n: _FOLDS[r.fold](r.value).over(
+                        self._window(by).rowsBetween(Window.unboundedPreceding, -1 if r.prior else 0)
+                    )
+                    for n, r in cols.items()
+                }
+            )
+        if self.blocked:
+            for by, cols in groups.items():
+                local = self._add_carry(local, cols, by)
+        return replace(self, df=local)
 
-        local = self.df.withColumns({n: _FOLDS[r.fold](r.value).over(frame(r)) for n, r in cols.items()})
-        if not self.blocked:
-            return replace(self, df=local)
+    def _add_carry(self, local: DataFrame, cols: dict[str, Running], by) -> DataFrame:
+        """Add to the aggregates inside the block what the blocks before sum up to."""
         part = [*self.keys.entity, *by]
         sums = self.df.groupBy(*part, BLOCK).agg(
             *[_FOLDS[r.fold](r.value).alias(f"__c_{n}") for n, r in cols.items()]
@@ -201,12 +214,8 @@ class Timeline:
             ],
         )
         joined = join_same(local, carry, [*part, BLOCK], "left")
-        return replace(
-            self,
-            df=joined.withColumns({n: _merge(r.fold, F.col(n), F.col(f"__c_{n}")) for n, r in cols.items()}).drop(
-                *[f"__c_{n}" for n in cols]
-            ),
-        )
+        merged = {n: _merge(r.fold, F.col(n), F.col(f"__c_{n}")) for n, r in cols.items()}
+        return joined.withColumns(merged).drop(*[f"__c_{n}" for n in cols])
 
     def whole(self, cols: dict[str, Running]) -> "Timeline":
         """Aggregates over the whole history on every row of it."""
@@ -322,8 +331,7 @@ def compose(*families: Callable[[], Iterator]) -> Callable[[Timeline], Timeline]
                 by_group: dict[tuple[str, ...], dict[str, Running]] = {}
                 for request in advance(Run):
                     by_group.setdefault(tuple(request.by), {}).update(request.cols)
-                for by, cols in by_group.items():
-                    t = t.running(cols, by)
+                t = t.running_by(by_group)
         return t.drop(POSITION)
 
     return steps
