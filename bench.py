@@ -10,6 +10,7 @@ from chronoplane.plans import Tables, load, presented
 from chronoplane.session import local_session
 
 HEADLINE = (
+    "entity_features",
     "rolling_table",
     "lag_roll_mean",
     "lag_roll_std",

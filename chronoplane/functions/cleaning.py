@@ -272,7 +272,7 @@ def player_filter(df: DataFrame, career: str = "career_games", recent: str = "re
     return df
 
 
-def select_features(df: DataFrame, target: str | None, exclude=(), stored=None, fill: float | None = None) -> list[str]:
+def select_features(df: DataFrame, target: str | None, exclude=(), stored=None) -> list[str]:
     """Names of the numeric feature columns: all but the excluded, or the stored list when scoring."""
     if stored is not None:
         missing = [c for c in stored if c not in df.columns]

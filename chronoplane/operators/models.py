@@ -96,7 +96,7 @@ def walk_forward(df: DataFrame, features, target: str, time: str, event, refit_d
     """Predictions of every period by an ensemble fitted only on the window before it.
 
     `refit_dates` are the starts of the periods; their number, not the number of days, is the number of fits.
-    Every period's predictions are written under the shared folder, so a failed period repeats alone.
+    Every period's predictions are written to their own folder, so a failed period repeats alone.
     """
     spark = df.sparkSession
     path = work_path(spark, "walk-forward")
@@ -105,9 +105,7 @@ def walk_forward(df: DataFrame, features, target: str, time: str, event, refit_d
         train = training_window(df, time, start, years)
         models = fit_ensemble(train, features, target, time, event, folds, **params)
         scored = score_ensemble(models, in_days(df, time, start, end))
-        scored.select(*as_tuple(keep), time, target, "prediction").withColumn("refit", F.lit(str(start))).write.mode(
-            "append"
-        ).partitionBy("refit").parquet(path)
+        scored.select(*as_tuple(keep), time, target, "prediction").write.mode("overwrite").parquet(f"{path}/refit={start}")
     return spark.read.parquet(path)
 
 

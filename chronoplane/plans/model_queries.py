@@ -8,8 +8,11 @@ from chronoplane.functions.cleaning import player_filter
 from chronoplane.operators import history as H
 from chronoplane.operators import models as M
 from chronoplane.operators import probability as PR
-from chronoplane.operators.decisions import bet_decision_prob
+from chronoplane.operators.decisions import bet_decision_point, bet_decision_prob, bet_outcome
 from chronoplane.operators.joins import asof_latest, join_multi_line, pick_preferred
+from chronoplane.operators.performance import edge_tiers
+from chronoplane.operators.quantiles import exact_quantiles
+from chronoplane.operators.timeline import on_timeline
 from chronoplane.plans.bindings import order_keys, orders
 from chronoplane.plans.registry import query
 from chronoplane.session import stored
@@ -100,3 +103,35 @@ def predict_day(t):
     return pick_preferred(decided, "o_custkey", "bookmaker", ["fanduel", "draftkings"], ["line"]).select(
         "o_custkey", "mean_pred", "std_dev", "line", "odds", "bookmaker", "prob_over", "edge_over", "edge_under", "confidence_score"
     )
+
+
+@query("walk_forward_evaluation")
+def walk_forward_evaluation(t):
+    """Walk-forward predictions with a conformal calibrator from the first fifth of the days, decisions and tiers."""
+    m, k = matrix(t), order_keys(t)
+    pred = M.walk_forward(
+        m, FEATURES, "v", "o_orderdate", "o_orderkey", ["1999-01-01", "2000-01-01"], "2001-01-01", 3, 2,
+        keep=("o_orderkey", "o_custkey"), trees=5, depth=3,
+    )
+    # Variance of the customer's earlier errors; the line is the customer's value two orders before.
+    error = F.col("v") - F.col("prediction")
+    lagged = on_timeline(
+        pred, k.with_(season=None),
+        lambda tl: tl.look_back(20, {
+            "variance": lambda w: F.coalesce(F.avg(error * error).over(H.rows_before(w, 20)), F.lit(20_000.0)),
+            "line": lambda w: F.floor(F.lag("v", 2).over(w)) + 0.5,
+        }), reach=20,
+    )
+    fitted = stored(PR.gamma_fit(lagged, "prediction", "variance"), "walk-forward-scored")
+    ranked = fitted.select(F.to_date("o_orderdate").alias("day")).distinct()
+    cut = exact_quantiles(ranked.withColumn("d", F.unix_date("day")), "d", {"cut": 0.2}).select("cut").scalar()
+    day = F.unix_date(F.to_date("o_orderdate"))
+    first, rest = fitted.filter(day < cut), fitted.filter(day >= cut)
+    calibrated = PR.conformal(rest, first, "v", "prediction", 0.32, t.hot_rows).withColumns(
+        {"alpha": F.col("alpha_cal"), "beta": F.col("beta_cal")}
+    )
+    p = PR.gamma_moments(PR.prob_over(calibrated.filter(F.col("line").isNotNull()), "line"))
+    bets = bet_outcome(
+        bet_decision_point(bet_decision_prob(p, "prob_over", "gamma_std", "prediction", max_cv=1.5), "prediction", "line"), "v", "line"
+    )
+    return edge_tiers(bets)

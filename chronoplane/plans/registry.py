@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +25,6 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @cached_property
-    def names(self) -> tuple[str, ...]:
-        return ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
