@@ -9,8 +9,10 @@ steps on a `Timeline`, and `on_timeline` runs the steps twice:
   a row number inside each slice) and cut into blocks of `hot_rows` rows. Bounded frames get the last rows
   of the block before as read-only copies; running aggregates add what all blocks before sum up to.
 
-Both give the same values. The list of long histories has at most (rows / hot_rows) entries, which is the
-proven bound for broadcasting it; where it is empty, adaptive execution drops the second plan.
+Both give the same values. The list of long histories has at most (rows / hot_rows) entries: one million keys
+for 10^12 rows and the default limit. That bounds its broadcast; a larger limit bounds it further. It must be a
+broadcast, because a shuffled join would first send a long history to one task. Where the list is empty,
+adaptive execution drops the second plan.
 """
 
 from __future__ import annotations
