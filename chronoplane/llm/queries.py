@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoplane.llm.common import table, vocabulary
 from chronoplane.llm.packing import Limits, pack
+from chronoplane.llm.simhash import near_duplicates
+from chronoplane.llm.substrings import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,3 +30,16 @@ def query(name: str, sql: str | None = None):
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 2048 tokens; a row per piece."""
     return pack(table(spark, sf_dir, "documents"), vocabulary(), Limits(tokens=2048, segments=512, loss=2048))
+
+
+@query("op5_substrings")
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes words that an earlier window of 20 words repeats; a row per document."""
+    return remove_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the groups that 4 differing bits or fewer link."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), size=4, seed=42, distance=4)
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
