@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoplane.llm.common import table, vocabulary
 from chronoplane.llm.packing import Limits, pack
+from chronoplane.llm.quality import QUALITY_SQL, Rules, quality
 from chronoplane.llm.simhash import near_duplicates
 from chronoplane.llm.substrings import remove_repeats
 
@@ -43,3 +44,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the groups that 4 differing bits or fewer link."""
     found = near_duplicates(table(spark, sf_dir, "documents"), size=4, seed=42, distance=4)
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+@query("op8_quality", QUALITY_SQL)
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules for all documents."""
+    return quality(table(spark, sf_dir, "documents"), Rules())
