@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronoplane.llm.common import table, vocabulary
 from chronoplane.llm.packing import Limits, pack
 from chronoplane.llm.quality import QUALITY_SQL, Rules, quality
+from chronoplane.llm.secrets import labelled_findings, scan_secrets, train
 from chronoplane.llm.simhash import near_duplicates
 from chronoplane.llm.substrings import remove_repeats
 
@@ -50,3 +51,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of the quality rules for all documents."""
     return quality(table(spark, sf_dir, "documents"), Rules())
+
+
+@query("op6_secrets")
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates for secrets in all documents, with the forest's verdict."""
+    return scan_secrets(table(spark, sf_dir, "documents"), train(labelled_findings(spark)))
