@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplane.llm.common import table, vocabulary
+from chronoplane.llm.mixing import Mix, mix_sources
 from chronoplane.llm.packing import Limits, pack
 from chronoplane.llm.quality import QUALITY_SQL, Rules, quality
 from chronoplane.llm.secrets import labelled_findings, scan_secrets, train
@@ -57,3 +58,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates for secrets in all documents, with the forest's verdict."""
     return scan_secrets(table(spark, sf_dir, "documents"), train(labelled_findings(spark)))
+
+
+@query("op1_mix")
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150% of all words takes of each document, sources weighing 5, 2, 1 in turn."""
+    found = mix_sources(table(spark, sf_dir, "documents"), Mix(weights=(5, 2, 1), share=1.5, most=2))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "pieces")
