@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronoplane.llm.common import table, vocabulary
 from chronoplane.llm.mixing import Mix, mix_sources
 from chronoplane.llm.packing import Limits, pack
+from chronoplane.llm.prefix_hash import fingerprints as prefix_fingerprints
 from chronoplane.llm.quality import QUALITY_SQL, Rules, quality
 from chronoplane.llm.secrets import labelled_findings, scan_secrets, train
 from chronoplane.llm.simhash import near_duplicates
@@ -65,3 +66,9 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of 150% of all words takes of each document, sources weighing 5, 2, 1 in turn."""
     found = mix_sources(table(spark, sf_dir, "documents"), Mix(weights=(5, 2, 1), share=1.5, most=2))
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "pieces")
+
+
+@query("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix-hash fingerprints of all documents and of their edited texts."""
+    return prefix_fingerprints(table(spark, sf_dir, "documents"))
