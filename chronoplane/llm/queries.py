@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplane.llm.common import table, vocabulary
+from chronoplane.llm.id_files import read_ids, write_ids
 from chronoplane.llm.mixing import Mix, mix_sources
 from chronoplane.llm.packing import Limits, pack
 from chronoplane.llm.prefix_hash import fingerprints as prefix_fingerprints
@@ -15,6 +16,7 @@ from chronoplane.llm.quality import QUALITY_SQL, Rules, quality
 from chronoplane.llm.secrets import labelled_findings, scan_secrets, train
 from chronoplane.llm.simhash import near_duplicates
 from chronoplane.llm.substrings import remove_repeats
+from chronoplane.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +74,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix-hash fingerprints of all documents and of their edited texts."""
     return prefix_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op3_id_files")
+def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the token ids of all documents, each text ended by id 0, and reads the files back."""
+    path = work_path(spark, "ids")
+    write_ids(table(spark, sf_dir, "documents"), path, vocabulary(), end_id=0)
+    return read_ids(spark, path, keep_ids=False)
