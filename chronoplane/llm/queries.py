@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplane.llm.common import table, vocabulary
+from chronoplane.llm.crf import extract, labelled_pages, train_on
 from chronoplane.llm.id_files import read_ids, write_ids
 from chronoplane.llm.mixing import Mix, mix_sources
 from chronoplane.llm.packing import Limits, pack
@@ -82,3 +83,9 @@ def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "ids")
     write_ids(table(spark, sf_dir, "documents"), path, vocabulary(), end_id=0)
     return read_ids(spark, path, keep_ids=False)
+
+
+@query("op10_main_text")
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages, by a field trained on labelled pages."""
+    return extract(table(spark, sf_dir, "pages"), train_on(labelled_pages()))
