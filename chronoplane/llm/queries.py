@@ -14,6 +14,7 @@ from chronoplane.llm.mixing import Mix, mix_sources
 from chronoplane.llm.packing import Limits, pack
 from chronoplane.llm.prefix_hash import fingerprints as prefix_fingerprints
 from chronoplane.llm.quality import QUALITY_SQL, Rules, quality
+from chronoplane.llm.quotes import QUOTES_SQL, as_mail, conversations
 from chronoplane.llm.secrets import labelled_findings, scan_secrets, train
 from chronoplane.llm.simhash import near_duplicates
 from chronoplane.llm.substrings import remove_repeats
@@ -89,3 +90,9 @@ def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages, by a field trained on labelled pages."""
     return extract(table(spark, sf_dir, "pages"), train_on(labelled_pages()))
+
+
+@query("op2_quotes", QUOTES_SQL)
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages of the conversations, turned to mail that quotes, back in reply order and without quotes."""
+    return conversations(as_mail(table(spark, sf_dir, "conversations")))
