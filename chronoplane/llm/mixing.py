@@ -155,14 +155,22 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), *, id_col: str = "doc_id", so
 
 
 def mixed_texts(docs: DataFrame, mix: Mix = Mix(), *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = None) -> DataFrame:
-    """The mix itself: the columns of docs, a row per piece, its text cut to the piece's words; then _shard and _shuffle_key.
+    """The mix itself: the columns of docs, a row per document and pass; then _shard and _shuffle_key.
 
-    A piece that is a whole document keeps its text as it is; the words of another are joined by single spaces.
+    A document whose words fall to two shards goes whole to the first, so a shard differs from its quota by less than a
+    document of each source. Only where a source's quota ends is one cut; its words are then joined by single spaces.
     chars_col: a column that holds the text's code points and follows the cut.
     """
     size = F.size(words(F.col(text_col).cast("string")))
     found = mix_sources(docs, mix, id_col=id_col, source_col=source_col, size=size, carry=True)
-    rows = found.select("row", "size", F.inline("pieces"))
+
+    def whole(j: Column) -> Column:
+        mine = F.filter("pieces", lambda x: x["pass"] == j)
+        total = F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a + x["words"])
+        return F.struct(F.get(mine, 0)["shard"].alias("shard"), F.get(mine, 0)["start"].alias("start"), total.alias("words"), F.get(mine, 0)["shuffle_key"].alias("shuffle_key"))
+
+    passes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(mix.most - 1)), whole), lambda x: x["words"] > 0)
+    rows = found.select("row", "size", F.inline(passes))
     text = F.col("row")[text_col].cast("string")
     cut = F.when(F.col("words") == F.col("size"), text).otherwise(F.array_join(F.slice(words(text), (F.col("start") + 1).cast("int"), F.col("words").cast("int")), " "))
     rows = rows.withColumn("_cut", cut)
