@@ -129,7 +129,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         bucket = (edges >> np.uint64(64 - top_bits)).astype(np.int64)
         keys, starts = np.unique(bucket, return_index=True)
         rows = []
-        for key, a, b in zip(keys.tolist(), starts.tolist(), [*starts[1:].tolist(), len(edges)], strict=True):
+        for key, a, b in zip(keys.tolist(), starts.tolist(), [*starts[1:].tolist(), len(edges)], strict=False):
             part = edges[a:b]
             above = (part >> np.uint64(LOW_BITS)) & np.uint64((1 << hist_bits) - 1)
             hist = np.bincount(above.astype(np.int64), minlength=1 << hist_bits).astype("<u4")
