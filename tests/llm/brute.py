@@ -48,3 +48,31 @@ def groups(rows, distance=4):
                 ra, rb = find(a), find(b)
                 root[max(ra, rb)] = min(ra, rb)
     return {d: find(d) for d, _ in rows}
+
+
+def targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
+    """sizes: {source: words}. Shares by weight, those above their cap cut, the excess reshared until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    out, left, free = {}, share * sum(sizes.values()), set(order)
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > most * sizes[s]]
+        if not over:
+            out.update({s: left * weight[s] / total for s in free})
+            break
+        for s in over:
+            out[s] = float(most * sizes[s])
+            free.remove(s)
+        left -= sum(out[s] for s in over)
+    return out
+
+
+def edited(rows):
+    """rows: (doc_id, text), ids distinct. {doc_id: (text, edited text, next id)} in descending order of ids."""
+    order, out = sorted(rows, reverse=True), {}
+    for k, (d, t) in enumerate(order):
+        n = order[(k + 1) % len(order)]
+        half = len(t or "") // 2
+        out[d] = (t or "", (t or "")[: len(t or "") - half] + (n[1] or "")[:half], n[0])
+    return out
