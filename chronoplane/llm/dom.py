@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
+from itertools import islice
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style template noscript iframe object svg math canvas head title select datalist audio video map".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split()
@@ -37,7 +40,7 @@ NAMES = {
 }
 NAMED = {word: group for group, words in NAMES.items() for word in words.split()}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|([^<]+|<)""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'"><])*+)>|([^<]+|<)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|data-main|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|\Z)""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -90,7 +93,7 @@ def blocks(html: str | None) -> list[Block]:
     """
     out: list[Block] = []
     root = Node("", 0, frozenset(), False, False, False)
-    stack, text, linked, count, skip = [root], [], 0, 0, None
+    stack, text, linked, count, opened = [root], [], 0, 0, Counter()
     holder, around = root, 0
 
     def flush() -> None:
@@ -104,13 +107,21 @@ def blocks(html: str | None) -> list[Block]:
             linked = 0
 
     def block_node() -> tuple[Node, int]:
-        own = [n for n in stack if n.tag not in INLINE][-2:]
-        return own[-1], own[0].number
-
-    for found in TOKEN.finditer(html or ""):
+        own = list(islice((n for n in reversed(stack) if n.tag not in INLINE), 2))
+        return own[0], own[-1].number
+
+    def close(at: int) -> None:
+        for n in stack[at:]:
+            opened[n.tag] -= 1
+        del stack[at:]
+
+    html, at_char = html or "", 0
+    while at_char < len(html):
+        found = TOKEN.match(html, at_char)
+        at_char = found.end()
         closing, tag, attributes, data = found.groups()
         if data is not None:
-            if skip is None and not stack[-1].hidden:
+            if not stack[-1].hidden:
                 if not text:
                     holder, around = block_node()
                 text.append(data)
@@ -120,40 +131,40 @@ def blocks(html: str | None) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
-        if skip is not None:
-            if closing and tag == skip:
-                skip = None
-            continue
         if tag not in INLINE and tag not in RAW:
             flush()
         if closing:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if opened[tag] else 0
             if at:
                 if tag in INLINE and any(n.tag not in INLINE for n in stack[at + 1 :]):
                     continue  # a stray inline end tag doesn't close blocks
-                del stack[at:]
+                close(at)
             continue
         if tag in VOID:
             if tag == "br" and text:
                 text.append(" ")
             continue
-        if tag in CLOSES_P and any(n.tag == "p" for n in stack):
-            at = max(i for i, n in enumerate(stack) if n.tag == "p")
-            if not any(n.tag in CLOSES_P for n in stack[at + 1 :]):
-                del stack[at:]
-        elif tag in IMPLIED:
+        if tag in CLOSES_P and opened["p"]:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "p":
+                    close(i)
+                if i >= len(stack) or stack[i].tag in CLOSES_P:
+                    break
+        elif tag in IMPLIED and any(opened[t] for t in IMPLIED[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SCOPES:
                     break
                 if stack[i].tag in IMPLIED[tag]:
-                    del stack[i:]
+                    close(i)
                     break
-        if tag in RAW:
-            skip = tag
+        if tag in RAW:  # its content is no markup
+            end = RAW_END[tag].search(html, at_char)
+            at_char = end.end() if end else len(html)
             continue
         count += 1
         marks, hidden, main = _marks(tag, attributes)
         above = stack[-1]
+        opened[tag] += 1
         stack.append(Node(tag, count, above.marks | marks if marks else above.marks, hidden or above.hidden, above.link or tag == "a", main or above.main))
     flush()
     return out
