@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chronoplane.keys import as_tuple, in_days
 
 # Date formats tried in turn; the home marker, opponent and team patterns of an event label.
-DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MMM dd, yyyy", "MM/dd/yyyy")
+DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MMM d, yyyy", "M/d/yyyy")
 HOME_PATTERN = r"vs\."
 OPPONENT_PATTERN = r"(vs\.|@)\s+([A-Z]{3})"
 TEAM_PATTERN = r"([A-Z]{3})"

@@ -6,6 +6,8 @@ Python in the library's row path. They work on whole Arrow batches and hold no s
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -26,6 +28,47 @@ _LANCZOS = (
 _TINY = 1e-300
 
 
+#: Shapes from here on use the uniform asymptotic expansion, whose error is far below double precision there.
+LARGE_SHAPE = 1e5
+#: Steps after which an iteration that hasn't converged is an error.
+MOST_STEPS = 1_000_000
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return np.frompyfunc(math.erfc, 1, 1)(x).astype(float)
+
+
+def _gamma_large(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """P(a, x) for a large shape: Temme's uniform expansion with two terms."""
+    mu = (x - a) / a
+    far = np.abs(mu) > 0.01
+    with np.errstate(all="ignore"):
+        half = np.where(far, mu - np.log1p(mu), 0.0)
+    # mu - log(1 + mu) by its series near zero, where the difference cancels.
+    series = sum((-1) ** k * mu**k / k for k in range(2, 12))
+    half = np.where(far, half, series)
+    eta = np.sign(mu) * np.sqrt(2 * np.maximum(half, 0.0))
+    with np.errstate(all="ignore"):
+        c0 = np.where(np.abs(eta) > 0.02, 1 / mu - 1 / eta, -1 / 3 + eta / 12 - 2 * eta**2 / 135 + eta**3 / 864 + eta**4 / 2835)
+        c1 = np.where(np.abs(eta) > 0.02, 1 / eta**3 - 1 / mu**3 - 1 / mu**2 - 1 / (12 * mu), -1 / 540 - eta / 288 + eta**2 / 378)
+    rest = np.exp(-0.5 * a * eta**2) / np.sqrt(2 * np.pi * a) * (c0 + c1 / a)
+    return 0.5 * _erfc(-eta * np.sqrt(a / 2)) - rest
+
+
+def _stirling(z: np.ndarray) -> np.ndarray:
+    """What Stirling's formula leaves of log Γ(z), for z of 100 or more."""
+    return 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+
+
+def _deviance(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """x log(x / m) + m - x without cancellation where x is near m."""
+    d = (x - m) / m
+    near = sum((-1) ** k * d**k / (k * (k - 1)) for k in range(2, 20))
+    with np.errstate(all="ignore"):
+        far = (1 + d) * np.log1p(d) - d
+    return m * np.where(np.abs(d) < 0.1, near, far)
+
+
 def log_gamma(a: np.ndarray) -> np.ndarray:
     """log Γ(a) for a > 0."""
     small = a < 0.5
@@ -45,6 +88,10 @@ def gamma_cdf_array(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     out[(a > 0) & (x <= 0)] = 0.0
     ok = (a > 0) & (x > 0) & np.isfinite(a) & np.isfinite(x)
     out[(a > 0) & np.isposinf(x)] = 1.0
+    large = ok & (a >= LARGE_SHAPE)
+    if large.any():
+        out[large] = _gamma_large(a[large], x[large])
+    ok &= ~large
     low = ok & (x < a + 1)
     if low.any():
         p, y = a[low], x[low]
@@ -66,8 +113,10 @@ def gamma_cdf_array(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         h = d.copy()
         live = np.ones(p.shape, bool)
         i = 0
-        while live.any() and i < 100_000:
+        while live.any():
             i += 1
+            if i > MOST_STEPS:
+                raise ArithmeticError("the incomplete gamma function did not converge")
             an = -i * (i - p)
             b = b + 2.0
             d = an * d + b
@@ -132,15 +181,19 @@ def beta_cdf_array(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     a, b, x = np.broadcast_arrays(*[np.asarray(v, float) for v in (a, b, x)])
     flip = x > (a + 1) / (a + b + 2)
     p, q, y = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    n = p + q
     with np.errstate(all="ignore"):
-        front = np.exp(
-            log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * np.log(y) + q * np.log1p(-y)
-        ) / p
+        front = np.exp(log_gamma(n) - log_gamma(p) - log_gamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
+        # Logarithms of large factorials cancel; their difference from Stirling's formula does not.
+        apart = -_deviance(p, n * y) - _deviance(q, n * (1 - y)) + 0.5 * np.log(p / (2 * np.pi) * (q / n))
+        large = np.exp(apart + _stirling(n) - _stirling(p) - _stirling(q)) / p
+        front = np.where(np.minimum(p, q) > 100, large, front)
     c = np.ones_like(p)
     d = 1 - (p + q) * y / (p + 1)
     d = 1 / np.where(np.abs(d) < _TINY, _TINY, d)
     h = d.copy()
-    for m in range(1, 20_000):
+    inside = (x > 0) & (x < 1) & (a > 0) & (b > 0)
+    for m in range(1, MOST_STEPS):
         step_all = np.ones_like(p)
         for num in (
             m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)),
@@ -152,13 +205,32 @@ def beta_cdf_array(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = np.where(np.abs(c) < _TINY, _TINY, c)
             step_all = step_all * d * c
             h = h * d * c
-        if np.all(np.abs(step_all - 1) < 1e-15):
+        if np.all((np.abs(step_all - 1) < 1e-15) | ~inside):
             break
+    else:
+        raise ArithmeticError("the incomplete beta function did not converge")
     out = front * h
     out = np.where(flip, 1 - out, out)
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.clip(out, 0, 1)))
 
 
+def t_quantile_array(p: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """t with P(T <= t) = p: a bracket that grows until it holds t, then bisection."""
+    q, v = np.broadcast_arrays(np.asarray(p, float), np.asarray(dof, float))
+    side, tail = np.where(q < 0.5, -1.0, 1.0), np.minimum(q, 1 - q)
+    ok = (tail > 0) & (v > 0)
+    above = lambda t: 0.5 * beta_cdf_array(np.where(ok, v, 1.0) / 2, np.full(v.shape, 0.5), np.where(ok, v, 1.0) / (np.where(ok, v, 1.0) + t * t))
+    low, high = np.zeros(q.shape), np.ones(q.shape)
+    while (grow := ok & (above(high) > tail) & (high < 1e150)).any():
+        high = np.where(grow, high * 2, high)
+    for _ in range(200):
+        mid = (low + high) / 2
+        more = above(mid) > tail
+        low, high = np.where(more, mid, low), np.where(more, high, mid)
+    edge = np.where(tail == 0, side * np.inf, np.nan)
+    return np.where(ok, side * (low + high) / 2, np.where(v > 0, edge, np.nan))
+
+
 def _nullable(values: np.ndarray) -> pd.Series:
     return pd.Series(values).astype("object").where(~np.isnan(values), None).astype("Float64")
 
@@ -200,10 +272,4 @@ def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
 def t_quantile(p: pd.Series, dof: pd.Series) -> pd.Series:
     """t with P(T <= t) = p, by bisection; used on single summary rows."""
     q, v = p.to_numpy(float), dof.to_numpy(float)
-    low, high = np.full(q.shape, -1e4), np.full(q.shape, 1e4)
-    for _ in range(200):
-        mid = (low + high) / 2
-        tail = 0.5 * beta_cdf_array(v / 2, np.full(v.shape, 0.5), v / (v + mid * mid))
-        cdf = np.where(mid > 0, 1 - tail, tail)
-        low, high = np.where(cdf < q, mid, low), np.where(cdf < q, high, mid)
-    return _nullable((low + high) / 2)
+    return _nullable(t_quantile_array(q, v))

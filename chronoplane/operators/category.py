@@ -27,15 +27,23 @@ ELITE = {
 }
 
 
-def running_moments(df: DataFrame, keys: Keys, values, center: float = 0.0) -> DataFrame:
+def running_moments(df: DataFrame, keys: Keys, values) -> DataFrame:
     """Count, mean and sample deviation of all earlier rows: `<value>_prior_n/_mean/_std`.
 
-    Sums are taken around `center`; choose it near the mean when the mean is far above the deviation.
+    Sums are taken around the mean of the whole history, which changes no result and keeps the squares small
+    where the mean is far above the deviation.
     """
     values = as_tuple(values)
+    finite = lambda v: F.when(F.abs(F.col(v).cast("double")) < F.lit(float("inf")), F.col(v).cast("double"))
+    centers = [F.coalesce(F.avg(finite(v)), F.lit(0.0)).alias(f"__m_{v}") for v in values]
+    if keys.entity:
+        df = join_same(df, df.groupBy(*keys.entity).agg(*centers), keys.entity)
+    else:
+        one = df.agg(F.struct(*centers)).scalar()
+        df = df.withColumns({f"__m_{v}": one.getField(f"__m_{v}") for v in values})
     parts = {}
     for v in values:
-        x = F.col(v).cast("double") - center
+        x = F.col(v).cast("double") - F.col(f"__m_{v}")
         parts[f"__n_{v}"] = Running("count", x)
         parts[f"__s_{v}"] = Running("sum", x)
         parts[f"__q_{v}"] = Running("sum", x * x)
@@ -47,19 +55,19 @@ def running_moments(df: DataFrame, keys: Keys, values, center: float = 0.0) -> D
         # A spread below rounding error of the squares is an exact zero.
         clean = F.when(spread > q * 1e-13, spread).otherwise(F.lit(0.0))
         cols[f"{v}_prior_n"] = n
-        cols[f"{v}_prior_mean"] = F.when(n > 0, s / n + center)
+        cols[f"{v}_prior_mean"] = F.when(n > 0, s / n + F.col(f"__m_{v}"))
         cols[f"{v}_prior_std"] = F.when(n > 1, F.sqrt(clean / (n - 1)))
-    return out.withColumns(cols).drop(*parts)
+    return out.withColumns(cols).drop(*parts, *[f"__m_{v}" for v in values])
 
 
-def group_z(df: DataFrame, keys: Keys, category: str, values, center: float = 0.0) -> DataFrame:
+def group_z(df: DataFrame, keys: Keys, category: str, values) -> DataFrame:
     """Entity's previous value against the category's earlier rows: `<value>_z` and `<value>_diff`."""
     values = as_tuple(values)
     lagged = on_timeline(
         df, keys, lambda t: t.look_back(1, {f"__p_{v}": (lambda w, v=v: F.lag(v).over(w)) for v in values})
     )
     by_category = keys.with_(entity=(category,), event=(*keys.entity, *keys.event))
-    out = running_moments(lagged, by_category, values, center)
+    out = running_moments(lagged, by_category, values)
     cols = {}
     for v in values:
         mean, std, prev = F.col(f"{v}_prior_mean"), F.col(f"{v}_prior_std"), F.col(f"__p_{v}")

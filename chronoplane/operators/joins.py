@@ -147,7 +147,7 @@ def asof_join(targets: DataFrame, facts: DataFrame, keys: Keys, columns) -> Data
     )
     right = facts.select(
         *keys.entity, keys.time, F.lit(1).alias("__side"), F.lit(None).alias("__t"),
-        F.struct(*keys.event).cast("string").alias("__e"), *columns,
+        F.struct(*keys.event).alias("__e"), *columns,
     )
     both = left.unionByName(right, allowMissingColumns=True)
     line = keys.with_(event=("__side", "__e", "__tie"))
@@ -182,26 +182,32 @@ def window_range_join(dates: DataFrame, date: str, facts: DataFrame, time: str,
                       by=()) -> DataFrame:
     """Count, mean and deviation of the facts in [d - days, d) for every date d, per group.
 
-    Facts are summed per day and the range frame runs over days, so no fact row is repeated per date.
+    Facts are summed per day and the range frame runs over days, so no fact row is repeated per date. Sums are
+    taken around the mean of the group, which changes no result and keeps the squares small.
     """
     by = list(as_tuple(by))
-    x = F.col(value).cast("double")
+    mean = F.coalesce(F.avg(F.col(value).cast("double")), F.lit(0.0)).alias("__m")
+    if by:
+        facts = join_same(facts, facts.groupBy(*by).agg(mean), by)
+    else:
+        facts = facts.withColumn("__m", facts.agg(mean).scalar())
+    x = F.col(value).cast("double") - F.col("__m")
     per_day = facts.groupBy(*by, day_number(F.col(time)).alias("__day")).agg(
-        F.count(x).alias("__n"), F.sum(x).alias("__s"), F.sum(x * x).alias("__q")
+        F.count(x).alias("__n"), F.sum(x).alias("__s"), F.sum(x * x).alias("__q"), F.max("__m").alias("__m")
     )
     wanted = dates.select(*by, date).distinct().withColumn("__day", day_number(F.col(date)))
     both = per_day.unionByName(wanted, allowMissingColumns=True)
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     w = part.orderBy("__day").rangeBetween(-days, -1)
     n, s, q = [F.sum(c).over(w) for c in ("__n", "__s", "__q")]
-    sums = both.select(*by, date, n.alias("train_rows"), s.alias("__s"), q.alias("__q")).filter(F.col(date).isNotNull())
+    sums = both.select(*by, date, n.alias("train_rows"), s.alias("__s"), q.alias("__q"), F.max("__m").over(w).alias("__m")).filter(F.col(date).isNotNull())
     rows = F.coalesce(F.col("train_rows"), F.lit(0))
-    spread = F.greatest(F.col("__q") - F.col("__s") * F.col("__s") / rows, F.lit(0.0))
+    spread = F.greatest(F.col("__q") - F.col("__s") * F.col("__s") / F.nullif(rows, F.lit(0)), F.lit(0.0))
     return sums.select(
         *by,
         date,
         rows.alias("train_rows"),
-        F.when(rows > 0, F.col("__s") / rows).alias("train_mean"),
+        F.when(rows > 0, F.col("__s") / rows + F.col("__m")).alias("train_mean"),
         F.when(rows > 1, F.sqrt(spread / (rows - 1))).alias("train_std"),
     )
 

@@ -52,8 +52,8 @@ def score_model(model: PipelineModel, df: DataFrame, fill: float | None = 0.0) -
     return model.transform(df).drop(FEATURES)
 
 
-def fit_variance(scored: DataFrame, features, actual: str, mean: str, floor: float = MIN_VARIANCE, **params) -> PipelineModel:
-    """Second model on the squared residuals of the first."""
+def fit_variance(scored: DataFrame, features, actual: str, mean: str, **params) -> PipelineModel:
+    """Second model on the squared residuals of the first; `score_variance` applies the floor."""
     residual = F.col(actual) - F.col(mean)
     return fit_gbt(scored.withColumn("__sq", residual * residual), features, "__sq", prediction="variance", **params)
 

@@ -202,9 +202,9 @@ def period_thirds(days: DataFrame) -> DataFrame:
         F.sum("num_bets").alias("bets"), F.sum("wins").alias("wins"), F.sum("daily_profit").alias("profit")
     )
     whole = Window.partitionBy(F.lit(0))
-    share = F.sum("wins").over(whole) / F.sum("bets").over(whole)
+    share = _ratio(F.sum("wins").over(whole), F.sum("bets").over(whole))
     gap = F.col("wins") - F.col("bets") * share
-    chi2 = F.sum(gap * gap / (F.col("bets") * share * (1 - share))).over(whole)
+    chi2 = F.sum(_ratio(gap * gap, F.col("bets") * share * (1 - share))).over(whole)
     return per.select(
         "period",
         "bets",
@@ -218,6 +218,7 @@ def period_thirds(days: DataFrame) -> DataFrame:
 
 
 def wilson(wins: Column, n: Column, z: float) -> tuple[Column, Column]:
+    n = F.nullif(n, F.lit(0))
     p = wins / n
     scale = 1 + z * z / n
     center = (p + z * z / (2 * n)) / scale
@@ -237,7 +238,7 @@ def significance(df: DataFrame, by=(), break_even: float = BREAK_EVEN_RATE, t_te
         F.avg("profit").alias("mean_profit"),
         F.stddev_samp("profit").alias("std_profit"),
     )
-    n, wins = F.col("n"), F.col("wins")
+    n, wins = F.nullif(F.col("n"), F.lit(0)), F.col("wins")
     rate = wins / n
     cols: dict[str, Column] = {
         "win_rate": rate,

@@ -140,8 +140,8 @@ def conditional_means(df: DataFrame, keys: Keys, value: str, played: Column, lon
         F.count_if(gap > long_gap).alias("long_gap_rows"),
         F.avg(F.when(gap > long_gap, x)).alias("mean_after_long_gap"),
         F.count_if(gap == 1).alias("next_day_rows"),
-        (F.count_if(gap == 1) / F.count(F.lit(1))).alias("next_day_share"),
+        (F.count_if(gap == 1) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("next_day_share"),
         (F.avg(F.when(gap == 1, x)) - F.avg(x)).alias("next_day_diff"),
         F.avg(x).alias("mean_all"),
-        (F.count_if(~played) / F.count(F.lit(1))).alias("zero_share"),
+        (F.count_if(~played) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("zero_share"),
     )

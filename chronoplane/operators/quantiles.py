@@ -21,12 +21,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(), h
     """
     by = list(as_tuple(by))
     held = df.filter(F.col(value).isNotNull()).withColumn("__x", F.col(value).cast("double"))
-    if not by:
-        held, by_cols = held.withColumn("__all", F.lit(0)), ["__all"]
-    else:
-        by_cols = by
-    counts = held.groupBy(*by_cols, "__x").agg(F.count(F.lit(1)).alias("__m"))
-    keys = Keys(tuple(by_cols), "__x", (), hot_rows=hot_rows)
+    counts = held.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__m"))
+    # Without groups the whole table is one history; it has no key that could be constant.
+    keys = Keys(tuple(by), "__x", (), hot_rows=hot_rows)
     ranked = on_timeline(
         counts,
         keys,
@@ -40,7 +37,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(), h
             hit = (start <= pos) & (pos < F.col("__end"))
             aggs.append(F.max(F.when(hit, F.col("__x"))).alias(f"__{side}_{name}"))
         aggs.append(F.max(at - F.floor(at)).alias(f"__w_{name}"))
-    picked = ranked.groupBy(*by_cols).agg(F.max("n").alias("n"), *aggs)
+    picked = ranked.groupBy(*by).agg(F.max("n").alias("n"), *aggs).where(F.col("n").isNotNull())
     cols = [
         (
             F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * F.col(f"__w_{name}")

@@ -29,6 +29,8 @@ from chronoplane.keys import Keys, day_number, require_columns
 
 INDEX, BLOCK, TO, SLICE, OFFSET, TOTAL = "__k", "__blk", "__to", "__slice", "__off", "__total"
 MIN_SLICE = -(2**62)
+# A slice is 1 / 4096 of the step from a number to its double; subnormal numbers start 1075 such steps below 1.
+SLICES_PER_OCTAVE, SMALLEST_LOG2 = 4096, 1076
 
 _FOLDS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 
@@ -58,8 +60,8 @@ def join_same(left: DataFrame, right: DataFrame, cols, how: str = "inner") -> Da
 def slice_number(df: DataFrame, keys: Keys) -> Column:
     """Monotone integer that cuts a history into short pieces.
 
-    Times are cut into `slice_seconds`; numbers into steps of about 1 % of their size, which needs neither
-    their minimum nor their maximum.
+    Times are cut into `slice_seconds`; numbers into equal steps of their logarithm, so that values of a narrow
+    range fall into many slices too, without knowing their minimum or maximum. NaN is the largest number.
     """
     col, kind = F.col(keys.time), df.schema[keys.time].dataType
     while isinstance(kind, T.StructType):
@@ -78,8 +80,10 @@ def slice_number(df: DataFrame, keys: Keys) -> Column:
             F.floor(seconds / keys.slice_seconds), F.lit(per_day - 1)
         )
     elif isinstance(kind, T.NumericType):
-        number = F.signum(col.cast("double")) * F.floor(F.log2(F.abs(col.cast("double")) + 1) * 64)
-        number = number.cast("long")
+        x = col.cast("double")
+        size = F.floor((F.log2(F.abs(x)) + SMALLEST_LOG2) * SLICES_PER_OCTAVE)
+        number = F.when(F.isnan(x), F.lit(2**61)).when(F.abs(x) == float("inf"), F.signum(x).cast("long") * 2**60)
+        number = number.when(x == 0, F.lit(0)).otherwise((F.signum(x) * size).cast("long"))
     else:
         raise TypeError(f"cannot order a history by {kind.simpleString()}")
     return F.coalesce(number, F.lit(MIN_SLICE)).cast("long")

@@ -319,7 +319,7 @@ _PRIOR = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
   stddev_samp(v) OVER ({_SEG_W} {_PRIOR}) AS gs FROM so)
 SELECT {OR}, {r('(pv - gm) / nullif(gs, 0)', 'v_z')}, {r('pv - gm', 'v_diff')} FROM g""")
 def group_z(t):
-    return _or(C.group_z(segment_orders(t), order_keys(t), "segment", "v", center=250.0), "v_z", "v_diff")
+    return _or(C.group_z(segment_orders(t), order_keys(t), "segment", "v"), "v_z", "v_diff")
 
 
 @query("expanding_percentile", f"""WITH {SEG_SQL}, x AS (SELECT *, avg(v) OVER ({CUST_W} {rows(5)}) AS form FROM so),

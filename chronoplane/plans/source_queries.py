@@ -216,16 +216,17 @@ def stream_ingest(t):
     spark, src = t.spark, work_path(t.spark, "arrivals")
     e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     e.write.parquet(src)
-    e.filter(F.col("event_type") == "click").write.mode("append").parquet(src)
+    e.write.mode("append").parquet(src)
     out = work_path(spark, "ingested")
     q = run_ingest(event_stream(spark, src, e.schema, files_per_trigger=1), out, work_path(spark, "ckpt"), ["event_id"], "ts", "60 days")
-    q.awaitTermination()
+    q.processAllAvailable()
+    q.stop()
     return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value")
 
 
 @query("stream_ledger", """SELECT o_orderkey, CASE WHEN o_totalprice / 1000 > 200 THEN 'won' ELSE 'lost' END AS status FROM orders WHERE o_orderstatus <> 'P'""")
 def stream_ledger(t):
-    """Every order is an over bet at 200; results of the finished orders arrive as a stream."""
+    """Every order is an over bet at 200; results of the finished orders arrive as a stream, first wrong, then corrected downwards."""
     spark = t.spark
     ledger, arrivals, settled = (work_path(spark, x) for x in ("ledger", "results", "settled"))
     bets = t.orders.select(
@@ -234,11 +235,14 @@ def stream_ledger(t):
     )
     L.ledger_append(bets, ledger, F.col("bet_date"), F.lit("2024-01-01").cast("timestamp"), keep="o_orderkey")
     done = t.orders.filter(F.col("o_orderstatus") != "P").select(
-        F.col("o_orderkey").alias("player_name"), F.to_date("o_orderdate").alias("bet_date"), (F.col("o_totalprice") / 1000).alias("actual")
+        F.col("o_orderkey").alias("player_name"), F.to_date("o_orderdate").alias("bet_date"), (F.col("o_totalprice") / 1000).alias("actual"), F.lit(2).alias("version")
     )
-    done.repartition(4).write.parquet(arrivals)
+    wrong = done.withColumns({"actual": F.col("actual") + 1000, "version": F.lit(1)})
+    wrong.unionByName(done).repartition(4, "player_name").write.parquet(arrivals)
     stream = event_stream(spark, arrivals, done.schema, files_per_trigger=2)
-    run_settle(stream, ledger, settled, work_path(spark, "ckpt")).awaitTermination()
+    q = run_settle(stream, ledger, settled, work_path(spark, "ckpt"), newest="version")
+    q.processAllAvailable()
+    q.stop()
     return settled_bets(spark, settled).select("o_orderkey", "status")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +30,17 @@ def local_session(cpus: int | str = 8, memory: str = "12g", app: str = "chronopl
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers of all executors, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_chronoplane_shipped", False):
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="chronoplane-"), "chronoplane"), "zip", os.path.dirname(folder), os.path.basename(folder))
+    context.addPyFile(archive)
+    context._chronoplane_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: `spark.checkpoint.dir`, or the one already set on the context.
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoplane.functions.cleaning import season_id_decode, season_label, to_date_coerce
+
 # Season in a file or folder name (2023-24 or 2023_24).
 SEASON_PATTERN = r"(\d{4})[-_](\d{2})"
 
@@ -57,15 +61,23 @@ def reconcile_columns(columns: list[str]) -> list[tuple[str, str]]:
 
 
 def _season_of(path: Column) -> Column:
-    return F.concat(
-        F.regexp_extract(path, SEASON_PATTERN, 1), F.lit("-"), F.regexp_extract(path, SEASON_PATTERN, 2)
-    )
+    """The season that a path names last: in its file name, else in the nearest folder that has one."""
+    found = F.regexp_extract(path, rf"^.*(?<![0-9A-Za-z]){SEASON_PATTERN}(?![0-9A-Za-z])", 1), F.regexp_extract(path, rf"^.*(?<![0-9A-Za-z]){SEASON_PATTERN}(?![0-9A-Za-z])", 2)
+    return F.when(found[0] != "", F.concat(found[0], F.lit("-"), found[1]))
+
+
+def _headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Column names of each file; the first lines are found in one distributed pass, a line per file reaches the driver."""
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    placed = lines.where("start = 0").withColumn("at", F.monotonically_increasing_id())
+    first = placed.groupBy("path").agg(F.min_by("value", "at").alias("line"))
+    return {unquote(r["path"]): next(csv.reader([r["line"]])) for r in first.toLocalIterator()}
 
 
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match a glob, without reading them; a few names per season."""
     try:
-        return sorted(spark.read.text(pattern).inputFiles())
+        return sorted(map(unquote, spark.read.text(pattern).inputFiles()))
     except AnalysisException as error:
         if not _absent(error):
             raise
@@ -76,20 +88,16 @@ def scan_csv_multi(spark: SparkSession, pattern: str, seasons=None, defaults: di
                    types: dict[str, str] | None = None) -> DataFrame:
     """Season files whose columns differ, as one table of upper-case columns with `SEASON`.
 
-    Files with the same header are read together; the header line is all the driver looks at. The season
-    comes from the file name unless the file has the column. Values are cast by `types`, bad ones to NULL.
+    Files with the same header are read together; the header line is all the driver looks at. The season is the
+    column if the file has it, else what SEASON_ID says, else GAME_DATE, else the file name. Values are cast by
+    `types`, bad ones to NULL.
     """
     files = list_files(spark, pattern)
     if not files:
         raise FileNotFoundError(pattern)
     by_header: dict[tuple[str, ...], list[str]] = {}
-    previous = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
-        for f in files:
-            by_header.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", previous)
+    for f, columns in sorted(_headers(spark, files).items()):
+        by_header.setdefault(tuple(columns), []).append(f)
     tables = []
     for header, group in by_header.items():
         # Columns are read by place under names that differ in more than their case.
@@ -98,8 +106,14 @@ def scan_csv_multi(spark: SparkSession, pattern: str, seasons=None, defaults: di
         raw = spark.read.option("header", True).schema(schema).csv(group)
         names = reconcile_columns(list(header))
         cols = [F.col(places[source]).alias(name) for source, name in names]
-        if "SEASON" not in [name for _, name in names]:
-            cols.append(_season_of(F.col("_metadata.file_path")).alias("SEASON"))
+        by_name = {name: F.col(places[source]) for source, name in names}
+        if "SEASON" not in by_name:
+            known = []
+            if "SEASON_ID" in by_name:
+                known.append(season_id_decode(by_name["SEASON_ID"]))
+            if "GAME_DATE" in by_name:
+                known.append(season_label(to_date_coerce(by_name["GAME_DATE"])))
+            cols.append(F.coalesce(*known, _season_of(F.col("_metadata.file_path"))).alias("SEASON"))
         tables.append(raw.select(*cols))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     for name, value in (defaults or {}).items():
@@ -139,8 +153,9 @@ def scan_folds(spark: SparkSession, path: str, fold: int | None = None) -> DataF
     if fold is None:
         return df
     one = df.filter(F.col("fold") == fold)
-    found = {r["split"] for r in one.select("split").distinct().limit(10).toLocalIterator()}
-    empty = {"train", "val", "test"} - found
+    parts = ("train", "val", "test")
+    found = one.agg(*[F.count_if(F.col("split") == p).alias(p) for p in parts]).first()
+    empty = {p for p in parts if not found[p]}
     if empty:
         raise ValueError(f"fold {fold} has no rows in {sorted(empty)}")
     return one

@@ -11,18 +11,23 @@ from chronoplane.operators.ledger import ledger_settle
 
 
 def stream_ledger(results: DataFrame, ledger_path: str, settled_path: str, checkpoint: str,
-                  key=("player_name", "bet_date"), date: str = "bet_date", once: bool = True) -> StreamingQuery:
+                  key=("player_name", "bet_date"), date: str = "bet_date", newest: str | None = None,
+                  once: bool = True) -> StreamingQuery:
     """Settle pending bets as results arrive; every batch writes its settled bets to its own folder.
 
-    A batch that runs again after a failure overwrites its own folder. The ledger is read only inside the
-    batch's dates, so old files are skipped by their statistics.
+    Of several results for a key in a batch the one with the largest `newest` counts (without it, the largest
+    result). Results are kept beside the settled bets, so that `settle_late` finds those that came before
+    their bets. A batch that runs again after a failure overwrites its own folders. The ledger is read only
+    inside the batch's dates, so old files are skipped by their statistics.
     """
     key = as_tuple(key)
+    last = F.max_by("actual", newest) if newest else F.max("actual")
 
     def settle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        latest = batch.groupBy(*key).agg(F.max("actual").alias("actual")).persist()
+        latest = batch.groupBy(*key).agg(last.alias("actual")).persist()
         try:
+            latest.write.mode("overwrite").parquet(f"{results_of(settled_path)}/batch={batch_id}")
             span = latest.agg(F.min(date).alias("a"), F.max(date).alias("b"))
             ledger = spark.read.parquet(ledger_path).filter(
                 (F.col(date) >= span.select("a").scalar()) & (F.col(date) <= span.select("b").scalar())
@@ -38,6 +43,20 @@ def stream_ledger(results: DataFrame, ledger_path: str, settled_path: str, check
     return writer.start()
 
 
+def results_of(settled_path: str) -> str:
+    """Folder with the results that the stream has seen, by batch."""
+    return f"{settled_path.rstrip('/')}-results"
+
+
+def settle_late(spark: SparkSession, ledger_path: str, settled_path: str, key=("player_name", "bet_date")) -> DataFrame:
+    """Bets that are still pending although their result has come: those appended after it. The newest batch counts."""
+    key = list(as_tuple(key))
+    results = spark.read.parquet(results_of(settled_path)).groupBy(*key).agg(F.max_by("actual", "batch").alias("actual"))
+    open_bets = spark.read.parquet(ledger_path).filter(F.col("status") == "pending")
+    open_bets = open_bets.join(settled_bets(spark, settled_path, key).select(*key), key, "left_anti")
+    return ledger_settle(open_bets.join(results.select(*key), key, "left_semi"), results, tuple(key))
+
+
 def settled_bets(spark: SparkSession, settled_path: str, key=("player_name", "bet_date")) -> DataFrame:
     """Settled bets; where a result came again in a later batch, that batch counts."""
     rows = spark.read.parquet(settled_path)
