@@ -363,6 +363,25 @@ def sustainability_score(df: DataFrame, time: str, break_even: float = BREAK_EVE
     return out.withColumn("rating", rating)
 
 
+def sustainability_flags(score: DataFrame, break_even: float = BREAK_EVEN_RATE) -> DataFrame:
+    """One row (check, level, value) per check of a `sustainability_score` row; level is red, warning or good.
+
+    Fixed values: the limits below. The consistency check is absent where there are no rolling windows.
+    """
+    n, rate = F.col("n"), F.col("win_rate")
+    trend = F.abs(F.coalesce("win_rate_trend", F.lit(0.0)))
+    level = lambda red, warning: F.when(red, "red").when(warning, "warning").otherwise("good")
+    checks = {
+        "win_rate": (level(rate > 0.85, rate > 0.75), rate),
+        "sample_size": (level(n < 1000, n < 3000), n.cast("double")),
+        "stability": (level(trend > 0.10, trend > 0.05), trend),
+        "interval": (level(F.col("ci95_low") < break_even, F.col("ci90_low") < break_even), F.col("ci95_low")),
+        "consistency": (level(F.col("share_above") < 0.60, F.col("share_above") < 0.75), F.col("share_above")),
+    }
+    rows = [F.struct(F.lit(k).alias("check"), lv.alias("level"), v.alias("value")) for k, (lv, v) in checks.items()]
+    return score.select(F.inline(F.array(*rows))).filter((F.col("check") != "consistency") | F.col("value").isNotNull())
+
+
 def edge_bins(df: DataFrame, edge: str, win: str, bins: int = 5, quantiles: bool = True,
               hot_rows: int | None = 1_000_000) -> DataFrame:
     """Mean edge, rows and win rate per bin (right-closed quantile or equal-width), and whether rates only rise."""

@@ -416,12 +416,15 @@ _POINTS = """CASE WHEN pb < 0.001 THEN 20 WHEN pb < 0.01 THEN 15 WHEN pb < 0.05
   CASE WHEN sh IS NULL THEN 10 WHEN sh > 0.85 THEN 20 WHEN sh > 0.75 THEN 15 WHEN sh > 0.60 THEN 10 ELSE 5 END AS f5"""
 
 
-@query("sustainability_score", f"""WITH {B_SQL}, {_DAYS}, {_ROLL}, {_THIRDS},
+_SCORE = f"""WITH {B_SQL}, {_DAYS}, {_ROLL}, {_THIRDS},
 a AS (SELECT CAST(count(*) AS BIGINT) AS c, CAST(count(*) FILTER (bet_correct) AS BIGINT) AS w FROM b WHERE has_line),
 z AS (SELECT c, w, {_BINOM} AS pb, {_wilson(_Z[90], 'low')} AS l90, {_wilson(_Z[95], 'low')} AS l95,
   (SELECT max(CASE WHEN period = 'late' THEN w / c END) - max(CASE WHEN period = 'early' THEN w / c END) FROM th) AS tr,
   (SELECT avg(CASE WHEN rate > 0.524e0 THEN 1e0 WHEN rate IS NOT NULL THEN 0e0 END) FROM rr) AS sh FROM a),
-f AS (SELECT *, {_POINTS} FROM z), g AS (SELECT *, f1 + f2 + f3 + f4 + f5 AS score FROM f)
+f AS (SELECT *, {_POINTS} FROM z), g AS (SELECT *, f1 + f2 + f3 + f4 + f5 AS score FROM f)"""
+
+
+@query("sustainability_score", _SCORE + f"""
 SELECT {n('c', 'n')}, {r('w / c', 'win_rate')}, {r('pb', 'p_binomial')}, {r('l90', 'ci90_low')}, {r('l95', 'ci95_low')}, {r('tr', 'win_rate_trend')}, {r('sh', 'share_above')},
 {n('f1', 'significance_points')}, {n('f2', 'sample_points')}, {n('f3', 'stability_points')}, {n('f4', 'interval_points')}, {n('f5', 'consistency_points')}, {n('score', 'score')},
 CASE WHEN score >= 85 THEN 'EXCELLENT' WHEN score >= 70 THEN 'GOOD' WHEN score >= 55 THEN 'FAIR' WHEN score >= 40 THEN 'QUESTIONABLE' ELSE 'POOR' END AS rating FROM g""")
@@ -429,6 +432,17 @@ def sustainability_score(t):
     return PF.sustainability_score(bets(t), "o_orderdate")
 
 
+@query("sustainability_flags", _SCORE + f""", v AS (SELECT *, w / c AS rate, abs(coalesce(tr, 0)) AS mv FROM z),
+u AS (SELECT 'win_rate' AS "check", CASE WHEN rate > 0.85 THEN 'red' WHEN rate > 0.75 THEN 'warning' ELSE 'good' END AS level, rate AS x FROM v
+UNION ALL SELECT 'sample_size', CASE WHEN c < 1000 THEN 'red' WHEN c < 3000 THEN 'warning' ELSE 'good' END, c FROM v
+UNION ALL SELECT 'stability', CASE WHEN mv > 0.10 THEN 'red' WHEN mv > 0.05 THEN 'warning' ELSE 'good' END, mv FROM v
+UNION ALL SELECT 'interval', CASE WHEN l95 < 0.524 THEN 'red' WHEN l90 < 0.524 THEN 'warning' ELSE 'good' END, l95 FROM v
+UNION ALL SELECT 'consistency', CASE WHEN sh < 0.60 THEN 'red' WHEN sh < 0.75 THEN 'warning' ELSE 'good' END, sh FROM v WHERE sh IS NOT NULL)
+SELECT "check", level, {r('x', 'value')} FROM u""")
+def sustainability_flags(t):
+    return PF.sustainability_flags(PF.sustainability_score(bets(t), "o_orderdate"))
+
+
 _EB = "eb AS (SELECT edge_over AS e, actual > line AS hit FROM pb)"
 
 

@@ -200,11 +200,10 @@ def union_all(t):
     )
 
 
-@query("intersect_except", """WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9000), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
-SELECT coalesce(a.k, b.k) AS nation, CASE WHEN a.k IS NULL THEN 'right' WHEN b.k IS NULL THEN 'left' ELSE 'both' END AS side FROM a FULL JOIN b ON a.k = b.k""")
+@query("intersect_except", """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer)
+SELECT coalesce(a.k, b.k) AS customer, CASE WHEN a.k IS NULL THEN 'right' WHEN b.k IS NULL THEN 'left' ELSE 'both' END AS side FROM a FULL JOIN b ON a.k = b.k""")
 def intersect_except(t):
-    rich = t.customer.filter(F.col("c_acctbal") > 9000).select(F.col("c_nationkey").alias("nation"))
-    return R.intersect_except(rich, t.supplier.select(F.col("s_nationkey").alias("nation")), "nation")
+    return R.intersect_except(t.orders.select(F.col("o_custkey").alias("customer")), t.customer.select(F.col("c_custkey").alias("customer")), "customer")
 
 
 @query("distinct_values", f"WITH {O_SQL} SELECT DISTINCT season FROM o WHERE season >= '1995-96' AND season <= '1999-00'")
