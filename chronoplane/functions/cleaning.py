@@ -119,6 +119,7 @@ def calendar_features(df: DataFrame, date: str) -> DataFrame:
     """Month, season stage, day of week (Monday 0) and weekend (Friday to Sunday)."""
     d = F.col(date)
     month, dow = F.month(d), F.weekday(d)
+    # Months of the season stages.
     stages = {
         "is_early_season": (10, 11),
         "is_mid_season": (12, 1, 2),
@@ -265,7 +266,7 @@ def role_flags(df: DataFrame, usage: str, assist_rate: str, threes: str, shots:
 
 def player_filter(df: DataFrame, career: str = "career_games", recent: str = "recent_games",
                   min_career: int = 5, min_recent: int = 3) -> DataFrame:
-    """Entities with enough history; a rule whose column is absent does not apply."""
+    """Entities with enough history; a rule whose column is absent does not apply. The defaults."""
     for name, least in ((career, min_career), (recent, min_recent)):
         if name in df.columns:
             df = df.filter(F.col(name) >= least)

@@ -60,6 +60,7 @@ def reset_steps(keys: Keys, gap: int = RESET_GAP_DAYS):
         yield Run({"__at": Running("max", restart, prior=False)})
         yield Cols({"games_since_reset": F.col(POSITION) - F.coalesce(F.col("__at"), F.lit(0))}, ("__gap", "__at"))
         yield Cols(
+            # Rows that count as returning and as early after a return.
             {"is_returning": ((n > 0) & (n <= 5)).cast("int"), "is_early_return": ((n > 0) & (n <= 2)).cast("int")}
         )
 

@@ -188,6 +188,7 @@ def gap_flags(df: DataFrame, keys: Keys, first: int = 3) -> DataFrame:
 def gap_flag_steps(keys: Keys, first: int = 3):
     gap = F.col("days_since_last")
     flags = {
+        # The gap classes in days.
         "is_back_to_back": (gap == 1).cast("int"),
         "is_one_day_rest": (gap == 2).cast("int"),
         "is_well_rested": (gap >= 3).cast("int"),
@@ -228,7 +229,11 @@ def availability(df: DataFrame, keys: Keys, days: int = 30, expected: int = 12)
     return counted.withColumn("availability_score", F.least(F.lit(100.0), n / F.lit(expected) * 100))
 
 
-def form_flags(df: DataFrame, keys: Keys, value: str, band: float = 0.1) -> DataFrame:
+# The band of form_flags, the limits of minutes_context.
+BAND, HIGH_MINUTES, LOW_MINUTES = 0.1, 28, 20
+
+
+def form_flags(df: DataFrame, keys: Keys, value: str, band: float = BAND) -> DataFrame:
     """Last value and last-three mean against the mean of the season so far.
 
     The lag and the three-row mean run across seasons; only the season mean restarts.
@@ -236,7 +241,7 @@ def form_flags(df: DataFrame, keys: Keys, value: str, band: float = 0.1) -> Data
     return on_timeline(df, keys, compose(form_steps(keys, value, band)), reach=3)
 
 
-def form_steps(keys: Keys, value: str, band: float = 0.1):
+def form_steps(keys: Keys, value: str, band: float = BAND):
     x = F.col(value)
     mean = F.col("__s") / F.nullif(F.col("__c"), F.lit(0))
     no = F.lit(False)
@@ -262,12 +267,12 @@ def form_steps(keys: Keys, value: str, band: float = 0.1):
     return family
 
 
-def minutes_context(df: DataFrame, keys: Keys, minutes: str, high: float = 28, low: float = 20) -> DataFrame:
+def minutes_context(df: DataFrame, keys: Keys, minutes: str, high: float = HIGH_MINUTES, low: float = LOW_MINUTES) -> DataFrame:
     """Previous playing time, its five-row mean and deviation, and high / low flags."""
     return on_timeline(df, keys, compose(minutes_steps(minutes, high, low)), reach=5)
 
 
-def minutes_steps(minutes: str, high: float = 28, low: float = 20):
+def minutes_steps(minutes: str, high: float = HIGH_MINUTES, low: float = LOW_MINUTES):
     m, avg, no = F.col(minutes), F.col("minutes_avg_last5"), F.lit(False)
     frames = {
         "minutes_last_game": lambda w: F.lag(m).over(w),

@@ -214,7 +214,7 @@ def stream_ingest(t):
     e.write.parquet(src)
     e.write.mode("append").parquet(src)
     out = work_path(spark, "ingested")
-    q = run_ingest(event_stream(spark, src, e.schema, files_per_trigger=1), out, work_path(spark, "ckpt"), ["event_id"], "ts", "60 days")
+    q = run_ingest(event_stream(spark, src, e.schema, files_per_trigger=1), out, work_path(spark, "ckpt"), ["event_id"])
     q.processAllAvailable()
     q.stop()
     return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value")

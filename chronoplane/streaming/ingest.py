@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,14 +22,33 @@ def event_stream(spark: SparkSession, path: str, schema: T.StructType, pattern:
     return reader.parquet(path)
 
 
-def stream_ingest(stream: DataFrame, path: str, checkpoint: str, grain, time: str, late: str = "30 days",
-                  once: bool = True) -> StreamingQuery:
-    """Each key once, even when its rows arrive in different files up to `late` apart.
+def stream_ingest(stream: DataFrame, path: str, checkpoint: str, grain, once: bool = True) -> StreamingQuery:
+    """Each key once, however late its other rows arrive; a batch writes the keys that are new to its own folder.
 
-    State is one entry per key inside the watermark and is spread by key. `once` takes what is there and stops.
+    What is stored already is the state: a batch loses the keys that other batches have stored, a join that reads only
+    the key columns. So no row is dropped for being late, and a batch that runs again after a failure overwrites its
+    own folder. Of several rows for a key in a batch any one is kept. `once` takes what is there and stops.
     """
-    unique = stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(as_tuple(grain)))
-    writer = unique.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    grain = list(as_tuple(grain))
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        unique = batch.dropDuplicates(grain)
+        known = stored_keys(batch.sparkSession, path, grain, batch_id)
+        fresh = unique if known is None else unique.join(known, grain, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
-    return writer.start(path)
+    return writer.start()
+
+
+def stored_keys(spark: SparkSession, path: str, grain, batch_id: int) -> DataFrame | None:
+    """Keys that batches before this one have stored; None before the first."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return rows.filter(F.col("batch") < batch_id).select(*grain)

@@ -14,7 +14,7 @@ from chronoplane.keys import Keys
 from chronoplane.operators import category, joins, ledger, performance, profile, quantiles, timeline
 from chronoplane.session import work_path
 from chronoplane.sources import readers
-from chronoplane.streaming.ingest import event_stream
+from chronoplane.streaming.ingest import event_stream, stream_ingest
 from chronoplane.streaming.settle import settle_late, settled_bets, stream_ledger
 
 EVENTS = Keys("who", "at", "event")
@@ -138,3 +138,16 @@ print("sum", entry.queries()["gamma_tail"](spark, "/root/testdata/sf0.001").toPa
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code, entry], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "sum " in out.stdout, out.stderr[-2000:]
+
+
+def test_late_rows_are_kept_once(spark):
+    src, out, ckpt = (work_path(spark, x) for x in ("arrivals", "ingested", "ckpt"))
+    first = spark.sql("SELECT * FROM VALUES (1, timestamp'2024-06-01'), (2, timestamp'2024-06-02'), (2, timestamp'2024-06-02') AS t(id, ts)")
+    first.coalesce(1).write.parquet(src)
+    for rows in (None, spark.sql("SELECT * FROM VALUES (3, timestamp'2020-01-01'), (1, timestamp'2024-06-01') AS t(id, ts)")):
+        if rows is not None:
+            rows.coalesce(1).write.mode("append").parquet(src)
+        q = stream_ingest(event_stream(spark, src, first.schema), out, ckpt, "id")
+        q.processAllAvailable()
+        q.stop()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
