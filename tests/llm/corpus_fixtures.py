@@ -1,21 +1,11 @@
-import os
-import sys
+"""Fixtures of these tests; the session is that of the folder above."""
 
 import pytest
-
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
-from chronoplane.session import local_session  # noqa: E402
+from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    return local_session(8, "8g", "tests")
-
-
 @pytest.fixture(scope="session")
 def small():
     return SMALL
@@ -45,8 +35,6 @@ def odd(spark):
     names = "size target taken pieces fingerprint component_id span id row key words lines kept start length score at path place bucket".split()
     clash = docs
     for n in names:
-        from pyspark.sql import functions as F
-
         clash = clash.withColumn(n, F.lit("clash"))
     return docs, clash
 

@@ -7,6 +7,7 @@ import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
+from corpus_fixtures import small  # noqa: F401
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

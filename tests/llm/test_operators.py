@@ -7,6 +7,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
+from corpus_fixtures import none, odd, small  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
