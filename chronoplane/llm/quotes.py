@@ -75,16 +75,16 @@ def linked(messages: DataFrame, *, scope_col: str = "conv_id", order_col: str =
     quotes = said.where("level = 1").join(first, ["scope", "passage"]).where("original < at")
     parents = quotes.groupBy("scope", "at").agg(F.max("original").alias("parent"))
     nodes = lines.select("scope", "at").distinct().join(parents, ["scope", "at"], "left")
-    # `up` is an ancestor `steps` above, or the root.
-    now, path = store(nodes.select("scope", "at", "parent", F.coalesce("parent", "at").alias("up"), F.col("parent").isNotNull().cast("long").alias("steps")), "replies")
-    while True:
-        above = now.select("scope", F.col("at").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        after, path_after = store(now.join(above, ["scope", "up"]).select("scope", "at", "parent", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps")), "replies")
-        moved = after.agg(F.sum("steps")).first()[0] != now.agg(F.sum("steps")).first()[0]
+    # `up` is an ancestor `steps` above; a row is done when that is the root. Only the others are joined again.
+    first_up = nodes.select("scope", "at", "parent", F.coalesce("parent", "at").alias("up"), F.col("parent").isNotNull().cast("long").alias("steps"), F.col("parent").isNull().alias("done"))
+    now, path = store(first_up, "replies")
+    while now.where("NOT done").limit(1).count():
+        above = now.select("scope", F.col("at").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("done").alias("found"))
+        moved = now.where("NOT done").join(above, ["scope", "up"]).select("scope", "at", "parent", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("found").alias("done"))
+        after, path_after = store(moved.union(now.where("done")), "replies")
         drop_stored(spark, path)
         now, path = after, path_after
-        if not moved:
-            return now.select("scope", "at", "parent", F.col("up").alias("root"), F.col("steps").alias("depth"))
+    return now.select("scope", "at", "parent", F.col("up").alias("root"), F.col("steps").alias("depth"))
 
 
 def conversations(messages: DataFrame, *, scope_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
