@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from chronoplane.llm.tokens import encoder
 
+#: Bytes of ids that a task holds before it returns the pieces.
+HELD_BYTES = 4 << 20
 #: Sequence ids of a task start at its number times this.
 TASK_STRIDE = 1 << 33
 
@@ -46,6 +48,7 @@ class _Packer:
         self.need = np.zeros((2 * limits.pool, 3))
         self.items: list[tuple] = []
         self.done: list[tuple] = []
+        self.held = 0
 
     def add(self, doc, ids: bytes, loss_from: int) -> None:
         """An example: whole sequences of it go out at once, the rest waits in the pool."""
@@ -135,10 +138,11 @@ class _Packer:
             length = len(ids) // 4
             self.done.append((doc, at, length, zlib.crc32(ids), n, self.next, offset, self._loss(piece), ids))
             offset += length
+            self.held += len(ids)
         self.next += 1
 
 
-def pack(docs: DataFrame, vocabulary: str, limits: Limits = Limits(), *, id_col: str = "doc_id", text_col: str = "text", loss_from: str | None = None, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, limits: Limits = Limits(), *, id_col: str = "doc_id", text_col: str = "text", loss_from: str | None = None, end_id: int = 1, keep_ids: bool = False, kept_pieces: int | None = None) -> DataFrame:
     """Packs whole texts into sequences; one row per piece.
 
     Every task tokenises its own rows and packs them, so nothing is shuffled and no key can be hot. A text that fills
@@ -148,6 +152,7 @@ def pack(docs: DataFrame, vocabulary: str, limits: Limits = Limits(), *, id_col:
     sequence of a task is split at powers of two. Sequence ids are unique, not consecutive; they rest on the order of the
     rows in a task, so pack a table that is stored, not the output of a shuffle.
 
+    kept_pieces: bound of what a worker remembers of the vocabulary's words, less for less memory and more time.
     loss_from: column with the first position that bears loss (a prompt before it bears none); absent or null: 0.
 
     Null and empty texts give one piece, the end id. A null id stays null. Equal rows are packed each for itself. No rows
@@ -160,7 +165,7 @@ def pack(docs: DataFrame, vocabulary: str, limits: Limits = Limits(), *, id_col:
     schema = f"doc_id {item.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:]) + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(vocabulary, kept_pieces), np.array([end_id], "<u4").tobytes()
         packer, doc_type = _Packer(limits, TaskContext.get().partitionId() * TASK_STRIDE), pa.int64()
 
         def out() -> pa.RecordBatch:
@@ -168,14 +173,14 @@ def pack(docs: DataFrame, vocabulary: str, limits: Limits = Limits(), *, id_col:
             arrays = [pa.array(cols[0], doc_type), *(pa.array(c, pa.int64()) for c in cols[1:8])]
             if keep_ids:
                 arrays.append(pa.array([np.frombuffer(x, "<i4") for x in cols[8]], pa.list_(pa.int32())))
-            packer.done = []
+            packer.done, packer.held = [], 0
             return pa.RecordBatch.from_arrays(arrays, names=names + ["ids"] * keep_ids)
 
         for batch in batches:
             doc_type = batch.column(0).type
             for doc, text, loss in zip(*(batch.column(i) for i in range(3)), strict=True):
                 packer.add(doc.as_py(), enc.encode(text.as_py()) + end, loss.as_py())
-                if len(packer.done) >= 8192:
+                if packer.held >= HELD_BYTES:
                     yield out()
         packer.end()
         if packer.done:

@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-#: Pieces whose ids a worker keeps; beyond it starts afresh. It changes speed only.
+#: Pieces whose ids a worker keeps, some 200 bytes each; beyond it starts afresh. It changes speed only.
 KEPT_PIECES = 1_500_000
 #: A run of letters and one of marks after it: two words of the pre-tokenizer, whatever stands around them.
 WORD = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;=>?@\[\]^`{|}~]*)")
@@ -42,6 +42,7 @@ class Encoder(dict):
         self.apart = self.apart and not t.pre_tokenizer.add_prefix_space and not any(x.lstrip or x.rstrip or x.single_word or x.content.isalpha() for x in t.get_added_tokens_decoder().values())
         self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.marks: dict[str, bytes] = {"": b""}
+        self.most = KEPT_PIECES
         self.feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
@@ -73,7 +74,7 @@ class Encoder(dict):
         if not text:
             return b""
         if self.apart:
-            if len(self) > KEPT_PIECES or len(self.marks) > KEPT_PIECES:
+            if len(self) > self.most or len(self.marks) > self.most:
                 self.clear()
                 self.marks = {"": b""}
             try:
@@ -83,8 +84,9 @@ class Encoder(dict):
         return self.whole(text)
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
+def encoder(path: str, most: int | None = None) -> Encoder:
+    """The worker's encoder for a vocabulary file, which keeps the ids of so many pieces at most."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].most = most or KEPT_PIECES
     return _encoders[path]

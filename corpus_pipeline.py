@@ -56,7 +56,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into training sequences; a row per piece, with its token ids."""
-    return pack(docs, vocabulary(), Limits(tokens=2048, segments=512, loss=2048), keep_ids=True)
+    return pack(docs, vocabulary(), Limits(tokens=2048, segments=512, loss=2048), keep_ids=True, kept_pieces=400_000)
 
 
 STAGES = [
