@@ -13,6 +13,26 @@ from chronoplane.llm.common import words
 
 #: A run that can be a key: 16 letters, digits or marks of base64 at least.
 CANDIDATE = r"[A-Za-z0-9_+/\-]{16,}={0,2}"
+#: Names that call for a secret, with what joins their value to them, up to it.
+NAME = r"(?i:passw(?:or)?d|passphrase|pwd|pass|secret|token|api_?key|access_?key|auth|credentials?|key)(?:[_\-][A-Za-z0-9_\-]{0,16}|[A-Z0-9][A-Za-z0-9]{0,16}|s)?[\"'\])]{0,2}"
+JOIN = r"(?:[:=]{1,2}|=>)"
+#: Stands before a word that is assigned to such a name in the words before.
+CALLED = "\x01"
+_SET = rf"(?:{NAME}{JOIN}|^{CALLED})"
+_KEY_CHAR = r"[A-Za-z0-9_+/\-]"
+_PART = r"[A-Za-z0-9_\-]"
+#: All that can be a secret inside a word. Values assigned to such a name, in quotes or not, and passwords in URLs may be
+#: short and hold any marks. Others are runs: of 16 characters with a letter and a digit (or of a known form), or several
+#: of them joined by points, such as web tokens.
+SECRET = "|".join(
+    [
+        rf"(?<=[\"'])(?<={_SET}[\"'])[^\"'{CALLED}]{{4,}}+(?=[\"'])",
+        rf"(?<=[:=>{CALLED}(])(?<={_SET}\(?)[^\"'`,;&<>(){{}}\[\]{CALLED}]{{3,}}[^\"'`,;&<>(){{}}\[\]{CALLED}.:?]",
+        r"(?<=:)(?<=://[^:/@]{1,64}:)[^/@]{3,}+(?=@)",
+        rf"(?<!{_KEY_CHAR})(?:SG\.)?{_PART}{{16,}}+(?:\.{_PART}{{4,}}){{0,7}}\.{_PART}{{16,}}+",
+        rf"(?<!{_KEY_CHAR})(?:(?=[A-Za-z_+/\-]*+[0-9])(?=[0-9_+/\-]*+[A-Za-z])|(?=AKIA[A-Z]{{16}}|gh[pousr]_)){_KEY_CHAR}{{16,}}+(?:={{1,2}}(?![=A-Za-z0-9_+/\-]))?",
+    ]
+)
 
 # Words that speak for or against a secret beside a candidate, and dictionary words inside one.
 FOR_WORDS = "password passwd pwd secret token apikey api_key access_key auth credential private bearer key".split()
@@ -61,7 +81,7 @@ def features(found: DataFrame) -> DataFrame:
             "dictionary": covered / F.length(c),
             "hex": c.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
             "uuid": c.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$").cast("double"),
-            "known": c.rlike("^(AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk_live_[0-9A-Za-z]{24,}|xox[abp]-[0-9A-Za-z-]+|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20})$").cast("double"),
+            "known": c.rlike("^(AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk_live_[0-9A-Za-z]{24,}|xox[abp]-[0-9A-Za-z-]+|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20}|eyJ[0-9A-Za-z_-]+\\.eyJ[0-9A-Za-z_-]+\\.[0-9A-Za-z_-]+|SG\\.[0-9A-Za-z_-]+\\.[0-9A-Za-z_-]+)$").cast("double"),
             "test_path": path.rlike("test|example|sample|fixture|mock|docs?/|readme").cast("double"),
             "generated_path": path.rlike(r"\.lock|lock\.json|\.min\.|\.map$|go\.sum|checksums?|vendor/|node_modules").cast("double"),
             "for_word": near.rlike(word(FOR_WORDS)).cast("double"),
@@ -72,19 +92,38 @@ def features(found: DataFrame) -> DataFrame:
     )
 
 
+def _likely(text: Column) -> Column:
+    """Whether a text can hold a candidate."""
+    return F.coalesce(text.rlike(CANDIDATE) | text.rlike(rf"{NAME}\s?{JOIN}") | text.rlike(r"://[^\s:/@]{1,64}:[^\s/@]{3,}+@"), F.lit(False))
+
+
 def candidates(docs: DataFrame, text_col: str, path_col: str | None) -> DataFrame:
-    """A row per candidate beside the columns of docs: at (word number), prefix and suffix (the rest of its word), the two words before, one after.
+    """A row per candidate beside the columns of docs: at (word number), prefix and suffix (what stands before and after it in its word, to the next candidate), the two words before, one after.
 
-    A word gives its first run of candidate characters that holds a letter and a digit.
+    A word gives all its candidates. Before the first one stand the words before, after the last one the word after; others
+    have neither. A candidate that is assigned to the one before it has that one in its prefix, as its name.
     """
-    run = rf"(?s)^(.*?)(?<![A-Za-z0-9_+/\-])((?=[A-Za-z_+/\-]*[0-9])(?=[0-9_+/\-]*[A-Za-z]){CANDIDATE})(.*)$"
-    likely = docs.where(F.col(text_col).rlike(CANDIDATE)).withColumn("_words", words(F.col(text_col)))
-    at = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.get("_words", i).rlike(run))
+    likely = docs.where(_likely(F.col(text_col))).withColumn("_words", words(F.col(text_col)))
+    get = lambda i: F.coalesce(F.get("_words", i), F.lit(""))
+    called = lambda i: get(i - 1).rlike(r"[:=]>?$") & F.concat_ws(" ", get(i - 2), get(i - 1)).rlike(rf"{NAME} ?{JOIN}$")
+    scanned = lambda i: F.concat(F.when(called(i), CALLED).otherwise(""), get(i))
+    possible = lambda i: (F.length(get(i)) >= 16) | get(i).rlike("[:=]") | called(i)
+    at = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: possible(i) & scanned(i).rlike(SECRET))
     rows = likely.withColumn("at", F.explode(at))
-    word, get = F.get("_words", F.col("at")), lambda k: F.coalesce(F.get("_words", F.col("at") + k), F.lit(""))
-    rows = rows.withColumns({"_word": word, "before": F.trim(F.concat_ws(" ", get(-2), get(-1))), "after": get(1)}).drop("_words")
-    parts = {name: F.regexp_extract("_word", run, k) for k, name in ((1, "prefix"), (2, "candidate"), (3, "suffix"))}
-    return rows.withColumns(parts | {"path": F.col(path_col).cast("string") if path_col else F.lit("")}).drop("_word")
+    here = F.col("at")
+    rows = rows.withColumns({"_word": scanned(here), "_before": F.trim(F.concat_ws(" ", get(here - 2), get(here - 1))), "_after": get(here + 1)}).drop("_words")
+    # Gaps and candidates take turns in a word, from a gap to a gap.
+    rows = rows.withColumns({"_gaps": F.split("_word", SECRET, -1), "_found": F.regexp_extract_all("_word", F.lit(SECRET), F.lit(0))})
+
+    def found(c: Column, k: Column) -> Column:
+        gap, last = F.get("_gaps", k), F.coalesce(F.get("_found", k - 1), F.lit(""))
+        named = F.concat(F.right(last, F.lit(1)), gap).rlike(r"^.[\"')\]]{0,2}[:=]|^=[\"']?$")
+        prefix = F.when(k == 0, F.regexp_replace(gap, f"^{CALLED}", "")).when(named, F.concat(last, gap)).otherwise(gap)
+        before, after = F.when(k == 0, F.col("_before")).otherwise(""), F.when(k == F.size("_found") - 1, F.col("_after")).otherwise("")
+        return F.struct(prefix.alias("prefix"), c.alias("candidate"), F.get("_gaps", k + 1).alias("suffix"), before.alias("before"), after.alias("after"))
+
+    rows = rows.select(*docs.columns, "at", F.inline(F.transform("_found", found)))
+    return rows.withColumn("path", F.col(path_col).cast("string") if path_col else F.lit(""))
 
 
 def labelled_findings(spark: SparkSession, count: int = 12_000, seed: int = 7) -> DataFrame:
@@ -128,6 +167,27 @@ def labelled_findings(spark: SparkSession, count: int = 12_000, seed: int = 7) -
         (0, F.concat(one(70, DICTIONARY), F.lit("-"), one(71, DICTIONARY), F.lit("-"), one(72, DICTIONARY), F.lit("-"), (2000 + r(73) % 30).cast("string")), one(74, filler), one(75, ["", "id=", "version=", "href="]), ""),
         (0, F.concat(one(76, ["the", "tion", "chen", "mente"]), one(77, DICTIONARY), one(78, ["ation", "heit", "ement", "ción"]).substr(1, 4), one(79, DICTIONARY), (r(80) % 10).cast("string")), one(81, filler), F.lit(""), ""),
     ]
+    mark = lambda k: one(k, list("!@#$%*?-_."))
+    field = lambda k, names: F.concat(one(k, ['","', ',"', '{"', "?", "&"]), one(k + 1, names), one(k + 2, ['":"', "=", ":"]))
+    calling = ["password", "token", "secret", "api_key", "key", "access_key"]
+    kinds += [  # values inside a word, tokens of several parts, short and marked values
+        (1, F.concat(F.lit("eyJ"), draw(200, F.lit(17)), F.lit(".eyJ"), draw(201, size), F.lit("."), draw(202, F.lit(43))), one(203, filler + keyword + ["Authorization: Bearer"]), one(204, ["", '"', "token=", '","jwt":"']), ""),
+        (1, draw(205, F.lit(40)), one(206, filler), field(207, ["s", "k", "sk", "value"] + calling), ""),
+        (1, F.concat(F.lit("ghp_"), draw(210, F.lit(36))), one(211, filler), field(212, ["v", "access", "auth"] + calling), ""),
+        (1, draw(215, (8 + r(216) % 8).cast("int")), one(217, keyword), one(218, ["", '"', "'"]), ""),
+        (1, F.concat(draw(219, (3 + r(220) % 4).cast("int")), mark(221), draw(222, (3 + r(223) % 6).cast("int")), mark(224)), one(225, keyword), one(226, ["", '"', "'"]), ""),
+        (1, F.concat(F.initcap(one(227, DICTIONARY)), (r(228) % 9000 + 1000).cast("string"), mark(229)), one(230, filler), one(231, ["password=", 'password":"', "pwd:", "passwd=", 'secret="']), ""),
+        (1, F.concat(draw(232, (3 + r(233) % 4).cast("int")), mark(234), draw(235, (3 + r(236) % 6).cast("int"))), one(237, filler), one(238, ["postgres://app:", "mysql://root:", "https://user:", "amqp://svc:"]), ""),
+        (0, one(239, DICTIONARY), one(240, keyword), one(241, ["", '"', "'"]), ""),
+        (0, F.concat(one(242, DICTIONARY), one(243, ["_", "-", "."]), one(244, DICTIONARY)), one(245, keyword), one(246, ["", '"']), ""),
+        (0, F.concat(one(247, ["process.env.", "self.", "os.environ.", "config."]), one(248, DICTIONARY)), one(249, keyword), F.lit(""), ""),
+        (0, F.repeat(one(250, ["*", "x", "X", ".", "-", "0"]), 9), one(251, keyword), one(252, ["", '"']), ""),
+        (0, one(253, ["changeme", "required", "optional", "string", "undefined", "None,", "your_password", "placeholder"]), one(254, keyword), one(255, ["", '"']), ""),
+        (0, F.concat(one(256, DICTIONARY), F.lit("-"), (2000 + r(257) % 30).cast("string"), F.lit("-"), one(258, DICTIONARY), F.lit("-"), (r(259) % 10).cast("string")), one(260, filler), field(261, ["id", "version", "name", "sha", "slug"]), ""),
+        (0, F.concat(F.lit("com/"), one(264, DICTIONARY), F.lit("/"), (2000 + r(265) % 30).cast("string"), F.lit("/"), one(266, DICTIONARY)), one(267, filler), one(268, ["https://host.example.", "http://www.", '","url":"https://']), ""),
+        (0, F.concat(*[x for i in range(3) for x in (one(270 + 3 * i, DICTIONARY), F.initcap(one(271 + 3 * i, DICTIONARY)), F.lit("Impl" + "." * (i < 2)))], (r(280) % 10).cast("string")), one(281, filler), F.lit(""), "src/app.py"),
+        (0, hex_of(282, 40), one(283, filler), field(284, ["sha", "commit", "etag", "digest", "hash"]), ""),
+    ]
     kind = r(0) % len(kinds)
     pick = lambda i: F.coalesce(*[F.when(kind == k, (F.lit(row[i]) if not isinstance(row[i], Column) else row[i])) for k, row in enumerate(kinds)])
     rows = spark.range(count).select("id", pick(1).alias("candidate"), pick(2).alias("before"), pick(3).alias("prefix"), pick(4).alias("path"), pick(0).cast("double").alias("label"))
@@ -168,15 +228,20 @@ def scan_secrets(docs: DataFrame, model: PipelineModel, *, id_col: str = "doc_id
 def redact(docs: DataFrame, model: PipelineModel, *, text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every secret replaced by a mark; all rows are kept, clean texts untouched.
 
-    Only rows that have candidates are shuffled. They are keyed by a hash of the whole row: equal rows have equal secrets.
+    A secret goes wherever it stands in its text, one of fewer than 16 characters only where no letter, digit or
+    underscore is beside it. Only rows that can have candidates are shuffled. They are keyed by a hash of the whole row:
+    equal rows have equal secrets.
     """
     row = F.struct(*[docs[c] for c in docs.columns])
     base = docs.select(row.alias("row"), docs[text_col].cast("string").alias("text"), (docs[path_col] if path_col else F.lit("")).cast("string").alias("path"))
-    likely = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
+    likely = _likely(F.col("text"))
     suspect = base.where(likely).withColumn("key", F.xxhash64("row"))
     found = score(candidates(suspect.select("key", "text", "path"), "text", "path").drop("text"), model).where(F.col("score") >= threshold)
     secrets = found.groupBy("key").agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("secrets"))
     joined = suspect.join(secrets, "key", "left")
-    cleaned = F.when(F.col("secrets").isNull(), F.col("text")).otherwise(F.aggregate("secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark))))
+    apart = lambda s: F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![A-Za-z0-9_])"))
+    quoted_mark = mark.replace("\\", "\\\\").replace("$", "\\$")
+    without = lambda t, s: F.when(F.length(s) >= 16, F.replace(t, s, F.lit(mark))).otherwise(F.regexp_replace(t, apart(s), F.lit(quoted_mark)))
+    cleaned = F.when(F.col("secrets").isNull(), F.col("text")).otherwise(F.aggregate("secrets", F.col("text"), without))
     columns = [cleaned.cast(docs.schema[text_col].dataType).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     return joined.select(*columns).union(base.where(~likely).select("row.*"))
