@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoplane.llm.common import WORD_PATTERN, words
+from chronoplane.llm.common import WORD_PATTERN, store, words
 
-#: Sources whose quotas one task may hold; more are an error.
-MOST_SOURCES = 50_000
+#: Sources whose quotas one task holds; more are split into groups.
+GROUP_SOURCES = 50_000
+#: Blocks that one draw can tell apart (a limit of numpy's).
+DRAWN = 999_999_999
 
 
 @dataclass(frozen=True)
@@ -35,26 +37,57 @@ class Mix:
     seed: int = 20
 
 
+def _sliced(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """The rows stored with a column `slice`: ranges of the order, as many as shuffle partitions at most."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return store(rows.repartitionByRange(parts, *order).withColumn("slice", F.spark_partition_id()), name)[0]
+
+
 def targets(sources: DataFrame, mix: Mix) -> DataFrame:
     """Adds `rank` and `target` to a table with source and source_size: shares by weight, cut at `most` times the size, the excess reshared.
 
     Sources that are cut are those with the least size per weight, so one pass in that order finds the level at which the
-    others share what is left. The windows run over the list of sources, a row each.
+    others share what is left. Ranks and running sums go in two levels, over ranges of the order and inside a range; only
+    the windows over the ranges have one partition.
     """
-    by_name = Window.orderBy(F.col("source").cast("binary").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in mix.weights]), (F.row_number().over(by_name) - 1) % len(mix.weights) + 1)
-    ranked = sources.withColumn("rank", F.row_number().over(by_name)).withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(mix.most))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    before, rest = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) * mix.share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
+    by_name = [F.col("source").cast("binary").asc_nulls_last()]
+    named = _sliced(sources, by_name, "sources-by-name")
+    slices = Window.orderBy("slice")
+    earlier, later = slices.rowsBetween(Window.unboundedPreceding, -1), slices.rowsBetween(1, Window.unboundedFollowing)
+    none = F.lit(0.0)
+    starts = named.groupBy("slice").agg(F.count("*").alias("rows")).select("slice", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    rank = (F.col("start") + F.row_number().over(Window.partitionBy("slice").orderBy(*by_name))).cast("long")
+    ranked = named.join(F.broadcast(starts), "slice").withColumn("rank", rank).drop("slice", "start")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in mix.weights]), ((F.col("rank") - 1) % len(mix.weights) + 1).cast("int"))
+    ranked = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(mix.most))
+    by_ratio = [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    rated = _sliced(ranked, by_ratio, "sources-by-ratio")
+    sums = rated.groupBy("slice").agg(F.sum("cap").alias("caps"), F.sum("weight").alias("weights"))
+    sums = sums.select("slice", F.coalesce(F.sum("caps").over(earlier), none).alias("caps"), F.coalesce(F.sum("weights").over(later), none).alias("weights"))
+    inside = Window.partitionBy("slice").orderBy(*by_ratio)
+    before, rest = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(0, Window.unboundedFollowing)
+    total = rated.agg(F.sum("source_size").alias("total"))
+    level = (F.col("total") * mix.share - F.col("caps") - F.coalesce(F.sum("cap").over(before), none)) / (F.col("weights") + F.sum("weight").over(rest))
     # Levels before the first that doesn't cut its own source lie above the caps, those after it are lower.
-    levels = ranked.withColumn("level", level)
-    fits = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
-    return levels.withColumn("target", F.least("cap", F.coalesce(fits * F.col("weight"), F.col("cap")))).drop("weight", "cap", "level")
+    levels = rated.join(F.broadcast(sums), "slice").crossJoin(F.broadcast(total)).withColumn("level", level)
+    fits = levels.agg(F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).alias("fits"))
+    found = rated.crossJoin(F.broadcast(fits)).withColumn("target", F.least("cap", F.coalesce(F.col("fits") * F.col("weight"), F.col("cap"))))
+    return found.drop("weight", "cap", "fits", "slice")
+
 
+def _draw(own: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of `take` blocks, drawn without replacement, are each source's. Of more than DRAWN blocks, units of several are drawn and what a unit leaves over is filled up evenly."""
+    unit = -(-int(own.sum()) // DRAWN) or 1
+    units = own // unit
+    drawn = rng.multivariate_hypergeometric(units, min(take // unit, int(units.sum())), method="marginals") * unit
+    short = take - int(drawn.sum())
+    if not short:
+        return drawn
+    room = np.cumsum((own - drawn).astype(object))
+    return drawn + np.diff(room * short // room[-1], prepend=0).astype(np.int64)
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
+
+def split_quotas(quotas: np.ndarray, shards: int, seed: int, group: int = 0, sizes: Sequence[int] | None = None) -> np.ndarray:
     """Block quotas of each source (rows) in each shard (columns), by a tree of multivariate hypergeometric draws.
 
     A node holds the quotas of its shards together; its left half gets as many blocks as its shards' share, drawn without
@@ -69,9 +102,9 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
             continue
         mid = (lo + hi) // 2
         total = int(own.sum())
-        take = total * (mid - lo) // (hi - lo)
-        rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-        left = rng.multivariate_hypergeometric(own, take, method="marginals")
+        take = total * (mid - lo) // (hi - lo) if sizes is None else int(sum(sizes[lo:mid]))
+        rng = np.random.Generator(np.random.PCG64([seed, lo, hi, *[group] * (group > 0)]))
+        left = _draw(own, take, rng)
         work += [(lo, mid, left), (mid, hi, own - left)]
     return out
 
@@ -81,24 +114,31 @@ def plan(sources: DataFrame, mix: Mix) -> DataFrame:
 
     A source is a stream of words cut into equal blocks; block b of n ends at word size * b div n. Its quota, in blocks,
     is the one nearest to its target. `ends` are word positions in the stream, which starts anew after each pass.
+
+    Sources are grouped by rank. The quotas of whole groups are split among the shards first, a number per group; then
+    each group is a task, which splits what its group received.
     """
+    ranked = targets(sources, mix).withColumn("group", F.floor((F.col("rank") - 1) / GROUP_SOURCES).cast("int"))
+    block = F.greatest(F.lit(mix.block_words), F.ceil(F.sum("source_size") / mix.most_blocks)).cast("long")
+    size = F.col("source_size")
+    blocks = F.greatest(F.lit(1), F.least(size, F.greatest(F.ceil(size / F.col("block")), F.lit(mix.blocks)))).cast("long")
+    quota = F.when(size > 0, F.least(F.rint(F.col("target") * F.col("n") / size), F.col("n") * float(mix.most))).otherwise(0).cast("long")
+    cut = ranked.crossJoin(F.broadcast(ranked.agg(block.alias("block")))).withColumn("n", blocks).withColumn("quota", quota)
+    cut = cut.select("group", "rank", "stream", "source_size", "target", "n", "quota")
+    totals = sorted(map(tuple, cut.groupBy("group").agg(F.sum("quota")).collect()))
+    received = split_quotas(np.array([q for _, q in totals], np.int64), mix.shards, mix.seed)
+    received = {g: row.tolist() for (g, _), row in zip(totals, received, strict=True)}
 
     def split(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > MOST_SOURCES:
-            raise ValueError(f"{len(group)} sources: more than {MOST_SOURCES}")
-        group = group.sort_values("rank").drop(columns="rank")
-        size = group["source_size"].to_numpy(np.int64)
-        words = max(mix.block_words, -(-int(size.sum()) // mix.most_blocks))
-        n = np.maximum(1, np.minimum(size, np.maximum(-(-size // words), mix.blocks)))
-        quota = np.where(size > 0, np.minimum(np.rint(group["target"].to_numpy(float) * n / np.maximum(size, 1)), n * mix.most), 0).astype(np.int64)
-        last = np.cumsum(split_quotas(quota, mix.shards, mix.seed), axis=1)
+        group = group.sort_values("rank")
+        number, size, n = int(group["group"].iloc[0]), group["source_size"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
+        last = np.cumsum(split_quotas(group["quota"].to_numpy(np.int64), mix.shards, mix.seed, number, received[number]), axis=1)
         whole, part = last // n[:, None], last % n[:, None]
         ends = whole * size[:, None] + np.array([[int(p) * int(s) // int(m) for p in row] for row, s, m in zip(part, size, n, strict=True)], np.int64).reshape(last.shape)
-        group = group.drop(columns="source")
-        return group.assign(taken_words=ends[:, -1] if len(group) else [], ends=list(ends))
+        return group[["stream", "source_size", "target"]].assign(taken_words=ends[:, -1], ends=list(ends))
 
     schema = f"stream {sources.schema['stream'].dataType.simpleString()}, source_size long, target double, taken_words long, ends array<long>"
-    return targets(sources, mix).groupBy().applyInPandas(split, schema)
+    return cut.groupBy("group").applyInPandas(split, schema)
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), *, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, carry: bool = False) -> DataFrame:
@@ -125,7 +165,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), *, id_col: str = "doc_id", so
     place = F.xxhash64(F.lit(mix.seed), "doc_id", "source", "size")
     stream = F.struct(F.col("source").isNull().alias("unnamed"), F.coalesce("source", F.lit("")).alias("name"))
     rows = rows.withColumns({"place": place, "stream": stream}).withColumn("bucket", F.pmod(F.shiftrightunsigned("place", 16), F.lit(buckets)))
-    sums = rows.groupBy("stream", "bucket").agg(F.sum("size").alias("words"))
+    sums, _ = store(rows.groupBy("stream", "bucket").agg(F.sum("size").alias("words")), "stream-sums")
     source = F.when(~F.col("stream.unnamed"), F.col("stream.name"))
     planned = plan(sums.groupBy("stream").agg(F.sum("words").alias("source_size")).withColumn("source", source), mix)
     order = Window.partitionBy("stream").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

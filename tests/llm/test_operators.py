@@ -98,6 +98,35 @@ def test_split_quotas_are_exact():
     assert (got == mixing.split_quotas(quotas, 6, 1)).all()
 
 
+def test_any_number_of_sources(spark):
+    name = F.format_string("host%06d", "id")
+    sources = spark.range(60_000).select(name.alias("source"), F.struct(F.lit(False).alias("unnamed"), name.alias("name")).alias("stream"), (F.col("id") % 97).alias("source_size"))
+    mix = mixing.Mix(shards=4)
+    sizes = {r["source"]: r["source_size"] for r in sources.collect()}
+    want, got = brute.targets(sizes), mixing.plan(sources, mix).collect()
+    assert len(got) == 60_000
+    shards = np.zeros(4, np.int64)
+    for r in got:
+        assert r["target"] == pytest.approx(want[r["stream"]["name"]], rel=1e-9) and abs(r["taken_words"] - r["target"]) <= 0.5 + 1e-6
+        shards += np.diff(r["ends"], prepend=0)
+    assert np.ptp(shards) <= 2
+
+
+def test_groups_split_like_one(spark, small, monkeypatch):
+    docs, mix = table(spark, small, "documents"), mixing.Mix(shards=8)
+    quotas = lambda: {r["source"]: (r["target"], r["taken"]) for r in mixing.mix_sources(docs, mix).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    whole = quotas()
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 3)
+    assert quotas() == whole
+
+
+def test_draws_of_many_blocks(monkeypatch):
+    monkeypatch.setattr(mixing, "DRAWN", 100)
+    quotas = np.array([7, 0, 1000, 23, 1])
+    got = mixing.split_quotas(quotas, 6, 1)
+    assert (got.sum(1) == quotas).all() and np.ptp(got.sum(0)) <= 3 and (got >= 0).all()
+
+
 def test_mix_of_odd_input(spark, odd, none):
     docs, clash = odd
     got = rows_of(mixing.mix_sources(docs).select("doc_id", "source", "size", "taken"))
