@@ -12,11 +12,13 @@ from chronoplane.llm.crf import extract, labelled_pages, train_on
 from chronoplane.llm.id_files import read_ids, write_ids
 from chronoplane.llm.mixing import Mix, mix_sources
 from chronoplane.llm.packing import Limits, pack
+from chronoplane.llm.phrases import PHRASES_SQL, collocations
 from chronoplane.llm.prefix_hash import fingerprints as prefix_fingerprints
 from chronoplane.llm.quality import QUALITY_SQL, Rules, quality
 from chronoplane.llm.quotes import QUOTES_SQL, as_mail, conversations
 from chronoplane.llm.secrets import labelled_findings, scan_secrets, train
 from chronoplane.llm.simhash import near_duplicates
+from chronoplane.llm.spelling import spelling_variants
 from chronoplane.llm.substrings import remove_repeats
 from chronoplane.session import work_path
 
@@ -96,3 +98,15 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages of the conversations, turned to mail that quotes, back in reply order and without quotes."""
     return conversations(as_mail(table(spark, sf_dir, "conversations")))
+
+
+@query("op12_spelling")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of all words of all documents; a row per word."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_phrases", PHRASES_SQL)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language over all documents."""
+    return collocations(table(spark, sf_dir, "documents"))
