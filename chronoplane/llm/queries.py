@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronoplane.llm.common import table, vocabulary
 from chronoplane.llm.crf import extract, labelled_pages, train_on
 from chronoplane.llm.id_files import read_ids, write_ids
+from chronoplane.llm.langid import language_id
 from chronoplane.llm.mixing import Mix, mix_sources
 from chronoplane.llm.packing import Limits, pack
 from chronoplane.llm.phrases import PHRASES_SQL, collocations
@@ -110,3 +111,9 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 phrases of each language over all documents."""
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op11_langid")
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, by a model learned from those that are not held out."""
+    return language_id(table(spark, sf_dir, "documents"))
