@@ -26,7 +26,7 @@ def test_sql(spark, small, name):
 
 def test_all_are_registered():
     found = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in found if n.startswith("op") and n[2].isdigit()} == set(range(1, 11)) and "pipeline" in found
+    assert {int(n[2:].split("_")[0]) for n in found if n.startswith("op") and n[2].isdigit()} == set(range(1, 14)) and "pipeline" in found
 
 
 COLUMNS = {
