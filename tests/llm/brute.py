@@ -76,3 +76,28 @@ def edited(rows):
         half = len(t or "") // 2
         out[d] = (t or "", (t or "")[: len(t or "") - half] + (n[1] or "")[:half], n[0])
     return out
+
+
+def similar(texts, size=5, percent=80):
+    """texts: {id: text}. {id: smallest reachable id}, over all pairs of sets of shingles."""
+
+    def shingles(t):
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()
+        return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+    sets = {d: shingles(t) for d, t in texts.items()}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    order = sorted(sets)
+    for i, a in enumerate(order):
+        for b in order[:i]:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                ra, rb = find(a), find(b)
+                root[max(ra, rb)] = min(ra, rb)
+    return {d: find(d) for d in order}
