@@ -6,7 +6,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplane.llm.common import store, vocabulary
@@ -14,7 +14,7 @@ from chronoplane.llm.mixing import Mix, mixed_texts, shuffled
 from chronoplane.llm.packing import Limits, pack
 from chronoplane.llm.quality import Rules, quality
 from chronoplane.llm.secrets import labelled_findings, redact, train
-from chronoplane.llm.simhash import near_duplicates
+from chronoplane.llm.similar import Similar, firsts
 
 #: Ids of rows that have none start here.
 UNNAMED = 1 << 62
@@ -32,14 +32,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id, and of equal rows one.
 
-    Rows without an id come after all others in their group; different texts under one id count as different documents.
+    Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked. Rows without an id come
+    after all others in their group; different texts under one id count as different documents. Null and empty texts are
+    copies of each other. Rows with one id and text, which may differ in other columns, are one document: the row with the
+    smallest hash stays.
     """
     number = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(UNNAMED)))
     keyed = docs.select(F.struct(number.alias("number"), F.xxhash64("text").alias("text_hash")).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    found = near_duplicates(keyed.select("key", F.col("row.text").alias("text")), id_col="key", size=4, seed=42, distance=4)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
-    first = F.row_number().over(Window.partitionBy("key").orderBy("row"))
-    return keyed.join(kept, "key", "left_semi").withColumn("place", first).where("place = 1").select("row.*")
+    kept = firsts(keyed.select("key", F.col("row.text").alias("text")), Similar(size=5, percent=80))
+    # Maps can't be hashed or ordered, their text can.
+    parts = [F.to_json(F.struct(F.col("row")[f.name])) if "map<" in f.dataType.simpleString() else F.col("row")[f.name] for f in docs.schema]
+    rows = keyed.join(kept, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64(*parts)).alias("row"))
+    return rows.select("row.*")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
