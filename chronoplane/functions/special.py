@@ -131,15 +131,24 @@ def gamma_cdf_array(a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def normal_quantile_array(p: np.ndarray) -> np.ndarray:
-    """Inverse normal distribution by bisection-safe Newton steps on the gamma form of erf."""
+    """Inverse normal distribution: Newton steps on the logarithm of the smaller tail, from beyond the root.
+
+    The logarithm is concave, so the steps come down to the root without passing it, however small the tail is.
+    """
     p = np.asarray(p, float)
-    z = np.zeros_like(p)
-    for _ in range(60):
-        half = 0.5 * gamma_cdf_array(np.full(z.shape, 0.5), z * z / 2)
-        cdf = np.where(z >= 0, 0.5 + half, 0.5 - half)
-        pdf = np.exp(-z * z / 2) / np.sqrt(2 * np.pi)
-        z = z - np.clip((cdf - p) / np.maximum(pdf, 1e-12), -1.0, 1.0)
-    return z
+    tail, side = np.minimum(p, 1 - p), np.where(p < 0.5, -1.0, 1.0)
+    ok = tail > 0
+    q = np.where(ok, tail, 0.5)
+    t = np.sqrt(np.maximum(-2 * np.log(2 * q), 0.0))
+    for _ in range(MOST_STEPS):
+        upper = np.maximum(0.5 * _erfc(t / np.sqrt(2)), 5e-324)
+        step = (np.log(upper) - np.log(q)) * upper * np.sqrt(2 * np.pi) * np.exp(t * t / 2)
+        t = np.maximum(t + step, 0.0)
+        if np.all(np.abs(step) <= 1e-14 * (1 + t)):
+            break
+    else:
+        raise ArithmeticError("the normal quantile did not converge")
+    return np.where(ok, side * t, np.where(p == 0, -np.inf, np.where(p == 1, np.inf, np.nan)))
 
 
 def gamma_quantile_array(a: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -157,7 +166,7 @@ def gamma_quantile_array(a: np.ndarray, p: np.ndarray) -> np.ndarray:
     live = np.flatnonzero(ok.ravel())
     x, low, high = x.ravel(), low.ravel(), high.ravel()
     flat_a, flat_p = safe_a.ravel(), safe_p.ravel()
-    for _ in range(100):
+    for _ in range(MOST_STEPS):
         if not live.size:
             break
         y, s = x[live], flat_a[live]
@@ -171,7 +180,9 @@ def gamma_quantile_array(a: np.ndarray, p: np.ndarray) -> np.ndarray:
         middle = np.where(np.isinf(hi), y * 2, (lo + hi) / 2)
         new = np.where((new >= lo) & (new <= hi) & (new > 0) & np.isfinite(new), new, middle)
         x[live] = new
-        live = live[np.abs(new - y) > 1e-12 * np.maximum(y, 1e-300)]
+        live = live[(np.abs(new - y) > 1e-12 * np.maximum(y, 1e-300)) & (np.isinf(hi) | (hi - lo > 1e-15 * hi))]
+    if live.size:
+        raise ArithmeticError("the Gamma quantile did not converge")
     x = x.reshape(safe_a.shape)
     return np.where(ok, x, np.where((a > 0) & (p == 0), 0.0, np.nan))
 
@@ -223,10 +234,14 @@ def t_quantile_array(p: np.ndarray, dof: np.ndarray) -> np.ndarray:
     low, high = np.zeros(q.shape), np.ones(q.shape)
     while (grow := ok & (above(high) > tail) & (high < 1e150)).any():
         high = np.where(grow, high * 2, high)
-    for _ in range(200):
+    for _ in range(MOST_STEPS):
         mid = (low + high) / 2
+        if np.all(~ok | (high - low <= 1e-15 * high) | (mid <= low) | (mid >= high)):
+            break
         more = above(mid) > tail
         low, high = np.where(more, mid, low), np.where(more, high, mid)
+    else:
+        raise ArithmeticError("the t quantile did not converge")
     edge = np.where(tail == 0, side * np.inf, np.nan)
     return np.where(ok, side * (low + high) / 2, np.where(v > 0, edge, np.nan))
 

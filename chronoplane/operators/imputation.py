@@ -11,19 +11,19 @@ from chronoplane.operators.quantiles import medians
 from chronoplane.operators.timeline import join_same
 
 
-def group_baselines(train: DataFrame, category: str, values, hot_rows: int | None = 1_000_000) -> DataFrame:
-    """Per category: `<value>_mean`, `_std`, `_median`, `_count`. One row per category."""
-    values = as_tuple(values)
+def group_baselines(train: DataFrame, category, values, hot_rows: int | None = 1_000_000) -> DataFrame:
+    """Per category (one column or several): `<value>_mean`, `_std`, `_median`, `_count`. One row per category."""
+    values, by = as_tuple(values), as_tuple(category)
     aggs = []
     for v in values:
         aggs += [F.avg(v).alias(f"{v}_mean"), F.stddev_samp(v).alias(f"{v}_std"), F.count(v).alias(f"{v}_count")]
-    moments = train.groupBy(category).agg(*aggs)
+    moments = train.groupBy(*by).agg(*aggs)
     med = (
-        medians(train, values, category, hot_rows)
-        .groupBy(category)
+        medians(train, values, by, hot_rows)
+        .groupBy(*by)
         .agg(*[F.max(F.when(F.col("column") == v, F.col("median"))).alias(f"{v}_median") for v in values])
     )
-    return join_same(moments, med, [category], "left")
+    return join_same(moments, med, by, "left")
 
 
 def fill_values(train: DataFrame, values, strategy: str = "median", hot_rows: int | None = 1_000_000) -> DataFrame:

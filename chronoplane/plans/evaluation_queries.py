@@ -113,7 +113,22 @@ def gamma_tail(t):
     return PR.prob_over(scored(t).filter(F.col("alpha").isNotNull()), "line").select("o_orderkey", "prob_over")
 
 
-@query("gamma_quantile")
+def _quantiles_sql(levels) -> str:
+    """Quantiles of the Gamma distributions by bisection: a column per level, keyed by order."""
+    rows = ", ".join(f"{p!r}e0" for p in levels.values())
+    picks = ", ".join(f"max(CASE WHEN p = {p!r}e0 THEN (lo + hi) / 2 / beta END) AS {name}" for name, p in levels.items())
+    return f"""gb AS (
+  SELECT o_orderkey, alpha, beta, p, 0e0 AS lo, alpha + 12 * sqrt(alpha) + 40 AS hi, 0 AS i FROM s, (SELECT unnest([{rows}]) AS p) WHERE alpha IS NOT NULL
+  UNION ALL
+  SELECT o_orderkey, alpha, beta, p, CASE WHEN f < p THEN m ELSE lo END, CASE WHEN f < p THEN hi ELSE m END, i + 1
+  FROM (SELECT *, (lo + hi) / 2 AS m, {gamma_cdf_sql('alpha', '((lo + hi) / 2)')} AS f FROM gb WHERE i < 50)),
+gq AS (SELECT o_orderkey, {picks} FROM gb WHERE i = 50 GROUP BY 1)"""
+
+
+_GQ = {"lower": 0.025, "upper": 0.975, "q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
+
+
+@query("gamma_quantile", f"WITH RECURSIVE {S_SQL}, {_quantiles_sql(_GQ)} SELECT o_orderkey, {', '.join(r(c, c) for c in _GQ)} FROM gq")
 def gamma_quantile(t):
     held = scored(t).filter(F.col("alpha").isNotNull())
     out = PR.quantiles(PR.interval(held), {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95})
@@ -185,7 +200,10 @@ def coverage_curve(t):
     return PR.coverage(scored(t), "actual", tuple(round(0.5 + 0.05 * i, 2) for i in range(10)))
 
 
-@query("sharpness")
+_WIDTHS = {f"{side}{i}": (1 - level) / 2 if side == "l" else 1 - (1 - level) / 2 for i, level in enumerate(PR.LEVELS) for side in "lu"}
+
+
+@query("sharpness", f"WITH RECURSIVE {S_SQL}, {_quantiles_sql(_WIDTHS)} " + " UNION ALL ".join(f"SELECT {r(level, 'level')}, {r(f'avg(u{i} - l{i})', 'mean_width')} FROM gq" for i, level in enumerate(PR.LEVELS)))
 def sharpness(t):
     return PR.sharpness(scored(t))
 

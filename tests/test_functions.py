@@ -82,3 +82,14 @@ def test_tails():
     assert S.beta_cdf_array([k], [n - k + 1], [q])[0] == pytest.approx(exact, rel=1e-10)
     # One degree of freedom is the Cauchy distribution.
     assert S.beta_cdf_array([0.5], [0.5], [1 / (1 + 4.0)])[0] == pytest.approx(1 - 2 * math.atan(2) / math.pi, rel=1e-9)
+
+
+def test_normal_quantile_in_the_tails():
+    from chronoplane.functions.special import gamma_cdf_array, gamma_quantile_array, normal_quantile_array, t_quantile_array
+
+    got = normal_quantile_array(np.array([1e-20, 1e-300, 0.025, 0.5, 1 - 1e-10, 0.0, 1.0]))
+    assert np.allclose(got, [-9.262340089798408, -37.047096499407115, -1.9599639845400545, 0.0, 6.361340902404056, -np.inf, np.inf], rtol=1e-7)
+    shapes, levels = np.meshgrid([0.1, 0.5, 1.0, 3.7, 50.0, 1e4], [1e-6, 0.01, 0.5, 0.99, 1 - 1e-9])
+    x = gamma_quantile_array(shapes, levels)
+    assert np.allclose(gamma_cdf_array(shapes.ravel(), x.ravel()), levels.ravel(), atol=1e-11)
+    assert np.allclose(t_quantile_array(np.array([0.975, 0.025, 0.9]), np.array([5.0, 5.0, 1.0])), [2.5705818366147395, -2.5705818366147395, 3.077683537175253])
