@@ -6,7 +6,7 @@ steps on a `Timeline`, and `on_timeline` runs the steps twice:
 
 * histories of at most `hot_rows` rows: one exchange on the entity, ordinary windows;
 * longer histories: rows are numbered exactly (row counts per time slice, a prefix sum over the few slices,
-  a row number inside each slice) and cut into blocks of `hot_rows` rows. Bounded frames get the last rows
+  a row number inside each slice; a table that is one history as a whole by ranges of its order) and cut into blocks of `hot_rows` rows. Bounded frames get the last rows
   of the block before as read-only copies; running aggregates add what all blocks before sum up to.
 
 Both give the same values. The list of long histories has at most (rows / hot_rows) entries: one million keys
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoplane.keys import Keys, day_number, require_columns
+from chronoplane.operators.ranges import numbered
 
 INDEX, BLOCK, TO, SLICE, OFFSET, TOTAL = "__k", "__blk", "__to", "__slice", "__off", "__total"
 MIN_SLICE = -(2**62)
@@ -92,11 +93,14 @@ def slice_number(df: DataFrame, keys: Keys) -> Column:
 def number_rows(df: DataFrame, keys: Keys, index: str = INDEX, total: str | None = None) -> DataFrame:
     """Exact 0-based position of every row in its history, with no task holding a history.
 
-    Groups are (entity, time slice); only their row counts are put in order per entity.
+    Without an entity the whole table is numbered by ranges of its order. Else groups are (entity, time slice); only their
+    row counts are put in order per entity.
     """
+    if not keys.entity:
+        return numbered(df, keys.order, index, total)
     rows = df.withColumn(SLICE, slice_number(df, keys))
     part = [*keys.entity, SLICE]
-    per_entity = Window.partitionBy(*keys.entity) if keys.entity else Window.partitionBy(F.lit(0))
+    per_entity = Window.partitionBy(*keys.entity)
     counts = (
         rows.groupBy(*part)
         .agg(F.count(F.lit(1)).alias("__cnt"))
