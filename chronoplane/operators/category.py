@@ -1,11 +1,12 @@
 """Values seen against what their category (position, segment) has shown so far.
 
-A category is one of a few, so its history is always long: everything here is a running aggregate of
-`on_timeline`, which cuts long histories into blocks.
+A category is one of a few, so its history is always long: moments run over ranges of the whole order, counts over
+the blocks that `on_timeline` cuts long histories into.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -13,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplane.keys import Keys, as_tuple
-from chronoplane.session import stored
+from chronoplane.operators.ranges import RANGE, in_ranges, with_ranges
 from chronoplane.operators.timeline import Running, Timeline, join_same, on_timeline
+from chronoplane.session import stored
 
 # Score weights and thresholds of the category rule, thresholds of the elite flag.
 CENTER_SCORE, FORWARD_SCORE, GUARD_SCORE = 3.0, 1.0, 2.0
@@ -30,34 +32,71 @@ ELITE = {
 def running_moments(df: DataFrame, keys: Keys, values) -> DataFrame:
     """Count, mean and sample deviation of all earlier rows: `<value>_prior_n/_mean/_std`.
 
-    Sums are taken around the mean of the whole history, which changes no result and keeps the squares small
-    where the mean is far above the deviation.
+    The whole table is cut into ranges of (entity, order), so a category of any size spans as many tasks as its share of
+    the rows. Inside a range the moments run over its own rows; those of the ranges before are merged from one row per
+    entity and range. Squares are always taken around a mean of the same entity, which keeps them small where the mean
+    is far above the deviation. Rows equal in the whole order come in any order; a NULL entity is one of its own.
     """
-    values = as_tuple(values)
-    finite = lambda v: F.when(F.abs(F.col(v).cast("double")) < F.lit(float("inf")), F.col(v).cast("double"))
-    centers = [F.coalesce(F.avg(finite(v)), F.lit(0.0)).alias(f"__m_{v}") for v in values]
-    if keys.entity:
-        df = join_same(df, df.groupBy(*keys.entity).agg(*centers), keys.entity)
-    else:
-        one = df.agg(F.struct(*centers)).scalar()
-        df = df.withColumns({f"__m_{v}": one.getField(f"__m_{v}") for v in values})
-    parts = {}
-    for v in values:
-        x = F.col(v).cast("double") - F.col(f"__m_{v}")
-        parts[f"__n_{v}"] = Running("count", x)
-        parts[f"__s_{v}"] = Running("sum", x)
-        parts[f"__q_{v}"] = Running("sum", x * x)
-    out = on_timeline(df, keys, lambda t: t.running(parts))
+    values, by = as_tuple(values), list(keys.entity)
+    number = {v: F.col(v).cast("double") for v in values}
+    rows = in_ranges(df, [*[F.col(c) for c in by], *keys.order])
+    per = _moments_before(rows, by, number)
+    inside = Window.partitionBy(*by, RANGE).orderBy(*keys.order).rowsBetween(Window.unboundedPreceding, -1)
+    own = {}
+    for v, x in number.items():
+        own |= {f"__{m}_{v}": c for m, c in _moments(x, lambda c: c.over(inside)).items()}
+    out = with_ranges(rows.withColumns(own), per, by)
     cols = {}
     for v in values:
-        n, s, q = F.col(f"__n_{v}"), F.col(f"__s_{v}"), F.col(f"__q_{v}")
-        spread = q - s * s / n
-        # A spread below rounding error of the squares is an exact zero.
-        clean = F.when(spread > q * 1e-13, spread).otherwise(F.lit(0.0))
+        # `m` of this range, `b` of the ranges before.
+        m, b = ({k: F.col(f"__{side}{k}_{v}") for k in MOMENTS} for side in ("", "b"))
+        n1, n2 = (F.coalesce(s["n"], F.lit(0)) for s in (b, m))
+        s1, s2, q1, q2 = (F.coalesce(s[k], F.lit(0.0)) for k in ("s", "q") for s in (b, m))
+        n, low, high = n1 + n2, F.least(b["low"], m["low"]), F.greatest(b["high"], m["high"])
+        apart = s2 / n2 - s1 / n1
+        between = F.when((n1 > 0) & (n2 > 0), apart * apart * n1 * n2 / n).otherwise(F.lit(0.0))
+        # Means of equal values differ by rounding, their deviation is an exact zero.
+        level = (low == high) & (F.abs(low) < F.lit(float("inf")))
         cols[f"{v}_prior_n"] = n
-        cols[f"{v}_prior_mean"] = F.when(n > 0, s / n + F.col(f"__m_{v}"))
-        cols[f"{v}_prior_std"] = F.when(n > 1, F.sqrt(clean / (n - 1)))
-    return out.withColumns(cols).drop(*parts, *[f"__m_{v}" for v in values])
+        cols[f"{v}_prior_mean"] = F.when(n > 0, (s1 + s2) / n)
+        cols[f"{v}_prior_std"] = F.when(n > 1, F.when(level, F.lit(0.0)).otherwise(F.sqrt((q1 + q2 + between) / (n - 1))))
+    helpers = [f"__{side}{k}_{v}" for v in values for side in ("", "b") for k in MOMENTS]
+    return out.withColumns(cols).drop(*helpers, RANGE)
+
+
+MOMENTS = ("n", "s", "q", "low", "high")
+
+
+def _moments(x: Column, over: Callable[[Column], Column] = lambda c: c) -> dict[str, Column]:
+    """Aggregates of MOMENTS: count, sum, sum of squares around the mean, smallest and largest value."""
+    n, s, var, low, high = map(over, (F.count(x), F.sum(x), F.var_pop(x), F.min(x), F.max(x)))
+    return dict(zip(MOMENTS, (n, s, var * n, low, high)))
+
+
+def _moments_before(rows: DataFrame, by: list[str], number: dict[str, Column]) -> DataFrame:
+    """`by`, RANGE and `__b<moment>_<value>`: the moments of all ranges before a range, within each entity.
+
+    The squares between the means of ranges are taken around the mean of the entity's first range.
+    """
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    earlier = whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(*by, RANGE).agg(*[c.alias(f"__{m}_{v}") for v, x in number.items() for m, c in _moments(x).items()])
+    for v in number:
+        mean = F.col(f"__s_{v}") / F.nullif(F.col(f"__n_{v}"), F.lit(0))
+        per = per.withColumn(f"__c_{v}", F.coalesce(F.first(mean, True).over(earlier), mean))
+    for v in number:
+        n, s, q, low, high = (F.col(f"__{m}_{v}") for m in MOMENTS)
+        off = F.when(n > 0, s / n - F.col(f"__c_{v}"))
+        total, shift, wide = (F.sum(c).over(earlier) for c in (n, n * off, n * off * off))
+        between = wide - shift * shift / total
+        per = per.withColumns({
+            f"__bn_{v}": total,
+            f"__bs_{v}": F.sum(s).over(earlier),
+            f"__bq_{v}": F.sum(q).over(earlier) + F.when(between > wide * 1e-13, between).otherwise(F.lit(0.0)),
+            f"__blow_{v}": F.min(low).over(earlier),
+            f"__bhigh_{v}": F.max(high).over(earlier),
+        })
+    return per.select(*by, RANGE, *[f"__b{m}_{v}" for v in number for m in MOMENTS])
 
 
 def group_z(df: DataFrame, keys: Keys, category: str, values) -> DataFrame:

@@ -151,3 +151,35 @@ def test_late_rows_are_kept_once(spark):
         q.processAllAvailable()
         q.stop()
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def moments_of(spark, rows, groups="g"):
+    df = spark.createDataFrame(rows, "g string, at int, event int, v double").repartition(3)
+    return {r["event"]: r for r in category.running_moments(df, Keys(groups, "at", "event"), "v").collect()}
+
+
+@pytest.mark.parametrize("groups", ["g", None])
+def test_running_moments_against_brute_force(spark, groups):
+    rng = np.random.default_rng(5)
+    rows = [(["hot", "hot", "hot", "b", None][i % 5], int(rng.integers(0, 9)), i, None if i % 7 == 0 else 1e7 + float(rng.normal())) for i in range(600)]
+    got = moments_of(spark, rows, groups)
+    assert len(got) == 600
+    for g, at, event, _ in rows:
+        seen = [v for h, t, e, v in rows if (groups is None or h == g) and (t, e) < (at, event) and v is not None]
+        r = got[event]
+        assert r["v_prior_n"] == len(seen)
+        assert r["v_prior_mean"] == (pytest.approx(np.mean(seen), rel=1e-12) if seen else None)
+        assert r["v_prior_std"] == (pytest.approx(np.std(seen, ddof=1), rel=1e-6) if len(seen) > 1 else None)
+
+
+def test_running_moments_of_equal_and_endless_values(spark):
+    got = moments_of(spark, [("level", i, i, 0.1) for i in range(200)] + [("end", i, 1000 + i, float("inf") if i == 50 else float(i)) for i in range(100)])
+    assert {got[i]["v_prior_std"] for i in range(2, 200)} == {0.0}
+    assert got[1050]["v_prior_mean"] == pytest.approx(24.5) and got[1099]["v_prior_mean"] == float("inf") and np.isnan(got[1099]["v_prior_std"])
+    assert moments_of(spark, []) == {}
+
+
+def test_moments_need_few_exchanges(spark):
+    df = spark.range(500).selectExpr("'one' AS g", "id AS at", "id AS event", "cast(id AS double) AS v", "id % 9 AS who")
+    plan = category.group_z(df, Keys("who", "at", "event"), "g", "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") < 20
