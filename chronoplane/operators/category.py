@@ -7,16 +7,15 @@ the blocks that `on_timeline` cuts long histories into.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplane.keys import Keys, as_tuple
 from chronoplane.operators.ranges import RANGE, in_ranges, with_ranges
-from chronoplane.operators.timeline import Running, Timeline, join_same, on_timeline
-from chronoplane.session import stored
+from chronoplane.operators.timeline import join_same, on_timeline
 
 # Score weights and thresholds of the category rule, thresholds of the elite flag.
 CENTER_SCORE, FORWARD_SCORE, GUARD_SCORE = 3.0, 1.0, 2.0
@@ -120,42 +119,88 @@ def expanding_percentile(df: DataFrame, keys: Keys, category: str, value: str,
                          name: str = "percentile", empty: float = 50.0) -> DataFrame:
     """Share (0 to 100) of the category's earlier values strictly below the row's value.
 
-    The value's rank among the distinct values is read digit by digit (base 16): the earlier rows whose rank
-    agrees above a digit and is smaller in it are exactly one part of the smaller ones. So a row adds one
-    entry per digit (n log d entries, no pairs), and the counts are running counts over (category, digit
-    place, upper digits). A category with NULL as its name has no percentile: its rows get `empty`.
-
-    Keys, category and value are read several times, so they are computed once and kept in the shared folder.
+    Rows are cut into ranges twice, by time and by value; of equal values the latest comes first, so a row that is
+    before another in both orders is earlier and truly smaller. Those of the same time range are counted inside it,
+    those of the same value range and an earlier time range inside that, all others by a table of how many rows a time
+    and a value range share: a range each, and that table of ranges by ranges, is all that a task holds. A category with NULL
+    as its name has no percentile: its rows get `empty`, as do rows without a value or without earlier ones.
     """
-    by_category = keys.with_(entity=(category,), event=(*keys.entity, *keys.event))
-    slim = stored(df.filter(F.col(value).isNotNull()).select(*keys.grain, category, value))
-    distinct = slim.select(category, value).distinct()
-    rank_keys = Keys((category,), value, (), hot_rows=keys.hot_rows)
-    ranked = on_timeline(distinct, rank_keys, lambda t: t.position("__rank", "__ranks"))
-    places = F.length(F.hex(F.col("__ranks") - 1))
-    long = (
-        slim.join(ranked, [category, value])
-        .withColumn("__top", places - 1)
-        .withColumn("__place", F.explode(F.sequence(F.lit(0), F.col("__top"))))
-        .withColumn("__path", F.expr("shiftright(__rank, 4 * __place + 4)"))
-        .withColumn("__digit", F.expr("shiftright(__rank, 4 * __place) & 15"))
-        .drop("__rank", "__ranks", value)
-    )
-    path_keys = by_category.with_(entity=(category, "__place", "__path"))
-    seen = {f"__d{i}": Running("count", F.when(F.col("__digit") == i, F.lit(1))) for i in range(16)}
-    counted = on_timeline(long, path_keys, lambda t: t.running(seen))
-    smaller = reduce(add, [F.when(F.col("__digit") > i, F.col(f"__d{i}")).otherwise(F.lit(0)) for i in range(15)])
-    # Above the top digit all ranks agree, so its counts add up to all earlier values.
-    all_earlier = reduce(add, [F.col(f"__d{i}") for i in range(16)])
-    below = counted.groupBy(*keys.grain).agg(
-        F.sum(smaller).alias("__below"),
-        F.max(F.when(F.col("__place") == F.col("__top"), all_earlier)).alias("__seen"),
+    grain = [c for c in keys.grain if c != category]
+    order = [F.col(keys.time), *[F.col(c) for c in (*keys.entity, *keys.event)]]
+    slim = df.filter(F.col(value).isNotNull() & F.col(category).isNotNull())
+    slim = slim.select(F.col(category).alias("__cat"), F.col(value).alias("__value"), *grain)
+    by_time = in_ranges(slim, [F.col("__cat"), *order]).withColumnRenamed(RANGE, "__t")
+    place = F.row_number().over(Window.partitionBy("__cat", "__t").orderBy(*order))
+    upward = [F.col("__value"), *[c.desc() for c in order]]
+    by_value = in_ranges(by_time.withColumn("__k", place), [F.col("__cat"), *upward]).withColumnRenamed(RANGE, "__v")
+    height = F.row_number().over(Window.partitionBy("__cat", "__v").orderBy(*upward))
+    rows = by_value.withColumn("__m", height).drop("__value").withColumn("__below", F.lit(0).cast("long"))
+
+    def with_below(block, counts):
+        below = pa.array(block["__below"].to_numpy() + counts, pa.int64())
+        return block.set_column(block.schema.get_field_index("__below"), "__below", below)
+
+    def inside_time(block):
+        k, v, m = (block[c].to_numpy() for c in ("__k", "__v", "__m"))
+        return with_below(block, earlier_and_smaller(k, (v, m)))
+
+    def inside_value(block):
+        # Rows of one time range are counted there: the highest comes first, so none is before another in both orders.
+        t, m = (block[c].to_numpy() for c in ("__t", "__m"))
+        at = np.empty(len(t), np.int64)
+        at[np.lexsort((-m, t))] = np.arange(len(t))
+        return with_below(block, earlier_and_smaller(at, (m,)))
+
+    def of_ranges(cells):
+        t, ts = np.unique(cells["__t"].to_numpy(), return_inverse=True)
+        v, vs = np.unique(cells["__v"].to_numpy(), return_inverse=True)
+        table = np.zeros((len(t) + 1, len(v) + 1), np.int64)
+        np.add.at(table, (ts + 1, vs + 1), cells["__n"].to_numpy())
+        table = table.cumsum(0).cumsum(1)
+        return cells.append_column("__both", pa.array(table[ts, vs])).append_column("__before", pa.array(table[ts, -1]))
+
+    cells = rows.groupBy("__cat", "__t", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    cells = cells.groupBy("__cat").applyInArrow(of_ranges, f"{_ddl(cells)}, __both long, __before long")
+    cells = cells.drop("__n")
+    counted = rows.groupBy("__cat", "__t").applyInArrow(inside_time, _ddl(rows)).groupBy("__cat", "__v").applyInArrow(inside_value, _ddl(rows))
+    below = counted.join(cells, ["__cat", "__t", "__v"]).withColumn(category, F.col("__cat")).select(
+        *keys.grain,
+        (F.col("__below") + F.col("__both")).alias("__below"),
+        (F.col("__before") + F.col("__k") - 1).alias("__seen"),
     )
     out = join_same(df, below, keys.grain, "left")
     share = F.col("__below") / F.nullif(F.col("__seen"), F.lit(0)) * 100
     return out.withColumn(name, F.coalesce(share, F.lit(empty))).drop("__below", "__seen")
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def earlier_and_smaller(at: np.ndarray, by: tuple[np.ndarray, ...]) -> np.ndarray:
+    """For each entry the number of entries earlier in `at` and smaller by the columns `by`, neither with ties.
+
+    The rank by `by` is read bit by bit: earlier entries that agree above a bit, and lack it where the entry has it, are
+    one part of the smaller ones. A stable sort by the upper bits and a running count give them: n log n, no pairs.
+    """
+    n = len(at)
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort(by[::-1])] = np.arange(n)
+    time = np.argsort(at, kind="stable")
+    rank, found = rank[time], np.zeros(n, np.int64)
+    for bit in range(max(0, n - 1).bit_length()):
+        upper = rank >> (bit + 1)
+        order = np.argsort(upper, kind="stable")
+        has, group = (rank[order] >> bit) & 1, upper[order]
+        lacking = np.cumsum(1 - has)
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        start = np.repeat(lacking[first] - (1 - has[first]), np.diff(np.append(first, n)))
+        found[order] += np.where(has == 1, lacking - start, 0)
+    out = np.empty(n, np.int64)
+    out[time] = found
+    return out
+
+
 def category_of(big: Column, guard: Column) -> Column:
     return (
         F.when(big > CENTER_SCORE, "Center")

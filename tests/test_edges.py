@@ -183,3 +183,27 @@ def test_moments_need_few_exchanges(spark):
     df = spark.range(500).selectExpr("'one' AS g", "id AS at", "id AS event", "cast(id AS double) AS v", "id % 9 AS who")
     plan = category.group_z(df, Keys("who", "at", "event"), "g", "v")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") < 20
+
+
+def test_earlier_and_smaller_against_all_pairs():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 64, 65, 200):
+        at, by = rng.permutation(n), rng.permutation(n)
+        want = [sum(1 for j in range(n) if at[j] < at[i] and by[j] < by[i]) for i in range(n)]
+        assert category.earlier_and_smaller(at, (by // 7, by)).tolist() == want
+
+
+def test_expanding_percentile_of_one_frequent_value_and_large_ids(spark):
+    rows = [(2**62 + i if i % 3 else None, i % 11, i, [0.0, -0.0, 5.0, float("nan"), None][i % 5], "c" if i % 13 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "who long, at int, event int, v double, cat string").repartition(4)
+    got = {r["event"]: r["percentile"] for r in category.expanding_percentile(df, EVENTS, "cat", "v").collect()}
+    place = lambda r: (r[1], r[0] is not None, r[0] or 0, r[2])
+    high = lambda v: (v != v, v if v == v else 0.0)
+    assert len(got) == 400
+    for r in rows:
+        past = [p[3] for p in rows if p[4] is not None and p[3] is not None and place(p) < place(r)]
+        if r[3] is None or r[4] is None or not past:
+            assert got[r[2]] == 50.0
+        else:
+            assert got[r[2]] == pytest.approx(100 * sum(high(p) < high(r[3]) for p in past) / len(past))
+    assert category.expanding_percentile(df.limit(0), EVENTS, "cat", "v").count() == 0
