@@ -57,12 +57,16 @@ def ledger_settle(ledger: DataFrame, results: DataFrame, key=("player_name", "be
     """
     key = list(as_tuple(key))
     side = results.select(*key, F.col(actual).alias("__a"))
-    out = ledger.join(side, key, "left")
+    return settled_columns(ledger.join(side, key, "left"))
+
+
+def settled_columns(joined: DataFrame) -> DataFrame:
+    """Status and result of bets that carry the result of their key, or NULL, as `__a`."""
     won = F.when(F.col("direction") == "OVER", F.col("__a") > F.col("betting_line")).otherwise(
         F.col("__a") <= F.col("betting_line")
     )
     status = F.when(F.col("__a").isNull(), F.col("status")).when(won, "won").otherwise("lost")
-    return out.withColumns({"status": status, "actual": F.coalesce("__a", "actual")}).drop("__a")
+    return joined.withColumns({"status": status, "actual": F.coalesce("__a", "actual")}).drop("__a")
 
 
 def ledger_summary(ledger: DataFrame, payout: float = LEDGER_PAYOUT) -> DataFrame:

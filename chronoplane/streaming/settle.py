@@ -7,59 +7,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chronoplane.keys import as_tuple
-from chronoplane.operators.ledger import ledger_settle
+from chronoplane.operators.ledger import settled_columns
+from chronoplane.streaming.ingest import event_stream, write_batches
+
+#: Which result a settled row comes from: its order among the results of a key.
+RESULT = "__result"
 
 
 def stream_ledger(results: DataFrame, ledger_path: str, settled_path: str, checkpoint: str,
-                  key=("player_name", "bet_date"), date: str = "bet_date", newest: str | None = None,
+                  key=("player_name", "bet_date"), newest: str | None = None,
                   once: bool = True) -> StreamingQuery:
-    """Settle pending bets as results arrive; every batch writes its settled bets to its own folder.
-
-    Of several results for a key in a batch the one with the largest `newest` counts (without it, the largest
-    result). Results are kept beside the settled bets, so that `settle_late` finds those that came before
-    their bets. A batch that runs again after a failure overwrites its own folders. The ledger is read only
-    inside the batch's dates, so old files are skipped by their statistics.
-    """
-    key = as_tuple(key)
-    last = F.max_by("actual", newest) if newest else F.max("actual")
-
-    def settle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        latest = batch.groupBy(*key).agg(last.alias("actual")).persist()
-        try:
-            latest.write.mode("overwrite").parquet(f"{results_of(settled_path)}/batch={batch_id}")
-            span = latest.agg(F.min(date).alias("a"), F.max(date).alias("b"))
-            ledger = spark.read.parquet(ledger_path).filter(
-                (F.col(date) >= span.select("a").scalar()) & (F.col(date) <= span.select("b").scalar())
-            )
-            due = ledger.filter(F.col("status") == "pending").join(latest.select(*key), list(key), "left_semi")
-            ledger_settle(due, latest, key).write.mode("overwrite").parquet(f"{settled_path}/batch={batch_id}")
-        finally:
-            latest.unpersist()
+    """Settle pending bets as bets and results arrive, in whatever order; each batch writes to its own folder.
 
-    writer = results.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint)
-    if once:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    The ledger is read as a stream too and joined with the stream of results by key. The join keeps both sides, row by
+    row, in its state: a result waits for bets that come after it, a bet meets every correction of its result, and a
+    batch looks up its own keys only. Each pair of a bet and a result makes one row; `settled_bets` takes the row of
+    the newest result. A result that arrives again changes nothing.
 
-
-def results_of(settled_path: str) -> str:
-    """Folder with the results that the stream has seen, by batch."""
-    return f"{settled_path.rstrip('/')}-results"
-
-
-def settle_late(spark: SparkSession, ledger_path: str, settled_path: str, key=("player_name", "bet_date")) -> DataFrame:
-    """Bets that are still pending although their result has come: those appended after it. The newest batch counts."""
+    Of several results for a key the one with the largest `newest` counts (without it, the one that arrived in the
+    last batch), of these the largest. A result without a value leaves its bets pending. Rows with a NULL in the key
+    meet nothing. The ledger must hold a file when the stream starts.
+    """
+    spark = results.sparkSession
     key = list(as_tuple(key))
-    results = spark.read.parquet(results_of(settled_path)).groupBy(*key).agg(F.max_by("actual", "batch").alias("actual"))
-    open_bets = spark.read.parquet(ledger_path).filter(F.col("status") == "pending")
-    open_bets = open_bets.join(settled_bets(spark, settled_path, key).select(*key), key, "left_anti")
-    return ledger_settle(open_bets.join(results.select(*key), key, "left_semi"), results, tuple(key))
+    order = F.col(newest) if newest else F.current_timestamp()
+    versions = results.select(*key, order.alias("__newest"), F.col("actual").alias("__a")).dropDuplicates()
+    bets = event_stream(spark, ledger_path, spark.read.parquet(ledger_path).schema).filter(F.col("status") == "pending")
+    pairs = bets.join(versions, key, "inner").withColumn(RESULT, F.struct("__newest", "__a"))
+    return write_batches(settled_columns(pairs).drop("__newest"), settled_path, checkpoint, once)
 
 
 def settled_bets(spark: SparkSession, settled_path: str, key=("player_name", "bet_date")) -> DataFrame:
-    """Settled bets; where a result came again in a later batch, that batch counts."""
-    rows = spark.read.parquet(settled_path)
+    """Each settled bet once, by the newest result of its key."""
     key = list(as_tuple(key))
-    newest = rows.groupBy(*key).agg(F.max("batch").alias("batch"))
-    return rows.join(newest, [*key, "batch"], "left_semi").drop("batch")
+    rows = spark.read.parquet(settled_path).drop("batch")
+    newest = rows.groupBy(*key).agg(F.max(RESULT).alias("__last"))
+    last = rows.join(newest, key).filter(F.col(RESULT).eqNullSafe(F.col("__last")))
+    return last.drop(RESULT, "__last")

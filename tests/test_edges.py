@@ -1,5 +1,6 @@
 """Ties, narrow ranges, empty and one-sided tables, corrections: cases at the edges of the operators."""
 
+import datetime as dt
 import os
 import subprocess
 import sys
@@ -15,7 +16,7 @@ from chronoplane.operators import category, joins, ledger, performance, profile,
 from chronoplane.session import work_path
 from chronoplane.sources import readers
 from chronoplane.streaming.ingest import event_stream, stream_ingest
-from chronoplane.streaming.settle import settle_late, settled_bets, stream_ledger
+from chronoplane.streaming.settle import settled_bets, stream_ledger
 
 EVENTS = Keys("who", "at", "event")
 
@@ -109,19 +110,31 @@ def test_summaries_of_one_sided_and_empty_tables(spark):
     assert profile.conditional_means(events, EVENTS, "v", F.col("v") > 0).first()["zero_share"] is None
 
 
-def test_newest_result_counts_and_early_results_wait(spark):
-    path, settled, arrivals = (work_path(spark, x) for x in ("ledger", "settled", "results"))
+def test_results_before_bets_and_corrections_settle_by_themselves(spark):
+    path, settled, arrivals, ckpt = (work_path(spark, x) for x in ("ledger", "settled", "results", "ckpt"))
     bet = lambda name: spark.sql(f"SELECT '{name}' AS player_name, date'2024-01-05' AS bet_date, 20.0D AS betting_line, 'OVER' AS direction, 0.1D AS kelly_size, 0.05D AS edge")
     stamp = F.lit("2024-01-01").cast("timestamp")
-    ledger.ledger_append(bet("a"), path, F.col("bet_date"), stamp)
-    results = spark.sql("SELECT * FROM VALUES ('a', date'2024-01-05', 30.0D, 1), ('a', date'2024-01-05', 10.0D, 2), ('b', date'2024-01-05', 25.0D, 1) AS t(player_name, bet_date, actual, version)")
-    results.coalesce(1).write.parquet(arrivals)
-    q = stream_ledger(event_stream(spark, arrivals, results.schema), path, settled, work_path(spark, "ckpt"), newest="version")
-    q.processAllAvailable()
-    q.stop()
-    assert [(r["player_name"], r["status"]) for r in settled_bets(spark, settled).collect()] == [("a", "lost")]
-    ledger.ledger_append(bet("b"), path, F.col("bet_date"), stamp)
-    assert [(r["player_name"], r["status"]) for r in settle_late(spark, path, settled).collect()] == [("b", "won")]
+    schema = "player_name string, bet_date date, actual double, version int"
+    day = dt.date(2024, 1, 5)
+
+    def run(bets=(), results=()):
+        for name in bets:
+            ledger.ledger_append(bet(name), path, F.col("bet_date"), stamp)
+        if results:
+            spark.createDataFrame([(n, day, v, k) for n, v, k in results], schema).coalesce(1).write.mode("append").parquet(arrivals)
+        stream = event_stream(spark, arrivals, spark.read.parquet(arrivals).schema)
+        q = stream_ledger(stream, path, settled, ckpt, newest="version")
+        q.processAllAvailable()
+        q.stop()
+        return sorted((r["player_name"], r["status"], r["actual"]) for r in settled_bets(spark, settled).collect())
+
+    # Two versions at once; "b" has a result and no bet yet.
+    assert run(["a", "a"], [("a", 30.0, 1), ("a", 10.0, 2), ("b", 25.0, 1)]) == [("a", "lost", 10.0)] * 2
+    assert run(["b"]) == [("a", "lost", 10.0)] * 2 + [("b", "won", 25.0)]
+    # A correction, one that comes late, and one that comes twice.
+    assert run([], [("b", 5.0, 3), ("b", 40.0, 2), ("a", 10.0, 2), ("a", 21.0, 4)]) == [("a", "won", 21.0)] * 2 + [("b", "lost", 5.0)]
+    # A bet after both corrections; a result that is taken back leaves its bets pending.
+    assert run(["b"], [("a", None, 5)]) == [("a", "pending", None)] * 2 + [("b", "lost", 5.0)] * 2
 
 
 def test_workers_have_the_package_from_any_folder(tmp_path):
@@ -142,15 +155,20 @@ print("sum", entry.queries()["gamma_tail"](spark, "/root/testdata/sf0.001").toPa
 
 def test_late_rows_are_kept_once(spark):
     src, out, ckpt = (work_path(spark, x) for x in ("arrivals", "ingested", "ckpt"))
-    first = spark.sql("SELECT * FROM VALUES (1, timestamp'2024-06-01'), (2, timestamp'2024-06-02'), (2, timestamp'2024-06-02') AS t(id, ts)")
+    first = spark.sql("SELECT * FROM VALUES (1, timestamp'2024-06-01'), (2, timestamp'2024-06-02'), (2, timestamp'2024-06-02'), (NULL, NULL) AS t(id, ts)")
     first.coalesce(1).write.parquet(src)
-    for rows in (None, spark.sql("SELECT * FROM VALUES (3, timestamp'2020-01-01'), (1, timestamp'2024-06-01') AS t(id, ts)")):
+    later = spark.sql("SELECT * FROM VALUES (3, timestamp'2020-01-01'), (1, timestamp'2024-06-01'), (NULL, timestamp'2024-06-01') AS t(id, ts)")
+    for rows in (None, later, None):
         if rows is not None:
             rows.coalesce(1).write.mode("append").parquet(src)
         q = stream_ingest(event_stream(spark, src, first.schema), out, ckpt, "id")
         q.processAllAvailable()
         q.stop()
-    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    assert sorted((r["id"] for r in spark.read.parquet(out).collect()), key=str) == [1, 2, 3, None]
+    # The second batch read its own three rows and looked up their keys; the first one's rows were not read again.
+    batch = spark.read.parquet(out).groupBy("batch").count().collect()
+    assert sorted(map(tuple, batch)) == [(0, 3), (1, 1)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
 def moments_of(spark, rows, groups="g"):
