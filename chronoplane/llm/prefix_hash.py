@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 #: The modulus, a Mersenne prime, and the base of the polynomial.
 P = (1 << 61) - 1
 BASE = 0x1B873593CC9E2D51 % P
-#: Positions of a text at which its fingerprint keeps the prefix hash, at most; the step between them is a power of two.
-KEPT = 32
+#: Cut points that a fingerprint keeps, at most; a longer text keeps those of the smallest hashes.
+KEPT = 64
+#: A cut stands before WINDOW code points whose hash is below those of all windows up to REACH before and after.
+WINDOW, REACH = 8, 32
+#: The bound on a cut's hash where a fingerprint keeps all cuts.
+ALL = 1 << 32
 CUT_ACCURACY = 10_000
 #: Code points hashed at once.
 BLOCK = 1 << 16
@@ -96,50 +100,128 @@ def prefix_at(points: np.ndarray, at: list[int]) -> list[int]:
     return out
 
 
-def fingerprint(points: np.ndarray) -> str:
-    """Length, log2 of the step and the prefix hashes at each step and at the end, as hexadecimal fields of fixed width."""
-    n = len(points)
-    shift = max(0, ((n - 1) // KEPT).bit_length())
-    return f"{n:010x}{shift:02x}" + np.array(prefix_at(points, [*range(1 << shift, n, 1 << shift), n]), ">u8").tobytes().hex()
+def _local(points: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of each window of WINDOW code points, modulo 2^64 by doubling: it only says where to cut."""
+    h, size, factor = points.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
+    while size < WINDOW:
+        h = h[:-size] * np.uint64(factor) + h[size:]
+        size, factor = 2 * size, factor**2 % (1 << 64)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def _parse(mark: str) -> tuple[int, int, dict[int, int]]:
-    n, shift = int(mark[:10], 16), int(mark[10:12], 16)
-    sums = np.frombuffer(bytes.fromhex(mark[12:]), ">u8").tolist()
-    return n, shift, {min((i + 1) << shift, n): v for i, v in enumerate(sums)} | {0: 0}
+def cuts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ascending cut points, their hashes, and the bound that these are below. The text by blocks, as `prefix_at`.
 
+    A cut depends on the code points around it only, so an edit moves no cut but those near it. Of over KEPT cuts those
+    stay whose hash is below the smallest that isn't kept: two texts compare by the cuts below both bounds. Equal
+    windows close to each other have no least one, so a text that repeats itself in short periods has no cuts.
+    """
+    windows, places, hashes = max(0, len(points) - WINDOW + 1), [], []
+    for start in range(0, windows, BLOCK):
+        low, high = max(0, start - REACH), min(windows, start + BLOCK + REACH)
+        h = _local(points[low : high + WINDOW - 1])
+        edge = np.full(REACH, (1 << 32) - 1, np.uint32)
+        least, size = np.concatenate([edge, h, edge]), 1
+        while size < REACH:
+            least, size = np.minimum(least[:-size], least[size:]), 2 * size
+        found = np.flatnonzero((h < least[: len(h)]) & (h < least[REACH + 1 : REACH + 1 + len(h)]))
+        found = found[(found + low >= max(1, start)) & (found + low < start + BLOCK)]
+        places.append(found + low)
+        hashes.append(h[found])
+    at = np.concatenate(places) if places else np.zeros(0, np.int64)
+    marks = np.concatenate(hashes) if hashes else np.zeros(0, np.uint32)
+    if len(at) <= KEPT:
+        return at, marks, ALL
+    bound = int(np.partition(marks, KEPT)[KEPT])
+    kept = marks < bound
+    return at[kept], marks[kept], bound
+
+
+_CUT = np.dtype([("at", ">u4"), ("mark", ">u4"), ("sum", ">u8")])
 
-def likeness(a: str, b: str) -> float:
-    """How alike two texts are, by their fingerprints alone: common prefix and suffix over the longer length.
 
-    The grids of two fingerprints share the positions of the coarser one. Equal prefix hashes are equal prefixes, so a
-    binary search over the grid finds the longest common prefix; a common suffix of texts of one length has equal
-    differences to the end, which a second search finds. The result is exact to a step at each edge of the difference.
+def fingerprint(points: np.ndarray) -> str:
+    """Length, bound of the cuts, prefix hash of the whole, then place, hash and prefix hash of each cut; all in hexadecimal."""
+    at, marks, bound = cuts(points)
+    *sums, whole = prefix_at(points, [*at.tolist(), len(points)])
+    rows = np.empty(len(at), _CUT)
+    rows["at"], rows["mark"], rows["sum"] = at, marks, sums
+    return f"{len(points):010x}{bound:010x}{whole:016x}" + rows.tobytes().hex()
+
+
+def power_at(exponents: np.ndarray) -> np.ndarray:
+    """BASE to each exponent modulo P."""
+    far = np.array([pow(BASE, BLOCK * q, P) for q in (exponents // BLOCK).tolist()], np.uint64)
+    return mulmod(powers(BLOCK)[exponents % BLOCK], far)
+
+
+def _spans(mark: str, bound: int, top: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Edges of the spans between the cuts below `bound`, and each span's length and hash, moved to the position `top`."""
+    n, whole = int(mark[:10], 16), int(mark[20:36], 16)
+    rows = np.frombuffer(bytes.fromhex(mark[36:]), _CUT)
+    rows = rows[rows["mark"] < bound]
+    edges = np.concatenate([[0], rows["at"].astype(np.int64), [n]])
+    sums = np.concatenate([np.zeros(1, np.uint64), rows["sum"].astype(np.uint64), np.array([whole], np.uint64)])
+    own = _fold(sums[1:] + np.uint64(P) - sums[:-1])
+    return edges.tolist(), list(zip(np.diff(edges).tolist(), mulmod(own, power_at(top - edges[:-1])).tolist(), strict=True))
+
+
+def extension(a: np.ndarray, b: np.ndarray) -> int:
+    """How many code points from the front are equal: the longest common extension, by prefix hashes of growing pieces."""
+    at, size = 0, 64
+    while at < min(len(a), len(b)):
+        x, y = Prefixes(a[at : at + size]), Prefixes(b[at : at + size])
+        k = x.common(0, y, 0)
+        at, size = at + k, min(4 * size, BLOCK)
+        if k < min(len(x), len(y)):
+            break
+    return at
+
+
+def likeness(a: str, b: str, texts: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+    """How alike two texts are: the code points in common spans over the longer length.
+
+    The cuts below both bounds divide both texts. Spans are equal if length and hash are (wrong once in about 2^61 / length);
+    each has one partner, if it can the span after the last one's partner, else the first that is free. So text that
+    moves or has something put in still counts. With the `texts`, the longest common extensions into the differing
+    spans count too: from the front of the texts or a common span before, and from the end or a common span behind.
+    Without them, an edit costs the whole span around it.
     """
     if a == b:
         return 1.0
-    (n, s, x), (m, t, y) = _parse(a), _parse(b)
+    n, m, bound = int(a[:10], 16), int(b[:10], 16), min(int(a[10:20], 16), int(b[10:20], 16))
     longer = max(n, m)
-    step = 1 << max(s, t)
-    grid = [i for i in range(0, min(n, m) + 1, step) if i in x and i in y]
-    low, high = 0, len(grid) - 1
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if x[grid[mid]] == y[grid[mid]] else (low, mid - 1)
-    front = grid[low]
-    back = 0
-    if n == m:
-        tail = lambda i: (x[n] - x[i]) % P == (y[m] - y[i]) % P
-        low, high = low, len(grid)
-        while low < high:
-            mid = (low + high) // 2
-            low, high = (low, mid) if tail(grid[mid]) else (mid + 1, high)
-        back = n - grid[low] if low < len(grid) else 0
-    return min(1.0, (front + back) / longer) if longer else 1.0
+    (cuts_a, spans_a), (cuts_b, spans_b) = _spans(a, bound, longer), _spans(b, bound, longer)
+    places: dict[tuple[int, int], list[int]] = {}
+    for j in range(len(spans_b) - 1, -1, -1):
+        places.setdefault(spans_b[j], []).append(j)
+    partner, taken, common, last = [-1] * len(spans_a), [False] * len(spans_b), 0, -1
+    for i, span in enumerate(spans_a):
+        j = last + 1 if last + 1 < len(spans_b) and spans_b[last + 1] == span and not taken[last + 1] else -1
+        free = places.get(span, [])
+        while j < 0 and free:
+            j = free.pop()
+            j = -1 if taken[j] else j
+        if j >= 0:
+            partner[i], taken[j], last, common = j, True, j, common + span[0]
+    if texts is not None:
+        rest = [span[0] for span in spans_b]
+        for i, span in enumerate(spans_a):
+            if partner[i] >= 0:
+                continue
+            own, left = texts[0][cuts_a[i] : cuts_a[i + 1]], span[0]
+            before = partner[i - 1] + 1 if i and partner[i - 1] >= 0 else 0 if not i else -1
+            behind = len(spans_b) - 1 if i + 1 == len(spans_a) else partner[i + 1] - 1 if partner[i + 1] >= 0 else -1
+            for j, step in ((before, 1), (behind, -1)):
+                if 0 <= j < len(spans_b) and not taken[j]:
+                    gain = min(left, rest[j], extension(own[::step], texts[1][cuts_b[j] : cuts_b[j + 1]][::step]))
+                    left, rest[j], common = left - gain, rest[j] - gain, common + gain
+    return common / longer
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of an edited one, and how like the text the edited and the next one are.
+    """Fingerprints of each text and of an edited one, and how like the text the edited and the next one are (`likeness`).
 
     The next document is the one of the next smaller id, after the last the first; the edited text has its last
     floor(n_chars / 2) code points replaced by the first as many (or all) of the next document.
@@ -193,7 +275,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 edited = np.concatenate([own[: len(own) - half], points[:half]])
                 edited_mark = fingerprint(edited)
                 digest = hashlib.sha256(edited.tobytes().decode("utf-32-le").encode()).hexdigest()
-                out.append((now, len(own), digest, own_mark, edited_mark, likeness(own_mark, edited_mark), likeness(own_mark, mark)))
+                out.append((now, len(own), digest, own_mark, edited_mark, likeness(own_mark, edited_mark, (own, edited)), likeness(own_mark, mark, (own, points))))
             held = (None if unnamed else i, points, mark)
             if tail:
                 break

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import xxhash
 
 
@@ -78,6 +79,38 @@ def edited(rows):
     return out
 
 
+def likeness(a, b, whole=True):
+    """Share of the longer text in spans that both have, compared as texts. Only the cut points are the operator's."""
+    from chronoplane.llm.prefix_hash import cuts
+
+    if a == b:
+        return 1.0
+    found = [cuts(np.array(list(map(ord, t)), np.uint32)) for t in (a, b)]
+    bound = min(f[2] for f in found)
+    parts = []
+    for t, (at, marks, _) in zip((a, b), found, strict=True):
+        edges = [0, *[i for i, x in zip(at.tolist(), marks.tolist(), strict=True) if x < bound], len(t)]
+        parts.append([t[i:j] for i, j in zip(edges, edges[1:], strict=False)])
+    xs, ys = parts
+    match, last = {}, -1
+    for i, x in enumerate(xs):
+        free = [j for j, y in enumerate(ys) if y == x and j not in match.values()]
+        if free:
+            last = match[i] = last + 1 if last + 1 in free else free[0]
+    total, rest = sum(len(xs[i]) for i in match), [len(y) for y in ys]
+    for i, x in enumerate(xs if whole else []):
+        if i in match:
+            continue
+        left = len(x)
+        for j, back in ((match.get(i - 1, -2) + 1 if i else 0, False), (match.get(i + 1, -2) - 1 if i + 1 < len(xs) else len(ys) - 1, True)):
+            if 0 <= j < len(ys) and j not in match.values():
+                pair = (x[::-1], ys[j][::-1]) if back else (x, ys[j])
+                equal = next((k for k, (p, q) in enumerate(zip(*pair, strict=False)) if p != q), min(map(len, pair)))
+                gain = min(left, rest[j], equal)
+                left, rest[j], total = left - gain, rest[j] - gain, total + gain
+    return total / max(len(a), len(b))
+
+
 def similar(texts, size=5, percent=80):
     """texts: {id: text}. {id: smallest reachable id}, over all pairs of sets of shingles."""
 

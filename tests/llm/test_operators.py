@@ -241,26 +241,71 @@ def test_prefix_arrays():
     assert prefix_hash.prefix_at(points, [0, 65_536, 65_537, 150_000]) == prefix_hash.Prefixes(points).sums[[0, 65_536, 65_537, 150_000]].tolist()
 
 
+def points_of(text):
+    return np.array(list(map(ord, text)), np.uint32)
+
+
+def likeness_of(a, b, whole=True):
+    x, y = points_of(a), points_of(b)
+    return prefix_hash.likeness(prefix_hash.fingerprint(x), prefix_hash.fingerprint(y), (x, y) if whole else None)
+
+
+def test_cuts_against_every_window(monkeypatch):
+    monkeypatch.setattr(prefix_hash, "BLOCK", 500)
+    rng = random.Random(7)
+    for n, letters in ((0, "a"), (7, "ab"), (300, "ab"), (900, "a"), (1_700, "abcdef"), (9_000, "abcdef")):
+        points = points_of("".join(rng.choices(letters, k=n)))
+        h = prefix_hash._local(points).tolist() if n >= prefix_hash.WINDOW else []
+        reach = prefix_hash.REACH
+        found = [(i, x) for i, x in enumerate(h) if i and all(x < y for y in h[max(0, i - reach) : i] + h[i + 1 : i + 1 + reach])]
+        bound = prefix_hash.ALL if len(found) <= prefix_hash.KEPT else sorted(x for _, x in found)[prefix_hash.KEPT]
+        at, marks, below = prefix_hash.cuts(points)
+        assert below == bound and list(zip(at.tolist(), marks.tolist(), strict=True)) == [(i, x) for i, x in found if x < bound]
+        assert len(at) <= prefix_hash.KEPT
+
+
+def test_likeness_against_brute_force():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    base = " ".join(word() for _ in range(1_200))
+    for _ in range(60):
+        n = rng.choice([0, 40, 400, 3_000, len(base)])
+        a = base[:n]
+        b = a
+        for _ in range(rng.randint(0, 4)):
+            i, j = sorted(rng.randrange(len(b) + 1) for _ in range(2))
+            b = rng.choice([b[:i] + word() + b[i:], b[:i] + b[j:], b[j:] + b[:j], b[:i] + b[i:j] * 2 + b[j:], b[:j]])
+        for whole in (False, True):
+            assert likeness_of(a, b, whole) == pytest.approx(brute.likeness(a, b, whole), abs=1e-12)
+
+
 def test_likeness_follows_the_common_part():
-    mark = lambda t: prefix_hash.fingerprint(np.array(list(map(ord, t)), np.uint32))
-    text = "".join(random.Random(5).choices("abcdefgh", k=6_400))
-    assert prefix_hash.likeness(mark(text), mark(text)) == 1 and prefix_hash.likeness(mark(""), mark("")) == 1
-    other = "".join(random.Random(6).choices("ijklmnop", k=6_400))
-    assert prefix_hash.likeness(mark(text), mark(other)) == 0
-    assert prefix_hash.likeness(mark(text), mark(text[:3_200] + other[:3_200])) == pytest.approx(0.5, abs=0.05)
-    assert prefix_hash.likeness(mark(text), mark(text[:3_200] + "#" + text[3_201:])) == pytest.approx(1, abs=0.08)
-    assert prefix_hash.likeness(mark(text), mark(text[:1_600])) == pytest.approx(0.25, abs=0.05)
+    rng = random.Random(5)
+    text, other = ("".join(rng.choices("abcdefgh", k=10_000)) for _ in range(2))
+    assert likeness_of(text, text) == 1 and likeness_of("", "") == 1 and likeness_of("", text) == 0
+    assert likeness_of(text, other) < 0.05 and likeness_of(text, "".join(rng.choices("ijklmnop", k=10_000))) == 0
+    for at in (0, 1, 100, 5_000, 9_999, 10_000):
+        assert likeness_of(text, text[:at] + "#" + text[at:]) == 10_000 / 10_001
+        assert likeness_of(text, text[:at] + "#" + text[at:], whole=False) > 0.9
+    # One code point changed at both ends, the middle changed, text moved, cut short, and without any cut.
+    assert likeness_of(text, "#" + text[1:-1] + "#") == pytest.approx(0.9998)
+    assert likeness_of(text, text[:4_000] + other[:2_000] + text[6_000:]) == pytest.approx(0.8, abs=0.02)
+    assert likeness_of(text, text[7_000:] + text[:7_000]) > 0.9
+    assert likeness_of(text, text[:2_500]) == pytest.approx(0.25, abs=0.001)
+    assert likeness_of("a" * 5_000, "a" * 4_000 + "b" * 1_000) == pytest.approx(0.8, abs=0.001)
 
 
 def test_fingerprints(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, small, "documents").collect()]
+    texts = dict(rows)
     got = {r["doc_id"]: r for r in prefix_hash.fingerprints(table(spark, small, "documents")).collect()}
-    mark = lambda t: prefix_hash.fingerprint(np.array(list(map(ord, t)), np.uint32))
+    mark = lambda t: prefix_hash.fingerprint(points_of(t))
     for d, (text, edited, following) in brute.edited(rows).items():
         r = got[d]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert (r["fingerprint"], r["edited_fingerprint"]) == (mark(text), mark(edited))
-        assert (r["near_edited"], r["near_next"]) == (prefix_hash.likeness(mark(text), mark(edited)), prefix_hash.likeness(mark(text), got[following]["fingerprint"]))
+        assert r["near_edited"] == pytest.approx(brute.likeness(text, edited), abs=1e-12)
+        assert r["near_next"] == pytest.approx(brute.likeness(text, texts[following] or ""), abs=1e-12)
     assert len(got) == len(rows)
 
 
