@@ -337,6 +337,18 @@ def test_repeats_of_short_windows(spark, k):
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got.collect())
 
 
+@pytest.mark.parametrize("bits", [1, 6])
+def test_equal_hashes_of_other_words_remove_nothing(spark, bits):
+    # With two hashes, or 64, nearly every path meets a source of other words.
+    distinct = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(12)]
+    docs = spark.createDataFrame(distinct, "doc_id long, text string").repartition(3)
+    assert {r["n_removed"] for r in substrings.remove_repeats(docs, window=5, hash_bits=bits).collect()} == {0}
+    rng = random.Random(bits)
+    rows = [(i * 7 % 50, " ".join(rng.choices("abc", k=rng.randint(0, 25)))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(substrings.remove_repeats(docs, window=4, hash_bits=bits)) == sorted(brute.repeats(rows, 4), key=repr)
+
+
 def test_window_hashes_tell_windows_apart():
     random.seed(9)
     w = [random.randrange(3) for _ in range(400)]
