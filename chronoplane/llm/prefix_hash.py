@@ -152,6 +152,8 @@ def fingerprint(points: np.ndarray) -> str:
 
 def power_at(exponents: np.ndarray) -> np.ndarray:
     """BASE to each exponent modulo P."""
+    if exponents.max(initial=0) < BLOCK:
+        return powers(BLOCK)[exponents]
     far = np.array([pow(BASE, BLOCK * q, P) for q in (exponents // BLOCK).tolist()], np.uint64)
     return mulmod(powers(BLOCK)[exponents % BLOCK], far)
 
@@ -169,6 +171,8 @@ def _spans(mark: str, bound: int, top: int) -> tuple[list[int], list[tuple[int,
 
 def extension(a: np.ndarray, b: np.ndarray) -> int:
     """How many code points from the front are equal: the longest common extension, by prefix hashes of growing pieces."""
+    if not len(a) or not len(b) or a[0] != b[0]:
+        return 0
     at, size = 0, 64
     while at < min(len(a), len(b)):
         x, y = Prefixes(a[at : at + size]), Prefixes(b[at : at + size])
