@@ -31,7 +31,8 @@ _M, _LOW = np.uint64(P), np.uint64((1 << 32) - 1)
 def _fold(x: np.ndarray) -> np.ndarray:
     """x modulo P, for x below 2^64."""
     x = (x & _M) + (x >> np.uint64(61))
-    return np.where(x >= _M, x - _M, x)
+    # Below P the difference wraps around and is the larger one.
+    return np.minimum(x, x - _M)
 
 
 def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
