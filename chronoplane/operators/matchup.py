@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from chronoplane.keys import Keys, as_tuple
 from chronoplane.operators.history import rows_before
-from chronoplane.operators.timeline import Running, Timeline, on_timeline
-from chronoplane.session import stored
+from chronoplane.operators.timeline import Running, Timeline, dealt, on_timeline
+from chronoplane.session import parts_for, stored
 
 
 def team_event_totals(df: DataFrame, by, values) -> DataFrame:
@@ -28,7 +28,7 @@ def opp_form(df: DataFrame, opponent: str, event: str, time: str, values, window
     cols = {
         f"opp_{v}_allowed_avg": (lambda w, v=v: F.avg(v).over(rows_before(w, window))) for v in as_tuple(values)
     }
-    out = on_timeline(totals, keys, lambda t: t.look_back(window, cols), reach=window)
+    out = on_timeline(totals, keys, lambda t: t.look_back(window, cols), reach=window, parts=parts_for(totals))
     return out.select(opponent, event, time, *cols)
 
 
@@ -61,20 +61,28 @@ def team_form(df: DataFrame, team: str, time: str, win: Column, first_by: str, w
 
 
 def head_to_head(df: DataFrame, keys: Keys, opponent: str, values, window: int = 5) -> DataFrame:
-    """Means over the entity's previous meetings with the same opponent, and their number."""
+    """Means over the entity's previous meetings with the same opponent, and their number.
+
+    `df` is stored: it is read for the lengths of histories, for the short ones and for the long ones.
+    """
+    df = stored(df, "meetings")
     pair = keys.with_(entity=(*keys.entity, opponent))
     cols = {f"{v}_vs_opp": (lambda w, v=v: F.avg(v).over(rows_before(w, window))) for v in as_tuple(values)}
 
     def steps(t: Timeline) -> Timeline:
         return t.look_back(window, cols).running({"games_vs_opp": Running("count", F.lit(1))})
 
-    return on_timeline(df, pair, steps, reach=window)
+    return on_timeline(df, pair, steps, reach=window, parts=parts_for(df))
+
 
+def join_opponent_form(df: DataFrame, form: DataFrame, opponent: str, event: str, parts: int | None = None) -> DataFrame:
+    """Opponent form back to entity rows on (opponent, event). The event in the key spreads hot opponents.
 
-def join_opponent_form(df: DataFrame, form: DataFrame, opponent: str, event: str) -> DataFrame:
-    """Opponent form back to entity rows on (opponent, event). The event in the key spreads hot opponents."""
+    parts: into how many parts both sides are dealt, where the number of rows is known (`parts_for`).
+    """
     time_free = form.select(opponent, event, *[c for c in form.columns if c.startswith("opp_")])
-    return df.join(time_free, [opponent, event], "left")
+    on = [opponent, event]
+    return dealt(df, parts, on).join(dealt(time_free, parts, on), on, "left")
 
 
 def join_opponent_pace(df: DataFrame, pace: DataFrame, opponent: str, time: str) -> DataFrame:

@@ -26,6 +26,7 @@ from chronoplane.plans.bindings import (
     segment_orders,
 )
 from chronoplane.plans.registry import n, query, r
+from chronoplane.session import parts_for, stored
 
 EV = "event_id, user_id, ts"
 OR = "o_orderkey, o_custkey, o_orderdate"
@@ -252,9 +253,10 @@ def opp_form(t):
 @query("join_opponent_form", f"""WITH {MEET_SQL} SELECT o_custkey, opponent, o_orderkey,
 {r(f'avg(qty) OVER ({_OPP} {rows(10)})', 'opp_qty_allowed_avg')} FROM m""")
 def join_opponent_form(t):
-    m = meetings(t)
-    form = M.opp_form(m, "opponent", "o_orderkey", "o_orderdate", ["qty"], hot_rows=t.hot_rows)
-    return M.join_opponent_form(m, form, "opponent", "o_orderkey").select(
+    m = stored(meetings(t), "meetings")
+    parts = parts_for(m)
+    form = M.opp_form(m.repartition(parts, "o_orderkey"), "opponent", "o_orderkey", "o_orderdate", ["qty"], hot_rows=t.hot_rows)
+    return M.join_opponent_form(m, form, "opponent", "o_orderkey", parts).select(
         "o_custkey", "opponent", "o_orderkey", "opp_qty_allowed_avg"
     )
 
