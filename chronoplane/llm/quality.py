@@ -69,15 +69,17 @@ def normalised(line: Column) -> Column:
     return F.regexp_replace(F.trim(F.translate(line, UPPER + SPACES, LOWER + " " * len(SPACES))), " +", " ")
 
 
-def recurring_lines(docs: DataFrame, rules: Rules) -> DataFrame:
+def recurring_lines(docs: DataFrame, filled: DataFrame, rules: Rules) -> DataFrame:
     """(host, line): hashes of the lines above the limits. docs: host, text_hash, line (hash), a row per line.
 
+    filled: host, text_hash of the texts that have a line, so that a host's texts are counted without making their lines.
+
     Copies of a text count as one document, so that copying a document doesn't make its lines boilerplate. Distinct
     (host, line, text) first, then counts: neither a frequent line nor a large host meets in one task.
     """
     texts = docs.select("host", "line", "text_hash").distinct()
     counts = texts.groupBy("host", "line").count().where(F.col("count") > rules.line_documents)
-    hosts = docs.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    hosts = filled.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     joined = counts.alias("c").join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))
     return joined.where(F.col("count") * 100 > F.col("texts") * rules.line_percent).select("c.host", "line")
 
@@ -100,7 +102,9 @@ def quality(docs: DataFrame, rules: Rules = Rules(), *, id_col: str = "doc_id",
     base = given.select("row", F.col("row")[id_col].alias("doc_id"), F.col("row")[host_col].alias("host"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     line = lambda x, i: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words"), i.alias("at"))
     lines = base.select("doc_id", "host", "text_hash", F.inline(F.transform(_lines(F.col("text")), lambda x, i: _bind(normalised(x), lambda n: line(n, i)))))
-    frequent = recurring_lines(lines, rules)
+    # A text has a line with a word if it has a word.
+    filled = base.where(F.translate(F.coalesce("text", F.lit("")), SPACES, "") != "")
+    frequent = recurring_lines(lines, filled, rules)
     f, x = frequent.alias("f"), lines.alias("x")
     hit = x.join(f, F.col("x.host").eqNullSafe(F.col("f.host")) & (F.col("x.line") == F.col("f.line")), "left_semi")
     # A set, as equal rows share a key.
