@@ -17,6 +17,8 @@ from chronoplane.llm.tokens import encoder
 #: The dictionary is trained on so many documents at most, those with the least hashes of their ids, and so many bytes of each.
 SAMPLE, SAMPLE_BYTES = 2_000, 8_192
 DICTIONARY_BYTES = 112 << 10
+#: Pieces whose ids a worker keeps while it writes files, some 80 MB; what it sends to be sorted needs memory too.
+KEPT_PIECES = 400_000
 #: A page is closed when it holds so many bytes or documents.
 PAGE_BYTES, PAGE_DOCS = 1 << 20, 4_096
 CUT_ACCURACY = 10_000
@@ -26,7 +28,7 @@ PAGE = "span int, page int, span_start long, dictionary string, width int, first
 
 
 def _width(vocabulary: str, end_id: int) -> int:
-    return 2 if max(encoder(vocabulary).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    return 2 if max(encoder(vocabulary, KEPT_PIECES).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
 
 def _packed(ids: bytes, width: int) -> bytes:
@@ -45,7 +47,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, id_col: str,
     end = np.array([end_id], "<u4").tobytes()
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, width = encoder(vocabulary), _width(vocabulary, end_id)
+        enc, width = encoder(vocabulary, KEPT_PIECES), _width(vocabulary, end_id)
         for batch in batches:
             found = [_packed(enc.encode(t.as_py()) + end, width)[:SAMPLE_BYTES] for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
@@ -83,7 +85,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, *, id_col: str = "doc
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, width = encoder(vocabulary), _width(vocabulary, end_id)
+        enc, width = encoder(vocabulary, KEPT_PIECES), _width(vocabulary, end_id)
         pack = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(trained), write_content_size=True).compress
         for batch in batches:
             ids = batch.column(0).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
