@@ -211,3 +211,13 @@ def test_equity_compounds_like_a_loop(spark):
     for hot in (None, 5):
         got = PF.equity_curve(df, Keys("s", "d", "id", hot_rows=hot), "f", F.col("won"))
         assert column(got, "bankroll", "id") == pytest.approx(want)
+
+
+def test_streams_keep_state_without_counting_its_keys(spark):
+    from chronoplane.streaming.ingest import large_state
+
+    name = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    before = spark.conf.get(name, None)
+    with large_state(spark):
+        assert spark.conf.get(name) == "false"
+    assert spark.conf.get(name, None) == before
