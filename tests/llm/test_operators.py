@@ -634,3 +634,24 @@ def test_main_text_of_odd_pages(spark, field):
     assert all(r["text"].count("\n\n") == 4_999 for r in got if r["page_id"] == 3)
     assert rows_of(crf.extract(frame.withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(2)), field)) == rows_of(crf.extract(frame, field))
     assert crf.extract(spark.createDataFrame([], frame.schema), field).count() == 0
+
+
+def test_quality_counts_the_texts_of_a_host_without_their_lines(spark, capsys):
+    """Lines are made for their own counts and for the texts that have them; a text with a word has a line."""
+    from chronoplane.llm.quality import Rules, quality
+
+    rows = [(i, f"footer\n{i} a b c d e f g h i j k l m n o p q r s t u v w", None) for i in range(4)] + [(9, " \n\t", None), (10, None, None)]
+    out = quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), Rules(line_documents=3, line_percent=99, least_words=25))
+    out.explain()
+    assert capsys.readouterr().out.count("Generate ") == 2
+    # Four of four texts with a line have the footer; without it they hold 24 words.
+    assert {r["doc_id"]: (r["n_words"], r["kept"]) for r in out.collect()} == {**{i: (25, False) for i in range(4)}, 9: (0, False), 10: (0, False)}
+
+
+def test_id_files_keep_fewer_pieces_than_other_queries():
+    from chronoplane.llm import id_files, tokens
+    from chronoplane.llm.common import vocabulary
+
+    path = vocabulary()
+    id_files._width(path, 0)
+    assert tokens._encoders[path].most == id_files.KEPT_PIECES < tokens.KEPT_PIECES
