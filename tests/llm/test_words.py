@@ -271,6 +271,31 @@ def test_phrases_on_odd_input(spark, odd, none):
     assert phrases.collocations(docs, rules).count() > len(want) and phrases.collocations(none).count() == 0
 
 
+def test_rare_phrases_of_frequent_words_stay_in_their_tasks(spark):
+    """All words are frequent and all pairs but three rare: only the cells of the three are full."""
+    rng = random.Random(5)
+    rows = [("en", f"{rng.randrange(300)} {rng.randrange(300)}. both come {'often' if i % 2 else 'seldom'}{'' if i % 50 else ' again'}") for i in range(6_000)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(8)
+    docs = docs.select("lang", F.col("text").cast("binary").alias("text"))
+    words, salt = phrases.vocabulary(docs)
+    known = phrases.level(words.where("f >= 10").select(F.col("id").alias("w0"), "f"), 1)
+    runs = phrases.encoded(docs, known, salt).localCheckpoint()
+    f = Counter()
+    for _, text in rows:
+        for piece in text.split("."):
+            w = piece.split()
+            f.update(zip(w, w[1:], strict=False))
+    want = {p: n for p, n in f.items() if n >= 1_500}
+    assert len(want) == 3 and len(f) > 5_000
+    shared = spark.sparkContext.broadcast(known)
+    full = phrases.full_cells(runs, 2, shared, 16, 1_500)
+    assert int(np.bitwise_count(full).sum()) == 3
+    # Tasks' counts, none of which is enough alone, fill a cell together; the limit doesn't fit a byte.
+    got = phrases.phrase_counts(runs, 2, known, 30_000, 1_500).collect()
+    name = {r["id"]: r["word"] for r in words.collect()}
+    assert {(name[r["w0"]], name[r["w1"]]): r["f"] for r in got} == want
+
+
 def test_colliding_ids_get_another_salt(spark, monkeypatch):
     docs = spark.createDataFrame([("en", b"one two three")], "lang string, text binary")
     real = phrases.with_ids
