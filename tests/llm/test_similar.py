@@ -76,3 +76,46 @@ def test_groups_on_odd_input(spark, odd, none):
     texts = {r["key"]: r["text"] for r in given.collect()}
     assert got == set(brute.similar(texts).items())
     assert similar.similar_groups(none.selectExpr("doc_id AS key", "text")).count() == 0
+
+
+def test_copies_below_the_limit_are_few_candidates(spark, monkeypatch):
+    """500 twins, all made from one text, so that twins are alike and all others have a similarity of about 0.65."""
+    rng = random.Random(7)
+    base = [f"word{i}" for i in range(300)]
+    texts = {}
+    for i in range(0, 1_000, 2):
+        e = list(base)
+        for at in rng.sample(range(300), 7):
+            e[at] = f"other{rng.randrange(10_000)}"
+        texts[i] = " ".join(e)
+        e[rng.randrange(300)] = "twin"
+        texts[i + 1] = " ".join(e)
+    asked = []
+    confirmed = similar.confirmed
+    monkeypatch.setattr(similar, "confirmed", lambda pairs, *more: asked.append(pairs.count()) or confirmed(pairs, *more))
+    got = {r["key"]: r["group"] for r in similar.similar_groups(spark.createDataFrame(list(texts.items()), "key long, text string")).collect()}
+    want = brute.similar(texts)
+    assert all(want[d] == want[g] for d, g in got.items())
+    assert sum(got[i] == got[i + 1] for i in range(0, 1_000, 2)) == 500
+    assert asked[0] < 30_000  # by fingerprints alone 83,709
+
+
+def test_sketches_leave_out_only_the_unlike(spark):
+    """Of texts at a similarity of 0.8 none or few are left out, of those at 0.6 most; short sets have no sketch."""
+    rng = np.random.default_rng(8)
+
+    def pair(alike, size=400):
+        both = round(size * 2 * alike / (1 + alike))
+        mine = rng.integers(0, 1 << 63, 2 * size - both, dtype=np.uint64)
+        out = np.zeros((2, 3 + similar.SKETCH), np.uint64)
+        for row, part in zip(out, (mine[:size], mine[size - both :]), strict=True):
+            row[:2] = similar.wide_fingerprint(np.stack([part, part * np.uint64(0x9E3779B97F4A7C15) ^ (part >> np.uint64(29))], 1))
+            row[3:] = similar.sketch(np.sort(part))
+        return out
+
+    one, other = np.array([0]), np.array([1])
+    share = lambda alike: np.mean([similar._alike(pair(alike), one, other, 128, 126)[0] for _ in range(400)])
+    assert share(0.8) > 0.99 and share(0.6) < 0.1
+    rows = pair(0.3)
+    rows[1, 3:] = 0
+    assert similar._alike(rows, one, other, 128, 126)[0]
