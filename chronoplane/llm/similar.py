@@ -25,8 +25,11 @@ VARIANTS, CHUNK = 1 << 21, 1 << 14
 #: Fingerprints of a bucket on average, before its neighbours' come in.
 PER_BUCKET = 512
 LINK = "a0 long, a1 long, b0 long, b1 long"
+ENDS = "f0 long, f1 long, many long, bits long, b0 long, b1 long"
 #: 64-bit words of a sketch, and shingles that a text needs for one: with fewer the bits of two texts differ more often.
 SKETCH, SKETCHED = 8, 64
+#: Further words, for texts that still have candidates in other components, and rounds in which components are found before.
+MORE, ROUNDS = 24, 2
 
 
 @dataclass(frozen=True)
@@ -37,12 +40,15 @@ class Similar:
     average, with a deviation of 4, so 30 leaves out one pair of 200; at 0.7 it is 24 bits, of unrelated texts 64.
     wide: the same for the 640 bits of fingerprint and sketch together. At 0.8 it is 97 bits with a deviation of 9, so 126 leaves
     out one pair of 1,400; at 0.7 it is 123, at 0.65 135.
+    wider: the same for the 2,176 bits with the further words. At 0.8 it is 327 bits with a
+    deviation of 17, at 0.7 417 with 18.
     """
 
     size: int = 5
     percent: int = 80
     apart: int = 30
     wide: int = 126
+    wider: int = 384
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -87,10 +93,10 @@ def _segment(prints: np.ndarray, s: int) -> np.ndarray:
     return (prints[:, s // 2] >> np.uint64(SEGMENT * (s % 2))) & np.uint64((1 << SEGMENT) - 1)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The majority bits of more hashes, made of a set's 64-bit hashes; SKETCH words."""
-    counts = np.zeros(64 * SKETCH, np.int64)
-    steps = np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def sketch(hashes: np.ndarray, after: int = 0, words: int = SKETCH) -> np.ndarray:
+    """The majority bits of more hashes, made of a set's 64-bit hashes; so many words, without those `after` which they come."""
+    counts = np.zeros(64 * words, np.int64)
+    steps = np.arange(after + 1, after + words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(0, len(hashes), CHUNK):
         z = hashes[i : i + CHUNK, None] + steps
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -100,29 +106,45 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
 
 
-def _alike(rows: np.ndarray, i: np.ndarray, j: np.ndarray, apart: int, wide: int) -> np.ndarray:
-    """Whether rows i and j are candidates by their fingerprints and, where both have one, their sketches."""
+def _apart(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many bits of 640 differ between rows i and j; those of the fingerprints stand for all where there is no sketch."""
+    bits = np.bitwise_count(rows[i, :2] ^ rows[j, :2]).sum(1, dtype=np.int64)
+    if rows.shape[1] == 2:
+        return bits
+    own = slice(3, 3 + SKETCH)
+    both = rows[i, own].any(1) & rows[j, own].any(1)
+    return np.where(both, bits + np.bitwise_count(rows[i, own] ^ rows[j, own]).sum(1, dtype=np.int64), (1 + SKETCH // 2) * bits)
+
+
+def _alike(rows: np.ndarray, i: np.ndarray, j: np.ndarray, apart: int, wide: int, wider: int = 0) -> np.ndarray:
+    """Whether rows i and j are candidates by their fingerprints and, where both have them, their sketches and further words."""
     bits = np.bitwise_count(rows[i, :2] ^ rows[j, :2]).sum(1, dtype=np.int64)
     near = bits <= apart
-    if rows.shape[1] > 2:
-        at = np.flatnonzero(near & rows[i, 3:].any(1) & rows[j, 3:].any(1))
-        near[at] = bits[at] + np.bitwise_count(rows[i[at], 3:] ^ rows[j[at], 3:]).sum(1, dtype=np.int64) <= wide
+    own, more = slice(3, 3 + SKETCH), slice(5 + SKETCH, None)
+    for part, most in ((own, wide), (more, wider)):
+        if rows[:1, part].shape[1]:
+            at = np.flatnonzero(near & rows[i, part].any(1) & rows[j, part].any(1))
+            bits[at] += np.bitwise_count(rows[i[at], part] ^ rows[j[at], part]).sum(1, dtype=np.int64)
+            near[at] = bits[at] <= most
     return near
 
 
-def _near(rows: np.ndarray, owner: np.ndarray, group: np.ndarray, apart: int, wide: int) -> np.ndarray:
+def _near(rows: np.ndarray, owner: np.ndarray, group: np.ndarray, apart: int, wide: int, wider: int = 0) -> np.ndarray:
     """Links (pairs of `rows`) within groups of equal variants: each to the first that is near it.
 
     owner, group: sorted by group, then owner. In a group the first owner takes all that are near it; the first of the
-    others takes the next, and so on, so an unrelated owner hides no link.
+    others takes the next, and so on, so an unrelated owner hides no link. Rows of one component need no link.
     """
     out = []
+    component = rows[:, 3 + SKETCH : 5 + SKETCH]
     while len(owner):
         cuts = np.flatnonzero(np.diff(group, prepend=~group[:1]))
         sizes = np.diff(np.append(cuts, len(group)))
         head = np.repeat(owner[cuts], sizes)
-        near = _alike(rows, owner, head, apart, wide) | (owner == head)
+        near = _alike(rows, owner, head, apart, wide, wider) | (owner == head)
         link = near & (owner != head)
+        if component.shape[1]:
+            link[link] = (component[owner[link]] != component[head[link]]).any(1)
         out.append(np.unique(owner[link].astype(np.int64) * len(rows) + head[link]))
         owner, group = owner[~near], group[~near]
         many = np.repeat(np.diff(np.append(c := np.flatnonzero(np.diff(group, prepend=~group[:1])), len(group))), np.diff(np.append(c, len(group)))) > 1 if len(group) else np.empty(0, bool)
@@ -131,26 +153,29 @@ def _near(rows: np.ndarray, owner: np.ndarray, group: np.ndarray, apart: int, wi
     return np.stack(np.divmod(code, max(1, len(rows))), 1)
 
 
-def _meetings(found: DataFrame, count: int, apart: int, wide: int, ends: bool) -> DataFrame:
+def _meetings(found: DataFrame, count: int, apart: int, wide: int, wider: int, ends: bool) -> DataFrame:
     """Links between fingerprints of which a segment differs by twice the radius or less, of each bucket.
 
-    found: distinct (f0, f1), or (f0, f1, many, sketch), `count` of them. Of fingerprints that differ by 19 bits one of four
+    found: distinct (f0, f1), or (f0, f1, many, sketch, component[, more]), `count` of them; only links between components count. Of fingerprints that differ by 19 bits one of four
     segments differs by four or fewer. Each segment stands for its variants within the radius, which meet halfway; a bucket
     is the variants with the same low bits, whose number grows with the count. A segment's fingerprints go to the buckets
     of their variants, and the variants are made in the bucket's task, some slices of them at a time. ends: returns not the
-    links, (a0, a1, b0, b1), but (f0, f1, many): the fingerprints that have some, and how many.
+    links, (a0, a1, b0, b1), but (f0, f1, many, bits, b0, b1): the fingerprints that have some, how many, and the nearest.
     """
     bits = min(SEGMENT - 8, max(6, math.ceil(math.log2(max(1, count) / PER_BUCKET + 1))))
     low = np.uint64((1 << bits) - 1)
     sketched = "sketch" in found.columns
-    width = 3 + SKETCH if sketched else 2
+    parts = {"sketch": SKETCH, "component": 2, "more": MORE}
+    parts = {c: n for c, n in parts.items() if c in found.columns}
+    width = 3 + sum(parts.values()) if sketched else 2
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = ball(bits, RADIUS)
         for batch in batches:
             rows = np.stack([c.to_numpy().astype(np.int64).view(np.uint64) for c in batch.columns[: min(width, 3)]], 1)
             if sketched:
-                rows = np.concatenate([rows, np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, SKETCH)], 1)
+                more = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, n) for c, n in zip(batch.columns[3:], parts.values(), strict=True)]
+                rows = np.concatenate([rows, *more], 1)
             step = max(1, VARIANTS // (4 * width * len(masks)))
             for i in range(0, len(rows), step):
                 part = rows[i : i + step]
@@ -194,27 +219,36 @@ def _meetings(found: DataFrame, count: int, apart: int, wide: int, ends: bool) -
             v, o = v[order], o[order]
             same = v[1:] == v[:-1]
             many = np.append(same, False) | np.append(False, same) if len(v) else np.empty(0, bool)
-            found.append(_near(rows, o[many], v[many], apart, wide))
+            found.append(_near(rows, o[many], v[many], apart, wide, wider))
         pairs = np.unique(np.concatenate(found), axis=0).astype(np.int64)
         prints = rows[:, :2].copy().view(np.int64)
         if ends:
-            at, n = np.unique(pairs, return_counts=True)
-            return pd.DataFrame({"f0": prints[at, 0], "f1": prints[at, 1], "many": n})
+            differ = np.tile(_apart(rows, pairs[:, 0], pairs[:, 1]), 2)
+            mine, other = np.append(pairs[:, 0], pairs[:, 1]), np.append(pairs[:, 1], pairs[:, 0])
+            order = np.lexsort((other, differ, mine))
+            at, cuts, n = np.unique(mine[order], return_index=True, return_counts=True)
+            near = order[cuts]
+            b = prints[other[near]]
+            return pd.DataFrame({"f0": prints[at, 0], "f1": prints[at, 1], "many": n, "bits": differ[near], "b0": b[:, 0], "b1": b[:, 1]})
         a, b = prints[pairs[:, 0]], prints[pairs[:, 1]]
         return pd.DataFrame({"a0": a[:, 0], "a1": a[:, 1], "b0": b[:, 0], "b1": b[:, 1]})
 
-    made = found.select("f0", "f1", *(["many", "sketch"] if sketched else [])).mapInArrow(scatter, "bucket long, packed binary")
-    return made.groupBy("bucket").applyInPandas(gather, "f0 long, f1 long, many long" if ends else LINK)
+    made = found.select("f0", "f1", *(["many", *parts] if sketched else [])).mapInArrow(scatter, "bucket long, packed binary")
+    return made.groupBy("bucket").applyInPandas(gather, ENDS if ends else LINK)
 
 
-def candidates(found: DataFrame, count: int, apart: int, wide: int = 126) -> DataFrame:
+def candidates(found: DataFrame, count: int, apart: int, wide: int = 126, wider: int = 384) -> DataFrame:
     """Links (a0, a1, b0, b1) between the fingerprints of `_meetings`."""
-    return _meetings(found, count, apart, wide, False).distinct()
+    return _meetings(found, count, apart, wide, wider, False).distinct()
 
 
-def neighboured(found: DataFrame, count: int, apart: int) -> DataFrame:
-    """(f0, f1, many) of the fingerprints (f0, f1) that have candidates; many grows with their number. No row is a pair."""
-    return _meetings(found, count, apart, 0, True).groupBy("f0", "f1").agg(F.sum("many").alias("many"))
+def neighboured(found: DataFrame, count: int, apart: int, wide: int = 126) -> DataFrame:
+    """(f0, f1, many, b0, b1) of the fingerprints (f0, f1) that have candidates; many grows with their number.
+
+    b0, b1: the nearest candidate. A row for each fingerprint, however many candidates it has.
+    """
+    least = F.min(F.struct("bits", "b0", "b1")).alias("near")
+    return _meetings(found, count, apart, wide, 0, True).groupBy("f0", "f1").agg(F.sum("many").alias("many"), least).select("f0", "f1", "many", "near.b0", "near.b1")
 
 
 def shingle_sets(asked: DataFrame, docs: DataFrame, first: DataFrame, rule: Similar) -> DataFrame:
@@ -231,6 +265,19 @@ def shingle_sets(asked: DataFrame, docs: DataFrame, first: DataFrame, rule: Simi
     return store(texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(sets, "node binary, hashes binary, sketch binary"), "shingles")[0]
 
 
+def further(labelled: DataFrame) -> DataFrame:
+    """(f0, f1, many, sketch, component, more): the further words of sketches, made of `hashes`."""
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(5)]
+            more = [sketch(x, SKETCH, MORE).tobytes() if len(x) >= SKETCHED else bytes(8 * MORE) for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(more, pa.binary())], names=["f0", "f1", "many", "sketch", "component", "more"])
+
+    wide = "f0 long, f1 long, many long, sketch binary, component binary, more binary"
+    return labelled.select("f0", "f1", "many", "sketch", "component", "hashes").mapInArrow(extend, wide)
+
+
 def confirmed(pairs: DataFrame, held: DataFrame, rule: Similar) -> DataFrame:
     """The pairs (a, b) of nodes whose sets of shingles are as similar as the rule asks. held: (node, hashes) of all of them."""
 
@@ -262,12 +309,24 @@ def _labelled(docs: DataFrame, rule: Similar) -> tuple[DataFrame, DataFrame]:
     equal = nodes.join(prints, ["f0", "f1"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     asked = met.select(F.col("head").alias("node")).union(equal.select("a")).union(equal.select("b"))
     held = shingle_sets(asked, given, nodes.select("node", "key"), rule)
-    sketched, _ = store(met.join(held.select(F.col("node").alias("head"), "sketch"), "head"), "sketched")
-    links = candidates(sketched, sketched.count(), rule.apart, rule.wide)
     a, b = (prints.withColumnsRenamed({"f0": f"{x}0", "f1": f"{x}1", "head": x}) for x in "ab")
-    pairs = links.join(a, ["a0", "a1"]).join(b, ["b0", "b1"]).select("a", "b")
-    pairs, _ = store(pairs.union(equal), "pairs")
-    found = components(confirmed(pairs, held, rule))
+    asked, links = met, equal.limit(0)
+    for i in range(ROUNDS + 1):
+        # The nearest candidates make components; of all others only those between components become pairs in the end.
+        near = asked.join(b, ["b0", "b1"]).select(F.least("head", "b").alias("a"), F.greatest("head", "b").alias("b")).distinct()
+        pairs, _ = store(near if i else near.union(equal), "pairs")
+        links, _ = store(links.union(confirmed(pairs, held, rule)), "links")
+        found = components(links)
+        named = asked.select("head", "f0", "f1", "many").join(found.withColumnsRenamed({"node": "head"}), "head", "left")
+        labelled = named.withColumn("component", F.coalesce("component", "head")).join(held.withColumnsRenamed({"node": "head"}), "head")
+        if i == ROUNDS:
+            break
+        labelled, _ = store(labelled.drop("hashes"), "sketched")
+        still = neighboured(labelled, labelled.count(), rule.apart, rule.wide).drop("many")
+        asked, _ = store(still.join(labelled.select("head", "f0", "f1", "many"), ["f0", "f1"]), "neighboured")
+    sketched, _ = store(further(labelled), "sketched")
+    pairs, _ = store(candidates(sketched, sketched.count(), rule.apart, rule.wide, rule.wider).join(a, ["a0", "a1"]).join(b, ["b0", "b1"]).select("a", "b"), "pairs")
+    found = components(links.union(confirmed(pairs, held, rule)))
     return marked, nodes.join(found, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
 
 
@@ -280,8 +339,9 @@ def similar_groups(docs: DataFrame, rule: Similar = Similar()) -> DataFrame:
     """(key, group): the smallest key that links reach, the row's own included. docs: (key, text), keys orderable.
 
     Texts (A-Z lower-cased) with the same set of shingles are one node. Nodes are linked if their sets have a Jaccard
-    similarity of `percent` or more; texts that have candidates (`neighboured`) get
-    wider sketches, by which `candidates` leaves out most pairs below 0.7, and each link is confirmed on the sets. Nodes with
+    similarity of `percent` or more, confirmed on the sets. First each text with candidates is compared with its nearest, by
+    fingerprints and then, in `ROUNDS` rounds, by wider sketches, among the texts of other components. Texts that still
+    have candidates in other components get more bits, and `candidates` makes pairs of these only. Nodes with
     equal fingerprints are compared with the first of them. A pair may stay unlinked if no segment of its fingerprints is
     close (measured: 2 of 100 pairs at a similarity between 0.8 and 0.85), unless other texts link it.
 

@@ -119,3 +119,40 @@ def test_sketches_leave_out_only_the_unlike(spark):
     rows = pair(0.3)
     rows[1, 3:] = 0
     assert similar._alike(rows, one, other, 128, 126)[0]
+
+
+def test_pairs_grow_with_the_texts_and_not_with_their_square(spark, monkeypatch):
+    """Texts made from one by three new words each: nearly all pairs are candidates at 0.82, and one component."""
+    rng = random.Random(11)
+    base = [f"word{i}" for i in range(300)]
+    asked, most = [], {}
+    confirmed = similar.confirmed
+    monkeypatch.setattr(similar, "confirmed", lambda pairs, *more: asked.append(pairs.count()) or confirmed(pairs, *more))
+    for n in (100, 400):
+        texts = {}
+        for i in range(n):
+            e = list(base)
+            for at in rng.sample(range(300), 3):
+                e[at] = f"other{rng.randrange(10_000)}"
+            texts[i] = " ".join(e)
+        asked.clear()
+        got = {r["key"]: r["group"] for r in similar.similar_groups(spark.createDataFrame(list(texts.items()), "key long, text string")).collect()}
+        assert got == brute.similar(texts)
+        most[n] = sum(asked)
+    assert most[400] < 4 * 400 and most[400] < 6 * most[100]
+
+
+def test_links_between_components_are_found_by_the_last_round(spark, monkeypatch):
+    """Without rounds of nearest candidates, and with them, the components are those of all pairs."""
+    rng = random.Random(12)
+    texts = {}
+    for c in range(6):
+        e = [f"c{c}w{i}" for i in range(150)]
+        for i in range(25):  # A chain: each is like the one before, the ends are not alike.
+            e[rng.randrange(150)] = f"other{rng.randrange(10_000)}"
+            texts[len(texts)] = " ".join(e)
+    want = brute.similar(texts)
+    frame = spark.createDataFrame(list(texts.items()), "key long, text string")
+    for rounds in (0, similar.ROUNDS):
+        monkeypatch.setattr(similar, "ROUNDS", rounds)
+        assert {r["key"]: r["group"] for r in similar.similar_groups(frame).collect()} == want
