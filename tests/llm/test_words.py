@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -296,6 +297,29 @@ def test_rare_phrases_of_frequent_words_stay_in_their_tasks(spark):
     assert {(name[r["w0"]], name[r["w1"]]): r["f"] for r in got} == want
 
 
+def test_the_driver_gets_no_object_for_each_word_of_the_sieve(spark):
+    """200,000 frequent items set bits of about as many words of the sieve; as rows these took over 100 MB of the driver's Python."""
+    found = spark.range(200_000).select(F.xxhash64("id").alias("w0"), F.xxhash64("id", F.lit(1)).alias("w1"), (100 + F.col("id") % 1000).alias("f"))
+    rows = [(*np.array([r["w0"], r["w1"]]).view(np.uint64).tolist(), r["f"]) for r in found.collect()]
+    arrow = "spark.sql.execution.arrow.pyspark.enabled"  # off unless a session sets it
+    was = spark.conf.get(arrow)
+    spark.conf.set(arrow, "false")
+    tracemalloc.start()
+    try:
+        known = phrases.level(found, 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set(arrow, was)
+    assert peak < 40 << 20  # 8 MB of them the sieve, 2 MB the slots of ranks
+    items = np.array([r[:2] for r in rows], np.uint64)
+    bit = phrases._mixed(items) & np.uint64((1 << phrases.SIEVE_BITS) - 1)
+    assert known.frequent(phrases._mixed(items)).all() and int(np.bitwise_count(known.sieve).sum()) == len(np.unique(bit))
+    top = sorted(rows, key=lambda r: (-r[2], *np.array(r[:2], np.uint64).view(np.int64).tolist()))[: phrases.RANKED]
+    ranked = phrases.Level(known.sieve, np.array([r[:2] for r in top], np.uint64)).items
+    assert (known.items == ranked).all() and len(ranked) > 4_000
+
+
 def test_colliding_ids_get_another_salt(spark, monkeypatch):
     docs = spark.createDataFrame([("en", b"one two three")], "lang string, text binary")
     real = phrases.with_ids
